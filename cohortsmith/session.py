@@ -4,6 +4,7 @@ joins and broadcasts that stay safe at scale."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,23 +25,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make one up only on a local master."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; one is made up only on a local master."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder before running on a cluster")
-        shared = tempfile.mkdtemp(prefix="cohortsmith-checkpoint-")
-    sc.setCheckpointDir(shared)
+        shared = tempfile.mkdtemp(prefix="cohortsmith-shared-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, so a lost executor costs no recompute."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the table once to the shared folder and go on from the copy.
+
+    Unlike checkpoint() this computes the plan a single time, and the copy's size is
+    known to the planner. A lost executor costs no recompute.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/cohortsmith/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
