@@ -1 +1,201 @@
-"""Queries."""
+"""Fitted models. Iterative fits have no SQL twin; their row counts and ranges are tested."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import metrics as M
+from ..operators import models as MD
+from ..operators import reduce as PC
+from ..operators import tuning as TU
+from ..operators.folds import assign_folds, assign_holdout
+from ..operators.resample import smote as make_rows
+from ..operators.resample import with_synthetic
+from ..operators.select import anova_f as f_table
+from ..operators.select import select_k_best as best
+from ..operators.shape import array_features
+from ..operators.weights import balanced_weights
+from ..plans.flows import holdout_study as run_holdout
+from ..plans.flows import nested_study as run_nested
+from ..plans.recipes import apply_recipe, fold_recipes, recipe_rows
+from ..session import durable
+from .registry import query, r6, rounded, wide, wide_long
+from .selecting import _tagged
+
+NAMES = [str(i) for i in range(64)]
+
+
+def _vectors(spark, sf):
+    return array_features(wide(spark, sf), "embedding").drop("embedding")
+
+
+def _split(spark, sf):
+    rows = balanced_weights(assign_holdout(_vectors(spark, sf), "vec_id", seed=42))
+    return rows.filter("role = 'train'"), rows.filter("role = 'test'")
+
+
+@query()
+def fit_random_forest(spark, sf):
+    train, test = _split(spark, sf)
+    return MD.predictions_table(MD.fit_random_forest(train, trees=20), test, "vec_id")
+
+
+@query()
+def fit_logistic_l1(spark, sf):
+    train, test = _split(spark, sf)
+    return MD.predictions_table(MD.fit_logistic(train, c=1.0, l1=True), test, "vec_id")
+
+
+@query()
+def fit_logistic_l2(spark, sf):
+    train, test = _split(spark, sf)
+    return MD.predictions_table(MD.fit_logistic(train, c=0.5), test, "vec_id")
+
+
+@query()
+def fit_gbt(spark, sf):
+    train, test = _split(spark, sf)
+    return MD.predictions_table(MD.fit_gbt(train, rounds=10, rate=0.1), test, "vec_id")
+
+
+@query()
+def fit_balanced_forest(spark, sf):
+    train, test = _split(spark, sf)
+    return MD.predictions_table(MD.fit_balanced_bags(train, "vec_id", trees=8), test, "vec_id")
+
+
+@query()
+def fit_balanced_bagging(spark, sf):
+    train, test = _split(spark, sf)
+    return MD.predictions_table(MD.fit_balanced_bags(train, "vec_id", trees=8, all_features=True), test, "vec_id")
+
+
+@query()
+def select_l1(spark, sf):
+    """L1 survivors with their coefficients."""
+    rows = balanced_weights(_vectors(spark, sf))
+    model = MD.fit_logistic(rows, c=2.0, l1=True)
+    t = MD.coefficient_importance(model, NAMES, spark)
+    return t.filter(F.col("importance") >= MD.COEFFICIENT_FLOOR)
+
+
+@query()
+def two_stage_select(spark, sf):
+    """The 30 best by F, then L1 among them, or the leading 25 when L1 keeps none."""
+    chosen = best(f_table(wide_long(spark, sf)), 30)
+    names = [r[0] for r in chosen.orderBy("rank").select("feature").collect()]
+    rows = wide(spark, sf)
+    rows = rows.withColumn("x", F.array(*[F.col("embedding")[i].cast("double") for i in names])).drop("embedding")
+    kept, stage = MD.select_l1_or_fallback(balanced_weights(array_features(rows, "x")), range(len(names)), 0.05)
+    kept_names = F.array(*[F.lit(names[i]) for i in kept])
+    return chosen.filter(F.array_contains(kept_names, F.col("feature"))).select("feature", "rank", F.lit(stage).alias("stage"))
+
+
+@query()
+def pca_k(spark, sf):
+    rows = _vectors(spark, sf)
+    return PC.project(PC.fit_pca(rows, 10), rows).select("vec_id", "label", MD.vector_to_array("components").alias("components"))
+
+
+@query()
+def pca_variance(spark, sf):
+    rows = _vectors(spark, sf)
+    out = PC.project(PC.fit_pca_variance(rows, 0.95), rows)
+    return out.groupBy(F.size(MD.vector_to_array("components")).alias("n_components")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def pca_per_fold(spark, sf):
+    """Components fitted on the training folds, applied to the test fold."""
+    rows = durable(assign_folds(_vectors(spark, sf), "vec_id", k=3, seed=42))
+    out = None
+    for f in range(3):
+        model = PC.fit_pca(rows.filter(F.col("fold") != f), 10)
+        test = PC.project(model, rows.filter(F.col("fold") == f))
+        part = test.select("fold", "vec_id", "label", MD.vector_to_array("components").alias("components"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _cross_scores(spark, sf, k=5):
+    tagged = durable(assign_folds(wide(spark, sf), "vec_id", k=k, seed=42))
+    recipes = recipe_rows(fold_recipes(_tagged(spark, sf), k, 20, impute=False))
+    keep = ["vec_id", "label", "repeat", "fold"]
+    return TU.out_of_fold(
+        tagged,
+        lambda train: MD.fit_logistic(balanced_weights(train), c=0.5),
+        keep,
+        [(0, f) for f in range(k)],
+        lambda d, r, f: apply_recipe(d, recipes[(r, f)], keep, "embedding"),
+    ).scores
+
+
+@query()
+def oof_scores(spark, sf):
+    """Out-of-fold logistic probability of every row."""
+    return _cross_scores(spark, sf).select("vec_id", "label", "fold", r6("prob").alias("prob"))
+
+
+@query()
+def cross_val_score(spark, sf):
+    return rounded(TU.cross_val_summary(TU.fold_auc(_cross_scores(spark, sf))), "auc_mean", "auc_std")
+
+
+@query()
+def smote_logistic(spark, sf):
+    """Synthetic rows in training only, then a logistic fit scored on the hold-out part."""
+    split = assign_holdout(wide(spark, sf), "vec_id", seed=42)
+    train = split.filter("role = 'train'")
+    both = with_synthetic(train, make_rows(train, "vec_id", "embedding"), "vec_id", "embedding")
+    model = MD.fit_logistic(array_features(both, "features"), c=0.5)
+    test = array_features(split.filter("role = 'test'"), "embedding")
+    return MD.predictions_table(model, test, "vec_id")
+
+
+@query()
+def feature_importance(spark, sf):
+    train, _ = _split(spark, sf)
+    return MD.feature_importance(MD.fit_random_forest(train, trees=20), NAMES, spark)
+
+
+@query()
+def coef_importance(spark, sf):
+    train, _ = _split(spark, sf)
+    return MD.coefficient_importance(MD.fit_logistic(train, c=0.5), NAMES, spark)
+
+
+@query()
+def holdout_study(spark, sf):
+    """Two models on one split and three folds."""
+    models = {"LogisticRegression": {"c": 0.5}, "RandomForest": {"trees": 10}}
+    return run_holdout(wide(spark, sf), "vec_id", "embedding", models=models, top=20, k=3).records
+
+
+@query()
+def nested_study(spark, sf):
+    """Search over two candidates in two inner folds of each of three outer folds."""
+    grid = {"k": (20,), "c": (0.1, 1.0)}
+    return run_nested(wide(spark, sf), "vec_id", "embedding", k_outer=3, repeats=1, k_inner=2, n_iter=2, grid=grid).records
+
+
+@query()
+def random_search(spark, sf):
+    """Mean inner-fold F1 and AUC rank of logistic candidates."""
+    k = 3
+    tagged = durable(assign_folds(wide(spark, sf), "vec_id", k=k, seed=42))
+    from ..operators.shape import explode_features
+
+    recipes = recipe_rows(fold_recipes(explode_features(tagged, ["vec_id", "label", "repeat", "fold"], "embedding"), k, 20, impute=False))
+    keep = ["vec_id", "label", "repeat", "fold"]
+    out = None
+    for i, c in enumerate(TU.sample_params({"k": (20,), "c": (0.1, 0.5, 2.0)}, 3)):
+        got = TU.out_of_fold(
+            tagged,
+            lambda train, c=c: MD.fit_logistic(balanced_weights(train), c=c["c"]),
+            keep,
+            [(0, f) for f in range(k)],
+            lambda d, r, f: apply_recipe(d, recipes[(r, f)], keep, "embedding"),
+        )
+        part = got.scores.select("fold", "label", "prob").withColumn("candidate", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    return TU.inner_score(durable(out))
