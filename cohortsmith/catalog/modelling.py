@@ -30,7 +30,7 @@ def _vectors(spark, sf):
 
 
 def _split(spark, sf):
-    rows = balanced_weights(assign_holdout(_vectors(spark, sf), "vec_id", seed=42))
+    rows = durable(balanced_weights(assign_holdout(_vectors(spark, sf), "vec_id", seed=42)))
     return rows.filter("role = 'train'"), rows.filter("role = 'test'")
 
 
@@ -144,7 +144,7 @@ def cross_val_score(spark, sf):
 @query()
 def smote_logistic(spark, sf):
     """Synthetic rows in training only, then a logistic fit scored on the hold-out part."""
-    split = assign_holdout(wide(spark, sf), "vec_id", seed=42)
+    split = durable(assign_holdout(wide(spark, sf), "vec_id", seed=42))
     train = split.filter("role = 'train'")
     both = with_synthetic(train, make_rows(train, "vec_id", "embedding"), "vec_id", "embedding")
     model = MD.fit_logistic(array_features(both, "features"), c=0.5)

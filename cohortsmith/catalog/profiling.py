@@ -12,6 +12,7 @@ from ..operators.impute import missing_report as missing
 from ..operators.impute import train_medians
 from ..operators.scale import apply_scale, scale_table, standardize, train_moments, train_scale_table
 from ..operators.shape import explode_features, unpivot_features
+from ..session import durable
 from .registry import TALL_SQL, WIDE_SQL, query, r6, rounded, table, tall_long, wide, wide_long
 
 PROFILE_SQL = TALL_SQL + """,
@@ -104,7 +105,7 @@ def missing_report(spark, sf):
 )
 def median_impute_global(spark, sf):
     long = tall_long(spark, sf)
-    meds = median_table(long)
+    meds = durable(median_table(long))
     filled = median_fill(long.withColumn("missing", F.col("value").isNull()), meds)
     after = filled.groupBy("feature").agg(
         F.count(F.when(F.col("missing"), 1)).alias("n_filled"), F.round(F.avg("value"), 4).alias("mean_after")
@@ -123,7 +124,7 @@ def _event_cohort(spark, sf):
         F.when(F.col("value") <= 100, F.col("value")).alias("value"),
         F.when(F.col("event_id") % 4 > 0, F.get_json_object("props", "$.k").cast("double")).alias("k"),
     )
-    tagged = assign_folds(d, "event_id", k=5, seed=7)
+    tagged = durable(assign_folds(d, "event_id", k=5, seed=7))
     return unpivot_features(tagged, ["event_id", "repeat", "fold"], ["value", "k"])
 
 
@@ -145,16 +146,16 @@ long as (
     f"""with {EVENT_FOLDS_SQL}, folds as (select unnest(range(5)) as f),
         med as (select cast(f as integer) as fold, feature, median(value) as median from long, folds where long.fold <> f group by f, feature)
         select m.fold, m.feature, round(any_value(m.median), 6) as median, count(*) - count(value) as n_filled,
-               round(avg(coalesce(value, m.median)), 6) as test_mean
+               round(avg(coalesce(value, m.median)), 8) as test_mean
         from long l join med m on l.fold = m.fold and l.feature = m.feature group by m.fold, m.feature"""
 )
 def median_impute_train(spark, sf):
     """Medians of the training folds fill the test fold."""
     long = _event_cohort(spark, sf)
-    meds = train_medians(long, 5)
+    meds = durable(train_medians(long, 5))
     filled = median_fill(long.withColumn("missing", F.col("value").isNull()), meds, ["repeat", "fold"])
     after = filled.groupBy("repeat", "fold", "feature").agg(
-        F.count(F.when(F.col("missing"), 1)).alias("n_filled"), r6(F.avg("value")).alias("test_mean")
+        F.count(F.when(F.col("missing"), 1)).alias("n_filled"), F.round(F.avg("value"), 8).alias("test_mean")
     )
     return after.join(meds, ["repeat", "fold", "feature"]).select("fold", "feature", r6("median").alias("median"), "n_filled", "test_mean")
 
@@ -184,9 +185,9 @@ def standardize_global(spark, sf):
 )
 def standardize_train_apply(spark, sf):
     """One scale table per fold from training rows, applied to the test fold."""
-    tagged = assign_folds(wide(spark, sf), "vec_id", k=5, seed=42)
+    tagged = durable(assign_folds(wide(spark, sf), "vec_id", k=5, seed=42))
     long = explode_features(tagged, ["vec_id", "repeat", "fold"], "embedding")
-    t = train_scale_table(train_moments(long, 5))
+    t = durable(train_scale_table(train_moments(long, 5)))
     z = apply_scale(long, t, ["repeat", "fold"]).groupBy("repeat", "fold", "feature").agg(r6(F.avg("value")).alias("test_mean"))
     return z.join(rounded(t, "mean", "sd"), ["repeat", "fold", "feature"]).select("fold", "feature", "mean", "sd", "test_mean")
 
@@ -208,10 +209,10 @@ def standardize_train_apply(spark, sf):
 )
 def clean_new_rows(spark, sf):
     """New rows are filled with medians learned from training rows and nothing is refitted."""
-    split = assign_holdout(wide(spark, sf), "vec_id", seed=42)
+    split = durable(assign_holdout(wide(spark, sf), "vec_id", seed=42))
     long = explode_features(split, ["vec_id", "role"], "embedding")
     long = long.withColumn("value", F.when(F.col("value") > -0.2, F.col("value")))
-    meds = median_table(long.filter("role = 'train'"))
+    meds = durable(median_table(long.filter("role = 'train'")))
     new = long.filter("role = 'test'").withColumn("missing", F.col("value").isNull())
     after = median_fill(new, meds).groupBy("feature").agg(
         F.count(F.when(F.col("missing"), 1)).alias("n_filled"), r6(F.avg("value")).alias("mean_after")

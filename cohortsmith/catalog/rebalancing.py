@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import resample as R
 from ..operators.folds import assign_holdout
+from ..session import durable
 from .registry import WIDE_SQL, query, r6, wide
 from .splitting import _holdout_sql
 
@@ -85,7 +86,7 @@ def adasyn(spark, sf):
 )
 def resample_train_only(spark, sf):
     """Made rows join the training part; the test part is untouched."""
-    split = assign_holdout(_small(spark, sf), "vec_id", seed=42)
+    split = durable(assign_holdout(_small(spark, sf), "vec_id", seed=42))
     train = split.filter("role = 'train'")
     both = R.with_synthetic(train, R.smote(train, "vec_id", "x"), "vec_id", "x").withColumn("role", F.lit("train"))
     test = split.filter("role = 'test'").select("role", "label", F.lit(False).alias("synthetic"))

@@ -15,7 +15,9 @@ from ..operators.select import double_k_best as two_filters
 from ..operators.select import k_rule
 from ..operators.select import select_k_best as best
 from ..operators.shape import explode_features, unpivot_features
+
 from ..plans.univariate import fold_feature_scores, fold_feature_table
+from ..session import durable
 from .registry import LINE_FEATURES, WIDE_SQL, query, r6, rounded, table, wide, wide_long
 
 
@@ -98,7 +100,8 @@ chosen as (select * from (select *, row_number() over (partition by repeat, fold
 
 
 def _tagged(spark, sf, repeats=1):
-    rows = assign_folds(wide(spark, sf), "vec_id", k=5, repeats=repeats, seed=42)
+    # Read by the statistics and by the scoring: written once.
+    rows = durable(assign_folds(wide(spark, sf), "vec_id", k=5, repeats=repeats, seed=42))
     return explode_features(rows, ["vec_id", "label", "repeat", "fold"], "embedding")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int
 from ..functions.stats import normal_tail, safe_div
-from ..session import join_on
+from ..session import durable, join_on, task_count
 from .ranking import bucket_bounds, hash_rank, running_totals
 
 # ---- counts at a cut ---------------------------------------------------------
@@ -247,11 +247,17 @@ def bootstrap_ci(
     keys = list(by) or ["_all"]
     d = values.filter(F.col(value).isNotNull())
     d = d if by else d.withColumn("_all", F.lit(0))
-    numbered = hash_rank(d.select(*keys, id_col, value), id_col, seed, by=keys, out="_i")
+    numbered = durable(hash_rank(d.select(*keys, id_col, value), id_col, seed, by=keys, out="_i"))
     sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     slots = join_on(numbered.select(*keys, F.col("_i").alias("_slot")), sizes, keys)
     # explode makes the draws next to the slot they belong to; nothing is cross joined.
-    drawn = slots.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    # Blocks of draws are spread over the cluster before they unfold.
+    block = 100
+    slots = slots.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // block))))
+    slots = slots.repartition(task_count(values.sparkSession))
+    first = F.col("_blk") * block
+    last = F.least(first + block, F.lit(draws)) - 1
+    drawn = slots.withColumn("_b", F.explode(F.sequence(first, last))).drop("_blk")
     drawn = drawn.withColumn("_i", hash_int(seed, F.col("_b"), F.col("_slot")) % F.col("_n") + 1)
     got = join_on(drawn, numbered.select(*keys, "_i", value), [*keys, "_i"])
     means = got.groupBy(*keys, "_b").agg(F.avg(value).alias("_m"))

@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import digest, hash_int
-from ..session import durable, join_on
+from ..session import durable, join_on, task_count
 from .ranking import top_k
 
 MAX_PIVOTS = 4_096
+LEAST_QUERIES = 64
 BLOCK_CELLS = 4_000_000  # distances held at once inside a task
 
 
@@ -85,6 +86,14 @@ def _search(requests: DataFrame, points: DataFrame, k: int, sizes: dict[int, int
         cells = [-1]
     n_s = {c: _chunks(sizes.get(c, 0), chunk_rows) for c in cells}
     n_q = {c: _chunks(asked.get(c, 0), chunk_rows) for c in cells}
+    tasks = task_count(points.sparkSession)
+    groups = sum(n_s[c] * n_q[c] for c in cells)
+    if groups < tasks:
+        # Few large groups: cut the queries finer, so that every core has work.
+        more = math.ceil(tasks / groups)
+        n_q = {c: min(n_q[c] * more, _chunks(asked.get(c, 0), LEAST_QUERIES)) for c in cells}
+        groups = sum(n_s[c] * n_q[c] for c in cells)
+    tasks = min(groups, 4 * tasks)
 
     def lookup(table: dict[int, int]):
         return F.element_at(F.create_map(*[F.lit(x) for c in cells for x in (c, table[c])]), F.col("cell"))
@@ -96,12 +105,14 @@ def _search(requests: DataFrame, points: DataFrame, k: int, sizes: dict[int, int
         requests.withColumn("qc", (hash_int("q", F.col("qid")) % lookup(n_q)).cast("int"))
         .withColumn("sc", spread(lookup(n_s)))
         .select("cell", "sc", "qc", "qid", "qvec")
+        .repartition(tasks, "cell", "sc", "qc")
     )
     s = (
         points.filter(F.col("cell").isin(cells))
         .withColumn("sc", (hash_int("s", F.col("id")) % lookup(n_s)).cast("int"))
         .withColumn("qc", spread(lookup(n_q)))
         .select("cell", "sc", "qc", "id", "vec", "tag")
+        .repartition(tasks, "cell", "sc", "qc")
     )
     keys = ["cell", "sc", "qc"]
     schema = T.StructType(

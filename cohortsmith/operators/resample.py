@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int, hash_unit
-from ..session import join_on
+from ..session import join_on, task_count
 from .neighbors import nearest_rows
 from .ranking import hash_rank
 
@@ -109,7 +109,8 @@ def repeat_rows(df: DataFrame, count: str, out: str, block: int = 100_000) -> Da
     )
     first = F.col("_blk") * block
     last = F.least(first + block, F.col(count)) - 1
-    return blocks.repartition("_blk", *[c for c in df.columns if c.endswith("id")]).withColumn(out, F.explode(F.sequence(first, last))).drop("_blk")
+    spread = blocks.repartition(task_count(df.sparkSession))
+    return spread.withColumn(out, F.explode(F.sequence(first, last))).drop("_blk")
 
 
 def adasyn_quota(df: DataFrame, id_col: str, vec_col: str, label: str = "label", k: int = 5, **search) -> DataFrame:
