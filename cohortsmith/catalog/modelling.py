@@ -198,4 +198,4 @@ def random_search(spark, sf):
         )
         part = got.scores.select("fold", "label", "prob").withColumn("candidate", F.lit(i))
         out = part if out is None else out.unionByName(part)
-    return TU.inner_score(durable(out))
+    return TU.inner_score(out)

@@ -124,7 +124,7 @@ aucs as (select repeat, fold, (sum(case when label = 1 then rk end) - sum(label)
 
 
 def _fold_auc(spark, sf, repeats=1):
-    oof = fold_feature_scores(_tagged(spark, sf, repeats), "vec_id", 5, 10)
+    oof = durable(fold_feature_scores(_tagged(spark, sf, repeats), "vec_id", 5, 10))
     by = ["repeat", "fold"]
     return M.roc_auc(M.score_points(oof, by), by)
 

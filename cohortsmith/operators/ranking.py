@@ -168,6 +168,9 @@ def exact_median(
 
 
 def top_k(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = (), out: str = "rank") -> DataFrame:
-    """The first k rows per group. Spark cuts each map task to k rows before the shuffle."""
+    """The first k rows per group. Spark cuts each map task to k rows before the shuffle:
+    by a window group limit, or by a top-k sort when there are no groups."""
     w = _window(list(by)).orderBy(*order)
+    if not by:
+        df = df.orderBy(*order).limit(k)
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)

@@ -11,6 +11,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import durable
 from . import metrics as M
 from .models import fit_balanced_bags, fit_gbt, fit_logistic, fit_random_forest, run_parallel, score
 from .weights import balanced_weights
@@ -128,7 +129,8 @@ def out_of_fold(
         return score(model, test, keep)
 
     parts = run_parallel([lambda r=r, f=f: job(r, f) for r, f in folds], parallelism)
-    return FoldScores(fill_uninformative(reduce(DataFrame.unionByName, parts)), errors)
+    # Curves read the scores more than once; the models should run only once.
+    return FoldScores(durable(fill_uninformative(reduce(DataFrame.unionByName, parts))), errors)
 
 
 def fold_auc(scores: DataFrame, by: Sequence[str] = ("repeat", "fold")) -> DataFrame:

@@ -130,8 +130,8 @@ def holdout_study(
         errors.update({(name, "cv", *x): e for x, e in b.errors.items()})
         hold.append(a.scores.withColumn("model", F.lit(name)))
         cross.append(b.scores.withColumn("model", F.lit(name)))
-    hold_scores = durable(reduce(DataFrame.unionByName, hold))
-    cross_scores = durable(reduce(DataFrame.unionByName, cross))
+    hold_scores = reduce(DataFrame.unionByName, hold)
+    cross_scores = reduce(DataFrame.unionByName, cross)
     auc = fold_auc(cross_scores, ["model", *FOLD]).groupBy("model").agg(
         F.avg("roc_auc").alias("cv_auc_mean"), F.stddev_pop("roc_auc").alias("cv_auc_std")
     )
@@ -178,7 +178,7 @@ def leave_one_out_study(
         got = out_of_fold(tagged, fit, keep, [(0, f) for f in range(n)], lambda d, r, f: apply_recipe(d, recipes[(r, f)], keep, "x"), parallelism)
         errors.update({(name, *x): e for x, e in got.errors.items()})
         parts.append(got.scores.withColumn("model", F.lit(name)))
-    scores = durable(reduce(DataFrame.unionByName, parts))
+    scores = reduce(DataFrame.unionByName, parts)
     return Study(scores, _records(scores, None, ["model"]), errors=errors)
 
 
@@ -260,7 +260,7 @@ def nested_study(
                 )
                 errors.update({(r, f, i, *x): e for x, e in got.errors.items()})
                 parts.append(got.scores.select("fold", "label", "prob").withColumn("candidate", F.lit(i)))
-            table = inner_score(durable(reduce(DataFrame.unionByName, parts)), scorer).collect()
+            table = inner_score(reduce(DataFrame.unionByName, parts), scorer).collect()
             chosen = pick_best([(t["candidate"], t["score"]) for t in table])
         params = candidates[chosen]
         recipe = outer[(r, f)][: params["k"]]

@@ -1,0 +1,6 @@
+"""Scoring is the one operator that makes sense on a stream: it keeps no state, so the
+batch function serves unchanged. Everything that is fitted stays a batch job."""
+
+from ..plans.scoring import score_new
+
+__all__ = ["score_new"]
