@@ -19,7 +19,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +37,8 @@ def run_parallel(jobs: Sequence[Callable], parallelism: int = 4) -> list:
     if parallelism <= 1 or len(jobs) <= 1:
         return [job() for job in jobs]
     with ThreadPoolExecutor(parallelism) as pool:
-        futures = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+        wrap = inheritable_thread_target(SparkSession.getActiveSession())
+        futures = [pool.submit(wrap(job)) for job in jobs]
         return [f.result() for f in futures]
 
 
