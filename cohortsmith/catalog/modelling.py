@@ -123,7 +123,7 @@ def _cross_scores(spark, sf, k=5):
     keep = ["vec_id", "label", "repeat", "fold"]
     return TU.out_of_fold(
         tagged,
-        lambda train: MD.fit_logistic(balanced_weights(train), c=0.5),
+        lambda train: TU.fit_named("LogisticRegression", train, {"c": 0.5}, "vec_id"),
         keep,
         [(0, f) for f in range(k)],
         lambda d, r, f: apply_recipe(d, recipes[(r, f)], keep, "embedding"),
@@ -191,7 +191,7 @@ def random_search(spark, sf):
     for i, c in enumerate(TU.sample_params({"k": (20,), "c": (0.1, 0.5, 2.0)}, 3)):
         got = TU.out_of_fold(
             tagged,
-            lambda train, c=c: MD.fit_logistic(balanced_weights(train), c=c["c"]),
+            lambda train, c=c: TU.fit_named("LogisticRegression", train, c, "vec_id"),
             keep,
             [(0, f) for f in range(k)],
             lambda d, r, f: apply_recipe(d, recipes[(r, f)], keep, "embedding"),

@@ -22,7 +22,8 @@ def number_rows(df: DataFrame, order_col: str, out: str = "position") -> DataFra
     upto = W.partitionBy(F.lit(1)).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
     offsets = sizes.select("_b", (F.sum("_n").over(upto) - F.col("_n")).alias("_off"))
     local = d.withColumn("_rn", F.row_number().over(W.partitionBy("_b").orderBy(order_col)))
-    return join_on(local, offsets, ["_b"]).withColumn(out, F.col("_off") + F.col("_rn")).drop("_b", "_rn", "_off")
+    # Every row has a bucket, so a plain join keeps the window's partitioning.
+    return local.join(offsets, "_b").withColumn(out, F.col("_off") + F.col("_rn")).drop("_b", "_rn", "_off")
 
 
 def align_by_position(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest
-from ..session import join_on
+from ..session import join_on, task_count
 
 # Groups up to this many rows are ranked whole by exact_median; larger ones are narrowed first.
 WHOLE_GROUP_ROWS = 100_000
@@ -25,6 +25,13 @@ def _window(by: Sequence[str]):
     return W.partitionBy(*[F.col(f"`{c}`") for c in by]) if by else W.partitionBy(F.lit(1))
 
 
+def _key(cols: Sequence[str]) -> Column:
+    """One never-null text key of several columns. A window, an aggregate and a plain
+    equi join on it share one partitioning; a null-safe join on the columns would not."""
+    parts = ", ".join(f"coalesce(cast(`{c}` as string), '\\u0000')" for c in cols)
+    return F.expr(f"concat_ws('\\u0001', {parts})")
+
+
 def hash_rank(
     df: DataFrame,
     id_col: str,
@@ -32,23 +39,26 @@ def hash_rank(
     by: Sequence[str] = (),
     then: Sequence[str] = (),
     out: str = "rank",
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """1-based rank inside each `by` group in the order (then..., md5(seed:id), id).
 
     md5 spreads the ids evenly, so its leading hex digits cut a group of any size
     into 16**digits buckets of equal size whatever the data looks like.
     """
+    if digits is None:
+        digits = 3 if task_count(df.sparkSession) <= 512 else 4
+    by, then = list(by), list(then)
     d = df.withColumn("_h", digest(seed, F.col(f"`{id_col}`")))
     d = d.withColumn("_b", F.substring("_h", 1, digits))
-    by, then = list(by), list(then)
-    totals = d.groupBy(*by, *then, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    d = d.withColumn("_key", _key([*by, *then, "_b"]))
+    inner = W.partitionBy("_key").orderBy("_h", id_col)
+    ranked = d.select(*[F.col(f"`{c}`") for c in df.columns], "_key", F.row_number().over(inner).alias("_rn"))
+    totals = d.groupBy("_key", *by, *then, "_b").agg(F.count(F.lit(1)).alias("_n"))
     running = _window(by).orderBy(*then, "_b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    offsets = totals.withColumn("_off", F.sum("_n").over(running) - F.col("_n")).drop("_n")
-    inner = _window(by + then + ["_b"]).orderBy("_h", id_col)
-    ranked = d.withColumn("_rn", F.row_number().over(inner))
-    joined = join_on(ranked, offsets, by + then + ["_b"])
-    return joined.withColumn(out, F.col("_off") + F.col("_rn")).drop("_h", "_b", "_rn", "_off")
+    offsets = totals.select("_key", (F.sum("_n").over(running) - F.col("_n")).alias("_off"))
+    joined = ranked.join(offsets, "_key")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_off") + F.col("_rn")).alias(out))
 
 
 def bucket_bounds(df: DataFrame, col: str, buckets: int | None = None) -> list[float]:
@@ -82,25 +92,27 @@ def running_totals(
     else:
         d = points.withColumn("_b", F.lit(0.0))
     by = list(by)
+    d = d.withColumn("_key", _key([*by, "_b"]))
 
     def order(c: str) -> Column:
         return F.col(c).desc() if descending else F.col(c).asc()
 
-    per_bucket = d.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_s_{c}") for c in cols])
+    inside = W.partitionBy("_key").orderBy(order(order_col)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    kept = [F.col(f"`{c}`") for c in points.columns]
+    local = d.select(*kept, "_key", *[F.sum(c).over(inside).alias(f"_r_{c}") for c in cols])
+    per_bucket = d.groupBy("_key", *by, "_b").agg(*[F.sum(c).alias(f"_s_{c}") for c in cols])
     upto = _window(by).orderBy(order("_b")).rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = _window(by).orderBy(order("_b")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     offsets = per_bucket.select(
-        *by,
-        "_b",
+        "_key",
         *[(F.sum(f"_s_{c}").over(upto) - F.col(f"_s_{c}")).alias(f"_o_{c}") for c in cols],
         *[F.sum(f"_s_{c}").over(whole).alias(f"tot_{c}") for c in cols],
     )
-    inside = _window(by + ["_b"]).orderBy(order(order_col)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = d.select("*", *[F.sum(c).over(inside).alias(f"_r_{c}") for c in cols])
-    out = join_on(local, offsets, by + ["_b"])
-    for_cols = [(F.col(f"_o_{c}") + F.col(f"_r_{c}")).alias(f"run_{c}") for c in cols]
-    keep = [F.col(f"`{c}`") for c in points.columns]
-    return out.select(*keep, *for_cols, *[F.col(f"tot_{c}") for c in cols])
+    return local.join(offsets, "_key").select(
+        *kept,
+        *[(F.col(f"_o_{c}") + F.col(f"_r_{c}")).alias(f"run_{c}") for c in cols],
+        *[F.col(f"tot_{c}") for c in cols],
+    )
 
 
 def exact_median(

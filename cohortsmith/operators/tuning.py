@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import durable
 from . import metrics as M
 from .models import fit_balanced_bags, fit_gbt, fit_logistic, fit_random_forest, run_parallel, score
-from .weights import balanced_weights
+from .weights import weigh_for_fit
 
 # Candidate lists per model.
 KBEST_CANDIDATES = (20, 30, 50, 75, 100)
@@ -64,9 +64,10 @@ def fit_named(model: str, train: DataFrame, params: dict, id_col: str, seed: int
     """Fit by name. Class weights are balanced for every model but boosting and balanced bags."""
     own = {k: v for k, v in params.items() if k not in ("k", "l1_c")}
     if model == "RandomForest":
-        return fit_random_forest(balanced_weights(train), seed=seed, **own)
+        return fit_random_forest(weigh_for_fit(train)[0], seed=seed, **own)
     if model == "LogisticRegression":
-        return fit_logistic(balanced_weights(train), **own)
+        weighted, total = weigh_for_fit(train)
+        return fit_logistic(weighted, reg=1.0 / (own.get("c", 1.0) * total), **own)
     if model == "GradientBoosting":
         return fit_gbt(train, seed=seed, **own)
     if model == "BalancedRF":

@@ -33,7 +33,7 @@ from ..operators.tuning import (
     pick_best,
     sample_params,
 )
-from ..operators.weights import balanced_weights
+from ..operators.weights import weigh_for_fit
 from ..session import durable, join_on
 from .recipes import FOLD, apply_recipe, fold_recipes, recipe_rows
 
@@ -170,7 +170,7 @@ def leave_one_out_study(
     for name, params in models.items():
 
         def fit(train, name=name, params=params):
-            kept = select_l1_or_fallback(balanced_weights(train), range(top), l1_c, fallback_k)[0] if l1_c else None
+            kept = select_l1_or_fallback(weigh_for_fit(train)[0], range(top), l1_c, fallback_k)[0] if l1_c else None
             sub = _keep_positions(train, kept) if kept else train
             model = fit_named(name, sub, params, ID, seed, 1)
             return _Narrowed(model, kept) if kept else model
@@ -200,7 +200,7 @@ def _fit_candidate(name: str, train: DataFrame, params: dict, seed: int, paralle
     train = resampled(train, resampler, seed=seed)
     kept = None
     if "l1_c" in params:
-        kept, _ = select_l1_or_fallback(balanced_weights(train), range(width), params["l1_c"])
+        kept, _ = select_l1_or_fallback(weigh_for_fit(train)[0], range(width), params["l1_c"])
         train = _keep_positions(train, kept)
     model = fit_named(name, train, params, ID, seed, parallelism)
     return (_Narrowed(model, kept) if kept is not None else model), (kept if kept is not None else list(range(width)))

@@ -55,5 +55,17 @@ def test_fold_window_is_split_by_hash_bucket(spark, sf):
     p = plan_of(assign_folds(wide(spark, sf), "vec_id"))
     row_windows = [line for line in p.splitlines() if "row_number()" in line and "Window [" in line]
     assert row_windows
-    assert all("_b#" in line.split("windowspecdefinition")[1].split("ASC")[0] for line in row_windows)
+    assert all("_key#" in line.split("windowspecdefinition")[1].split("ASC")[0] for line in row_windows)
     assert wide(spark, sf).select(F.count("*")).first()[0] == 500
+
+
+def test_rank_join_keeps_the_window_partitioning(spark, sf):
+    """Without a broadcast the ranked rows are shuffled once, not again for the join."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan_of(assign_folds(wide(spark, sf), "vec_id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with_rows = [line for line in p.splitlines() if "Exchange hashpartitioning" in line]
+    # Rows by bucket, bucket totals, running offsets per repeat, offsets by bucket.
+    assert len(with_rows) == 4
