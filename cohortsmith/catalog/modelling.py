@@ -15,6 +15,8 @@ from ..operators.select import anova_f as f_table
 from ..operators.select import select_k_best as best
 from ..operators.shape import array_features
 from ..operators.weights import balanced_weights
+from ..operators.report import summarize_folds
+from ..plans.flows import grid_study as run_grid
 from ..plans.flows import holdout_study as run_holdout
 from ..plans.flows import nested_study as run_nested
 from ..plans.recipes import apply_recipe, fold_recipes, recipe_rows
@@ -199,3 +201,13 @@ def random_search(spark, sf):
         part = got.scores.select("fold", "label", "prob").withColumn("candidate", F.lit(i))
         out = part if out is None else out.unionByName(part)
     return TU.inner_score(out)
+
+
+@query()
+def resampler_grid(spark, sf):
+    """Two resamplers before one model: recall and F1 over two folds, best first."""
+    grid = {"k": (20,), "c": (0.5,)}
+    study = run_grid(
+        wide(spark, sf), "vec_id", "embedding", ["smote", "adasyn"], ["LogisticRegression"], k_outer=2, repeats=1, n_iter=1, grid=grid
+    )
+    return summarize_folds(study.records, ["combo"], ["recall", "f1", "roc_auc"])

@@ -195,6 +195,7 @@ def nearest_rows(
         best = _search(distinct.withColumn("cell", one), kept.withColumn("cell", one), k + 1, {0: n}, chunk_rows, id_type)
     else:
         best = _search_cells(distinct, kept, k, pivots, chunk_rows, id_type)
+    best = durable(best)  # the search is the costly part, and its result is small
     near = best.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("dist2", "id", "tag", "vec"))).alias("_near"))
     per_vec = join_on(distinct, near, ["qid"]).select("qvec", "_near")
     rows = join_on(asked, per_vec, ["qvec"])

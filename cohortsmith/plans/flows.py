@@ -10,6 +10,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import product
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -21,7 +22,8 @@ from ..operators.folds import assign_folds, assign_holdout, fold_audit, fold_val
 from ..operators.labels import require_two_classes
 from ..operators.models import run_parallel, score, select_l1_or_fallback
 from ..operators.ranking import hash_rank
-from ..operators.report import best_model
+from ..operators.reduce import fit_pca, project
+from ..operators.report import best_model, stack_folds
 from ..operators.shape import explode_features
 from ..operators.tuning import (
     FoldScores,
@@ -193,10 +195,33 @@ class _Narrowed:
         return self.model.transform(_keep_positions(df, self.positions))
 
 
-def _fit_candidate(name: str, train: DataFrame, params: dict, seed: int, parallelism: int, resampler: str | None = None):
-    """Resample, choose by L1 where the candidate says so, and fit. Returns the model and
-    the positions in use."""
+@dataclass
+class _Projected:
+    """A model on principal components."""
+
+    model: object
+    pca: object
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(_components(self.pca, df))
+
+
+def _components(pca, df: DataFrame) -> DataFrame:
+    return project(pca, df).drop("features").withColumnRenamed("components", "features")
+
+
+def _fit_candidate(
+    name: str, train: DataFrame, params: dict, seed: int, parallelism: int, resampler: str | None = None, pre_pca: int | None = None
+):
+    """Project, resample, choose by L1 where the candidate says so, and fit. Returns the
+    model and the positions in use; components come from all of them."""
     width = params["k"]
+    if pre_pca is not None:
+        pca = fit_pca(train, pre_pca)
+        train = durable(_components(pca, train))
+        inner = {**params, "k": pca.stages[1].getK()}
+        model, _ = _fit_candidate(name, train, inner, seed, parallelism, resampler)
+        return _Projected(model, pca), list(range(width))
     train = resampled(train, resampler, seed=seed)
     kept = None
     if "l1_c" in params:
@@ -220,6 +245,7 @@ def nested_study(
     scorer: str = "roc_auc",
     tune_on: str = "train",
     resampler: str | None = None,
+    pre_pca: int | None = None,
     seed: int = 42,
     parallelism: int = 4,
 ) -> Study:
@@ -252,7 +278,7 @@ def nested_study(
             for i, params in enumerate(candidates):
                 got: FoldScores = out_of_fold(
                     inner,
-                    lambda train, params=params: _fit_candidate(model, train, params, seed, 1, resampler)[0],
+                    lambda train, params=params: _fit_candidate(model, train, params, seed, 1, resampler, pre_pca)[0],
                     keep,
                     [(0, g) for g in range(k_inner)],
                     lambda d, rr, g, params=params: apply_recipe(d, recipes[(rr, g)][: params["k"]], keep, "x"),
@@ -266,7 +292,7 @@ def nested_study(
         recipe = outer[(r, f)][: params["k"]]
         ready = apply_recipe(here, recipe, keep, "x").persist()
         try:
-            fitted, positions = _fit_candidate(model, ready.filter(F.col("fold") != f), params, seed, 1, resampler)
+            fitted, positions = _fit_candidate(model, ready.filter(F.col("fold") != f), params, seed, 1, resampler, pre_pca)
             scored = score(fitted, ready, keep)
             done = durable(scored.withColumn("role", F.when(F.col("fold") == f, "test").otherwise("train")).withColumn("fold", F.lit(f)))
         finally:
@@ -287,3 +313,25 @@ def nested_study(
         records = join_on(records, extra, FOLD)
     selected = meta.select(*FOLD, F.explode("features").alias("feature"))
     return Study(test, durable(records.withColumn("model", F.lit(model))), selected, errors=errors)
+
+
+def grid_study(
+    df: DataFrame,
+    id_col: str,
+    array_col: str,
+    resamplers: Sequence[str | None],
+    models: Sequence[str],
+    pca: Sequence[int | None] = (None,),
+    **nested,
+) -> Study:
+    """A nested study per resampler x model x PCA size; records are stacked with their
+    configuration, ready for summarize_folds and leaderboard."""
+    parts, tests, errors = [], [], {}
+    for r, m, p in product(resamplers, models, pca):
+        combo = f"{r or 'none'}__{m}"
+        one = nested_study(df, id_col, array_col, model=m, resampler=r, pre_pca=p, **nested)
+        tag = {"combo": F.lit(combo), "pre_pca": F.lit(p).cast("int")}
+        parts.append(one.records.withColumns(tag))
+        tests.append(one.scores.withColumns(tag))
+        errors.update({(combo, p, *x): e for x, e in one.errors.items()})
+    return Study(stack_folds(tests), stack_folds(parts), errors=errors)

@@ -205,3 +205,13 @@ def test_named_columns_serve_as_features(spark):
     assert {r["id"]: r["f"] for r in got} == {1: [-1.0, 0.0], 2: [1.0, 0.0]}
     full = df.filter("c is not null").withColumnRenamed("a.b", "a")
     assert assemble_features(full, ["a", "c"]).count() == 1
+
+
+def test_grid_study_with_components(cohort):
+    s = flows.grid_study(
+        cohort, "id", "x", [None, "borderline"], ["LogisticRegression"], [3], k_outer=2, repeats=1, n_iter=1, grid={"k": (6,), "c": (0.5,)}
+    )
+    rows = s.records.collect()
+    assert not s.errors
+    assert {(r["combo"], r["pre_pca"], r["fold"]) for r in rows} == {(f"{m}__LogisticRegression", 3, f) for m in ("none", "borderline") for f in (0, 1)}
+    assert all(r["roc_auc"] > 0.75 for r in rows)
