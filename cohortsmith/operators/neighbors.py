@@ -10,10 +10,12 @@ are collapsed first, so a large group of copies costs what k+1 of them cost.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,9 @@ from ..functions.hashing import digest, hash_int
 from ..session import durable, join_on, task_count
 from .ranking import top_k
 
+# Tasks receive these functions by value: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_PIVOTS = 4_096
 LEAST_QUERIES = 64
 BLOCK_CELLS = 4_000_000  # distances held at once inside a task

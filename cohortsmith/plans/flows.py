@@ -70,7 +70,7 @@ def resampled(train: DataFrame, method: str | None, k: int = 5, seed: int = 42)
     flat = train.select(ID, "label", vector_to_array("features").alias("x"))
     make = {"smote": RS.smote, "borderline": RS.borderline_smote, "adasyn": RS.adasyn}[method]
     made = make(flat, ID, "x", k=k, seed=seed)
-    both = RS.with_synthetic(flat, made, ID, "x")
+    both = durable(RS.with_synthetic(flat, made, ID, "x"))
     return both.select(ID, "label", array_to_vector("features").alias("features"))
 
 
@@ -269,11 +269,11 @@ def nested_study(
 
     def one(r: int, f: int):
         here = tagged.filter(F.col("repeat") == r)
-        inner_rows = here.filter(F.col("fold") != f).select(ID, "label", "x")
-        inner = durable(assign_folds(inner_rows, ID, k=k_inner, seed=seed))
-        recipes = recipe_rows(fold_recipes(_long(inner), k_inner, widest))
         chosen = 0
         if len(candidates) > 1:
+            inner_rows = here.filter(F.col("fold") != f).select(ID, "label", "x")
+            inner = durable(assign_folds(inner_rows, ID, k=k_inner, seed=seed))
+            recipes = recipe_rows(fold_recipes(_long(inner), k_inner, widest))
             parts = []
             for i, params in enumerate(candidates):
                 got: FoldScores = out_of_fold(
