@@ -19,8 +19,11 @@ def test_every_sql_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, sf, duck, name):
-    got = queries()[name](spark, sf).toPandas()
-    assert compare(got, duck.execute(SQL[name]).df()) is None
+    df = queries()[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
+    assert compare(df.toPandas(), duck.execute(SQL[name]).df()) is None
 
 
 def test_entry(spark):
