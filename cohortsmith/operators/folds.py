@@ -69,7 +69,16 @@ def assign_folds(
 
     Rows are ranked in (label, hash) order and dealt out in turn, so every class and
     every fold is level to within one row. Each repeat shuffles with its own seed.
+
+    With several repeats the plan is made from ids and labels alone and joined back as
+    one short list per row, so wide rows are shuffled once and not once per repeat.
     """
+    narrow = list(dict.fromkeys([id_col, label, *by]))
+    if repeats > 1 and set(df.columns) - set(narrow):
+        plan = assign_folds(df.select(*narrow), id_col, label, k, repeats, seed, by)
+        lists = plan.groupBy(*dict.fromkeys([id_col, *by])).agg(F.collect_list(F.struct("repeat", "fold")).alias("_plan"))
+        joined = join_on(df, lists, list(dict.fromkeys([id_col, *by])))
+        return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.inline("_plan"))
     rep = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     ranked = hash_rank(
         rep,

@@ -7,6 +7,7 @@ into one task. The helpers here split every group into buckets, total the bucket
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -44,7 +45,8 @@ def hash_rank(
     """1-based rank inside each `by` group in the order (then..., md5(seed:id), id).
 
     md5 spreads the ids evenly, so its leading hex digits cut a group of any size
-    into 16**digits buckets of equal size whatever the data looks like.
+    into 16**digits buckets of equal size whatever the data looks like. The id must be
+    unique within a `by` group.
     """
     if digits is None:
         digits = 3 if task_count(df.sparkSession) <= 512 else 4
@@ -67,7 +69,7 @@ def bucket_bounds(df: DataFrame, col: str, buckets: int | None = None) -> list[f
         buckets = min(10_000, max(32, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = df.approxQuantile(col, probs, 1.0 / (4 * buckets))
-    inner = sorted(set(cuts))
+    inner = sorted(c for c in set(cuts) if math.isfinite(c))
     return [float("-inf"), *inner, float("inf")]
 
 

@@ -39,6 +39,13 @@ def test_folds_cover_once_and_are_level(cohort):
     assert a == again
 
 
+def test_wide_rows_get_the_same_plan(planted):
+    ids = {tuple(r) for r in S.fold_plan(planted, "id", k=5, repeats=3).select("id", "repeat", "fold").collect()}
+    rows = S.assign_folds(planted, "id", k=5, repeats=3)
+    assert rows.columns == ["id", "label", "x", "repeat", "fold"]
+    assert {tuple(r) for r in rows.select("id", "repeat", "fold").collect()} == ids
+
+
 def test_inner_folds_never_hold_outer_test_rows(cohort):
     plan = S.fold_plan(cohort, "id", k=5)
     inner = S.inner_folds(plan, "id", 5, 3)
