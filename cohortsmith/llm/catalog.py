@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat as CH
 from . import contamination as CO
 from . import language as LA
+from . import mixing as MI
 from . import records as RE
 from . import shards as SH
 from . import toxicity as TO
@@ -83,3 +85,23 @@ def op7_cnn_toxicity(spark, sf):
 def op8_prefix_containment(spark, sf):
     """Benchmark windows in all documents."""
     return CO.contamination(CO.find_overlap(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
+
+
+@query(CH.rotation_sql())
+def op1_perspective_rotation(spark, sf):
+    """Every conversation from the side of each participant."""
+    return CH.rotate_perspectives(table(spark, sf, "conversations"))
+
+
+ENTROPY, MIX_SEED = 0.95, 11
+
+
+@query(MI.mixture_sql(ENTROPY, MIX_SEED))
+def op9_temperature_mixture(spark, sf):
+    """All sources mixed to 95 % of the highest entropy, on a budget of as many tokens as there are."""
+    docs = table(spark, sf, "documents")
+    plan = MI.plan_mixture(docs, MI.Target(entropy=ENTROPY), budget_share=1.0, seed=MIX_SEED)
+    drawn = MI.realise(docs.select("doc_id", "source", "text"), plan, seed=MIX_SEED)
+    return drawn.select(
+        F.coalesce("source", F.lit("")).alias("source_key"), "doc_id", MI.count_tokens().alias("tokens"), F.col("__block").alias("block"), F.col("__key").alias("place")
+    )
