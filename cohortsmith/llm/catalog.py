@@ -11,6 +11,7 @@ from . import chat as CH
 from . import contamination as CO
 from . import language as LA
 from . import mixing as MI
+from . import ngram_join as NG
 from . import records as RE
 from . import shards as SH
 from . import toxicity as TO
@@ -105,3 +106,9 @@ def op9_temperature_mixture(spark, sf):
     return drawn.select(
         F.coalesce("source", F.lit("")).alias("source_key"), "doc_id", MI.count_tokens().alias("tokens"), F.col("__block").alias("block"), F.col("__key").alias("place")
     )
+
+
+@query()
+def op10_jaccard_tiles(spark, sf):
+    """Components of all documents that share four fifths of their word 5-shingles."""
+    return NG.jaccard_components(table(spark, sf, "documents"))
