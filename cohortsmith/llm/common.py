@@ -9,9 +9,11 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import durable
 
@@ -40,9 +42,37 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """mapInPandas whose function may use this package's modules on the workers."""
+    """mapInPandas whose function may use this package's modules on the workers, and that keeps
+    whole numbers whole where a column has nulls."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     ship(df.sparkSession)
-    return df.mapInPandas(fn, schema)
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def pandas_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if b.num_rows:
+                nullable = any(c.null_count for c in b.columns)
+                yield b.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get if nullable else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in fn(pandas_of(batches)):
+            if len(out):
+                yield pa.RecordBatch.from_pandas(out, schema=kind, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, decide: Callable[[list], np.ndarray], column: str) -> DataFrame:
+    """The rows, all columns as they are, for which `decide` of one column's values says so."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(decide(b.column(column).to_pylist())))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def row_numbers(df: DataFrame, order: Sequence[str], out: str = "row") -> tuple[DataFrame, int]:
