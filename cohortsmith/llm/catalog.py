@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from . import chat as CH
 from . import contamination as CO
+from . import digest as DI
 from . import language as LA
 from . import mixing as MI
 from . import ngram_join as NG
 from . import records as RE
+from . import repeats as RP
 from . import shards as SH
 from . import toxicity as TO
 from .common import held_out
@@ -112,3 +114,15 @@ def op9_temperature_mixture(spark, sf):
 def op10_jaccard_tiles(spark, sf):
     """Components of all documents that share four fifths of their word 5-shingles."""
     return NG.jaccard_components(table(spark, sf, "documents"))
+
+
+@query()
+def op4_rarity_digest(spark, sf):
+    """Digest of every document and of its edited text."""
+    return DI.digests(table(spark, sf, "documents"))
+
+
+@query()
+def op5_run_length_repeats(spark, sf):
+    """All documents without the bytes of strings of 400 bytes that start twice."""
+    return RP.remove_repeats(table(spark, sf, "documents")).drop("kept")
