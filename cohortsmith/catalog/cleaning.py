@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..functions import labels as L
-from ..operators.columns import drop_by_substring, drop_columns
+from ..operators.columns import drop_by_substring, drop_columns, profile_features, variance_above
 from ..operators.impute import clinical_features, fill_zero_columns
 from ..operators.labels import class_balance as balance_row
 from ..operators.labels import class_counts as count_classes
@@ -16,7 +16,7 @@ from ..operators.labels import target_distribution as distribution
 from ..operators.report import run_metadata as metadata_row
 from ..sources.readers import load_cohort as read_cohort
 from ..sources.readers import require_columns
-from .registry import WIDE_SQL, query, rounded, table, wide
+from .registry import WIDE_SQL, query, rounded, table, wide, wide_long
 
 NAME_CONTROLS = (" widget", " gear")
 
@@ -85,13 +85,17 @@ def target_distribution(spark, sf):
 
 
 @query(
-    f"""with {WIDE_SQL} select count(*) as n_samples, cast(64 as bigint) as n_features_after_filter,
+    f"""with {WIDE_SQL},
+        kept as (select count(*) as n from (select feature from long group by feature having var_pop(value) > 1.0 / 64))
+        select count(*) as n_samples, (select n from kept) as n_features_after_filter,
           cast(sum(label) as bigint) as n_pos, cast(sum(1 - label) as bigint) as n_neg,
           cast(5 as integer) as n_splits, cast(3 as integer) as n_repeats from wide"""
 )
 def run_metadata(spark, sf):
+    """The width is measured: features of more than the mean variance of unit vectors."""
     w = wide(spark, sf)
-    return metadata_row(w, 64, {"n_splits": 5, "n_repeats": 3})
+    kept = variance_above(profile_features(wide_long(spark, sf)), 1.0 / 64).filter("kept").count()
+    return metadata_row(w, kept, {"n_splits": 5, "n_repeats": 3})
 
 
 @query("select c_custkey, c_mktsegment from customer")

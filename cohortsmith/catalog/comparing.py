@@ -118,10 +118,11 @@ def align_by_id(spark, sf):
     return A.align_by_id(o, c, "o_custkey", "c_custkey").drop("c_custkey")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
 def unmatched_ids(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey")
-    return A.unmatched(c, table(spark, sf, "orders"), "c_custkey", "o_custkey")
+    """Documents that nobody labelled."""
+    d = table(spark, sf, "documents").select("doc_id")
+    return A.unmatched(d, table(spark, sf, "labels").withColumnRenamed("doc_id", "labelled"), "doc_id", "labelled")
 
 
 @query(

@@ -184,7 +184,7 @@ def score_minmax(spark, sf):
 @query(
     """with v as (select cast(user_id % 3 as integer) as grp, user_id, round(avg(value), 6) as v from events group by user_id),
        numbered as (select grp, v, row_number() over (partition by grp order by md5(concat('42:', user_id)), user_id) as i, count(*) over (partition by grp) as n from v),
-       draws as (select grp, n, i as slot, b, cast('0x' || substr(md5(concat('42:', b, ':', i)), 1, 8) as bigint) % n + 1 as i
+       draws as (select grp, n, i as slot, b, cast('0x' || substr(md5(concat('42:', b, ':', i)), 1, 15) as bigint) % n + 1 as i
                  from numbered, (select unnest(range(2000)) as b)),
        means as (select d.grp, b, avg(v) as m from draws d join numbered x on d.grp = x.grp and d.i = x.i group by d.grp, b)
        select grp, round(avg(m), 6) as boot_mean, round(quantile_cont(m, 0.025::double), 6) as ci_low, round(quantile_cont(m, 0.975::double), 6) as ci_high

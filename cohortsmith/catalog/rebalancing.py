@@ -1,4 +1,4 @@
-"""Resamplers on the first four dimensions of the wide cohort."""
+"""Resamplers on the wide cohort, all its dimensions."""
 
 from __future__ import annotations
 
@@ -11,39 +11,41 @@ from .registry import WIDE_SQL, query, r6, wide
 from .splitting import _holdout_sql
 
 
-def _small(spark, sf):
-    return wide(spark, sf).withColumn("x", F.slice(F.col("embedding").cast("array<double>"), 1, 4)).drop("embedding")
+DIMS = 64
+
+
+def _cohort(spark, sf):
+    return wide(spark, sf).withColumn("x", F.col("embedding").cast("array<double>")).drop("embedding")
 
 
 def _show(made):
     return made.select(
-        "synth_id", "base_id", "nb_id", *[r6(F.col("features")[i]).alias(f"x{i}") for i in range(4)]
+        "synth_id", "base_id", "nb_id", *[r6(F.col("features")[i]).alias(f"x{i}") for i in range(DIMS)]
     )
 
 
 # Points, the k nearest minority rows of each minority row, and counts.
 NEAR_SQL = WIDE_SQL + """,
-pts as (select vec_id as id, label, cast(embedding[1] as double) as a, cast(embedding[2] as double) as b,
-               cast(embedding[3] as double) as c, cast(embedding[4] as double) as d from wide),
+pts as (select vec_id as id, label, cast(embedding as double[]) as v from wide),
 mino as (select * from pts where label = 1),
 sizes as (select cast(sum(label) as bigint) as n_min, cast(sum(1 - label) as bigint) as n_maj from pts),
 nb as (select * from (select q.id as base_id, p.id as nb_id, row_number() over (partition by q.id order by
-         pow(q.a - p.a, 2) + pow(q.b - p.b, 2) + pow(q.c - p.c, 2) + pow(q.d - p.d, 2), p.id) as nb_rank
+         list_distance(q.v, p.v), p.id) as nb_rank
        from mino q join mino p on q.id <> p.id) where nb_rank <= 5),
 around as (select base_id, nb_rank, label from (select q.id as base_id, p.label, row_number() over (partition by q.id order by
-         pow(q.a - p.a, 2) + pow(q.b - p.b, 2) + pow(q.c - p.c, 2) + pow(q.d - p.d, 2), p.id) as nb_rank
+         list_distance(q.v, p.v), p.id) as nb_rank
        from mino q join pts p on q.id <> p.id) where nb_rank <= 10)"""
 
 
 def _h(*parts: str) -> str:
-    return f"cast('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8) as bigint)"
+    return f"cast('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 15) as bigint)"
 
 
-_BLEND = ", ".join(f"round(q.{v} + u * (p.{v} - q.{v}), 6) as x{i}" for i, v in enumerate("abcd"))
+_BLEND = ", ".join(f"round(q.v[{i + 1}] + u * (p.v[{i + 1}] - q.v[{i + 1}]), 6) as x{i}" for i in range(DIMS))
 _DRAWS = f"""
 numbered as (select id as base_id, row_number() over (order by md5(concat('42:', id)), id) as no, count(*) over () as n from bases),
 draws as (select i as synth_id, {_h("'42'", 'i', "'base'")} % (select any_value(n) from numbered) + 1 as no,
-                 {_h("'42'", 'i', "'nb'")} % 5 + 1 as nb_rank, {_h("'42'", 'i', "'u'")} / 4294967296.0::double as u
+                 {_h("'42'", 'i', "'nb'")} % 5 + 1 as nb_rank, {_h("'42'", 'i', "'u'")} / 1152921504606846976.0::double as u
           from (select unnest(range((select n_maj - n_min from sizes))) as i)),
 made as (select synth_id, base_id, nb_id, u from draws join numbered using (no) join nb using (base_id, nb_rank))
 select synth_id, base_id, nb_id, {_BLEND} from made join pts q on q.id = base_id join pts p on p.id = nb_id"""
@@ -51,7 +53,7 @@ select synth_id, base_id, nb_id, {_BLEND} from made join pts q on q.id = base_id
 
 @query(f"with {NEAR_SQL}, bases as (select id from mino), {_DRAWS}")
 def smote(spark, sf):
-    return _show(R.smote(_small(spark, sf), "vec_id", "x"))
+    return _show(R.smote(_cohort(spark, sf), "vec_id", "x"))
 
 
 @query(
@@ -60,7 +62,7 @@ def smote(spark, sf):
           having sum(1 - label) >= count(*) / 2 and sum(1 - label) < count(*)), {_DRAWS}"""
 )
 def borderline_smote(spark, sf):
-    return _show(R.borderline_smote(_small(spark, sf), "vec_id", "x"))
+    return _show(R.borderline_smote(_cohort(spark, sf), "vec_id", "x"))
 
 
 @query(
@@ -69,13 +71,13 @@ def borderline_smote(spark, sf):
         quota as (select base_id, cast(round(cast(majority as double) / cast((select sum(majority) from r) as double)
                          * cast((select n_maj - n_min from sizes) as double)) as bigint) as quota from r),
         draws as (select base_id, synth_id, {_h("'42'", 'base_id', 'synth_id', "'nb'")} % 5 + 1 as nb_rank,
-                         {_h("'42'", 'base_id', 'synth_id', "'u'")} / 4294967296.0::double as u
+                         {_h("'42'", 'base_id', 'synth_id', "'u'")} / 1152921504606846976.0::double as u
                   from (select base_id, unnest(range(quota)) as synth_id from quota))
         select synth_id, base_id, nb_id, {_BLEND} from draws join nb using (base_id, nb_rank)
         join pts q on q.id = base_id join pts p on p.id = nb_id"""
 )
 def adasyn(spark, sf):
-    return _show(R.adasyn(_small(spark, sf), "vec_id", "x"))
+    return _show(R.adasyn(_cohort(spark, sf), "vec_id", "x"))
 
 
 @query(
@@ -86,7 +88,7 @@ def adasyn(spark, sf):
 )
 def resample_train_only(spark, sf):
     """Made rows join the training part; the test part is untouched."""
-    split = durable(assign_holdout(_small(spark, sf), "vec_id", seed=42))
+    split = durable(assign_holdout(_cohort(spark, sf), "vec_id", seed=42))
     train = split.filter("role = 'train'")
     both = R.with_synthetic(train, R.smote(train, "vec_id", "x"), "vec_id", "x").withColumn("role", F.lit("train"))
     test = split.filter("role = 'test'").select("role", "label", F.lit(False).alias("synthetic"))

@@ -16,10 +16,11 @@ def digest(*parts) -> Column:
 
 
 def hash_int(*parts) -> Column:
-    """First 8 hex digits of the digest as an integer in [0, 2^32)."""
-    return F.conv(F.substring(digest(*parts), 1, 8), 16, 10).cast("long")
+    """First 15 hex digits of the digest as an integer in [0, 2^60): far beyond any group's size,
+    so a draw modulo the size reaches every row about equally often."""
+    return F.conv(F.substring(digest(*parts), 1, 15), 16, 10).cast("long")
 
 
 def hash_unit(*parts) -> Column:
     """Uniform value in [0, 1)."""
-    return hash_int(*parts).cast("double") / F.lit(4294967296.0)
+    return hash_int(*parts).cast("double") / F.lit(float(1 << 60))

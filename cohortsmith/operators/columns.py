@@ -114,10 +114,7 @@ def keep_features(long: DataFrame, decision: DataFrame) -> DataFrame:
     return join_on(long, decision.filter("kept").select("feature"), ["feature"], "left_semi")
 
 
-def select_columns(df: DataFrame, keep: Sequence[str], names: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Wide form of a selection: the names are schema, so they come to the driver, at most `limit`."""
-    rows = names.select("feature").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("too many columns for the wide form; use the long form")
-    chosen = {r[0] for r in rows}
+def select_columns(df: DataFrame, keep: Sequence[str], names: DataFrame) -> DataFrame:
+    """Wide form of a selection: the names are schema, so they come to the driver."""
+    chosen = {r[0] for r in names.select("feature").collect()}
     return df.select(*keep, *[F.col(f"`{c}`") for c in df.columns if c in chosen and c not in keep])

@@ -13,8 +13,6 @@ from ..session import join_on, task_count
 from .neighbors import nearest_rows
 from .ranking import hash_rank
 
-MAX_CLASSES = 1_000
-
 
 def _class_sizes(df: DataFrame, label: str) -> tuple[int, int]:
     """(minority, majority) rows, label 1 against the rest."""
@@ -158,18 +156,12 @@ def with_synthetic(train: DataFrame, synthetic: DataFrame, id_col: str, vec_col:
 def balanced_bags(df: DataFrame, id_col: str, label: str = "label", bags: int = 100, seed: int = 42) -> DataFrame:
     """bag, label, id, multiplicity: each bag draws as many rows of every class, with
     replacement, as the rarest class has."""
-    rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError("too many classes")
-    sizes = {r[0]: r[1] for r in rows}
-    classes, least = sorted(sizes), min(sizes.values())
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
+    least = sizes.agg(F.min("_size")).first()[0] or 0
     ranked = hash_rank(df.select(id_col, label), id_col, seed, by=[label], out="_no")
-    per_bag = len(classes) * least
-    n = F.col("id")
-    pick = F.element_at(F.array(*[F.lit(c) for c in classes]), (F.floor(n / least) % len(classes)).cast("int") + 1)
-    size = F.element_at(F.array(*[F.lit(sizes[c]) for c in classes]), (F.floor(n / least) % len(classes)).cast("int") + 1)
-    draws = df.sparkSession.range(bags * per_bag).select(
-        F.floor(n / per_bag).cast("int").alias("bag"), pick.alias(label), size.alias("_size"), (n % least).alias("_j")
+    draws = repeat_rows(sizes.withColumn("_all", F.lit(bags * least)), "_all", "_d")
+    draws = draws.select(
+        F.floor(F.col("_d") / max(1, least)).cast("int").alias("bag"), label, "_size", (F.col("_d") % max(1, least)).alias("_j")
     )
     draws = draws.withColumn("_no", hash_int(seed, F.col("bag"), F.col(label), F.col("_j")) % F.col("_size") + 1)
     hit = draws.groupBy("bag", label, "_no").agg(F.count(F.lit(1)).alias("multiplicity"))

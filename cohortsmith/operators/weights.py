@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from ..session import join_on
 
-MAX_CLASSES = 1_000
-
 
 def weight_table(df: DataFrame, label: str = "label") -> DataFrame:
     """w = n / (classes * n_class)."""
@@ -24,15 +22,9 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def weigh_for_fit(df: DataFrame, label: str = "label") -> tuple[DataFrame, float]:
-    """balanced_weights as a projection, with the sum of the weights. A fit needs numbers
-    on the driver anyway: here one row per class."""
-    rows = weight_table(df, label).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError("too many classes")
-    w = F.lit(None).cast("double")
-    for r in rows:
-        w = F.when(F.col(label).eqNullSafe(F.lit(r[label])), F.lit(r["weight"])).otherwise(w)
-    return df.withColumn("weight", w), float(sum(r["n"] * r["weight"] for r in rows))
+    """balanced_weights with the sum of the weights, which a penalty needs."""
+    total = weight_table(df, label).agg(F.sum(F.col("n") * F.col("weight"))).first()[0]
+    return balanced_weights(df, label), float(total or 0.0)
 
 
 def cost_weights(df: DataFrame, ratio: float = 20.0, label: str = "label") -> DataFrame:

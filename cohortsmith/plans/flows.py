@@ -22,7 +22,7 @@ from ..operators.folds import assign_folds, assign_holdout, fold_audit, fold_val
 from ..operators.labels import require_two_classes
 from ..operators.models import run_parallel, score, select_l1_or_fallback
 from ..operators.ranking import hash_rank
-from ..operators.reduce import fit_pca, project
+from ..operators.reduce import fit_pca, project, width
 from ..operators.report import best_model, stack_folds
 from ..operators.shape import explode_features
 from ..operators.tuning import (
@@ -152,18 +152,15 @@ def leave_one_out_study(
     l1_c: float | None = 0.1,
     fallback_k: int = 25,
     top: int = 100,
-    max_fits: int = 500,
     seed: int = 42,
     parallelism: int = 4,
 ) -> Study:
-    """One fit per row and model: for small cohorts. Larger ones are refused; use
-    loo_centroid_scores (one pass) or repeated folds there."""
+    """One fit per row and model, as many as that is: for small cohorts. Elsewhere
+    loo_centroid_scores (one pass) or repeated folds say as much."""
     models = models or {"LogisticRegression": {"c": 0.5}}
     rows = durable(_standard(df, id_col, array_col, label))
     require_two_classes(rows)
     n = rows.count()
-    if n * len(models) > max_fits:
-        raise ValueError(f"{n * len(models)} fits exceed max_fits={max_fits}; use folds instead of leave-one-out")
     numbered = hash_rank(rows, ID, seed, out="_no")
     tagged = durable(numbered.select("*", F.lit(0).alias("repeat"), (F.col("_no") - 1).cast("int").alias("fold")).drop("_no"))
     recipes = recipe_rows(fold_recipes(_long(tagged), n, top))
@@ -172,7 +169,7 @@ def leave_one_out_study(
     for name, params in models.items():
 
         def fit(train, name=name, params=params):
-            kept = select_l1_or_fallback(weigh_for_fit(train)[0], range(top), l1_c, fallback_k)[0] if l1_c else None
+            kept = select_l1_or_fallback(weigh_for_fit(train)[0], range(width(train)), l1_c, fallback_k)[0] if l1_c else None
             sub = _keep_positions(train, kept) if kept else train
             model = fit_named(name, sub, params, ID, seed, 1)
             return _Narrowed(model, kept) if kept else model
@@ -215,20 +212,20 @@ def _fit_candidate(
 ):
     """Project, resample, choose by L1 where the candidate says so, and fit. Returns the
     model and the positions in use; components come from all of them."""
-    width = params["k"]
+    chosen = list(range(params["k"]))
     if pre_pca is not None:
         pca = fit_pca(train, pre_pca)
         train = durable(_components(pca, train))
         inner = {**params, "k": pca.stages[1].getK()}
         model, _ = _fit_candidate(name, train, inner, seed, parallelism, resampler)
-        return _Projected(model, pca), list(range(width))
+        return _Projected(model, pca), chosen
     train = resampled(train, resampler, seed=seed)
     kept = None
     if "l1_c" in params:
-        kept, _ = select_l1_or_fallback(weigh_for_fit(train)[0], range(width), params["l1_c"])
+        kept, _ = select_l1_or_fallback(weigh_for_fit(train)[0], range(width(train)), params["l1_c"])
         train = _keep_positions(train, kept)
     model = fit_named(name, train, params, ID, seed, parallelism)
-    return (_Narrowed(model, kept) if kept is not None else model), (kept if kept is not None else list(range(width)))
+    return (_Narrowed(model, kept) if kept is not None else model), (kept if kept is not None else chosen)
 
 
 def nested_study(
@@ -297,8 +294,8 @@ def nested_study(
             done = durable(scored.withColumn("role", F.when(F.col("fold") == f, "test").otherwise("train")).withColumn("fold", F.lit(f)))
         finally:
             ready.unpersist()
-        names = [str(recipe[i]["feature"]) for i in positions]
-        return done, (r, f, len(names), json.dumps(params), names)
+        names = [str(recipe[i]["feature"]) for i in positions if i < len(recipe)]
+        return done, (r, f, len(recipe), len(names), json.dumps(params), names)
 
     outcome = run_parallel([lambda r=r, f=f: one(r, f) for r in range(repeats) for f in range(k_outer)], parallelism)
     every = reduce(DataFrame.unionByName, [o[0] for o in outcome])
@@ -306,7 +303,7 @@ def nested_study(
     tuned = M.score_points(M.clip_unit(train if tune_on == "train" else test), FOLD)
     thresholds = M.threshold_max_f1(tuned, FOLD).select(*FOLD, "threshold")
     spark = df.sparkSession
-    meta = spark.createDataFrame([o[1] for o in outcome], "repeat int, fold int, n_features_train int, best_params string, features array<string>")
+    meta = spark.createDataFrame([o[1] for o in outcome], "repeat int, fold int, n_features_train int, n_selected int, best_params string, features array<string>")
     plan = tagged.select(ID, "label", *FOLD)
     records = _records(test, thresholds, FOLD)
     for extra in (fold_audit(plan), fold_validity(plan), meta.drop("features")):

@@ -18,7 +18,6 @@ from ..operators.select import select_k_best
 from ..session import join_on
 
 FOLD = ["repeat", "fold"]
-MAX_FEATURES = 2_000
 
 
 def fold_recipes(tagged: DataFrame, k: int, top: int, label: str = "label", impute: bool = True) -> DataFrame:
@@ -58,11 +57,10 @@ def fold_recipes(tagged: DataFrame, k: int, top: int, label: str = "label", impu
     return out.withColumn("fill", F.coalesce("fill", F.lit(0.0)))
 
 
-def recipe_rows(recipes: DataFrame, limit: int = 100_000) -> dict[tuple[int, int], list[dict]]:
-    """Recipes by (repeat, fold) on the driver: folds x selected features rows, size checked."""
-    rows = recipes.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("too many recipe rows; select fewer features")
+def recipe_rows(recipes: DataFrame) -> dict[tuple[int, int], list[dict]]:
+    """Recipes by (repeat, fold) on the driver: folds x selected features rows, the numbers of the
+    projections that apply them. They grow with the plan of folds, not with the data."""
+    rows = recipes.collect()
     out: dict[tuple[int, int], list[dict]] = {}
     for r in sorted((r.asDict() for r in rows), key=lambda r: r["rank"]):
         out.setdefault((r["repeat"], r["fold"]), []).append(r)
@@ -72,8 +70,6 @@ def recipe_rows(recipes: DataFrame, limit: int = 100_000) -> dict[tuple[int, int
 def apply_recipe(df: DataFrame, recipe: Sequence[dict], keep: Sequence[str], array_col: str | None = None, out: str = "features") -> DataFrame:
     """Vector of filled, scaled features in recipe order. Features are positions in
     `array_col`, or column names without it."""
-    if len(recipe) > MAX_FEATURES:
-        raise ValueError("a recipe is applied as a projection; select fewer features")
 
     def cell(r: dict):
         raw = F.col(array_col)[int(r["feature"])] if array_col else F.col(f"`{r['feature']}`")

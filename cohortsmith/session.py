@@ -3,6 +3,7 @@ joins and broadcasts that stay safe at scale."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,10 +27,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one is made up only on a local master."""
+    """The shared folder the cluster names; one is made up only where driver and tasks are one process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a shared folder before running on a cluster")
         shared = tempfile.mkdtemp(prefix="cohortsmith-shared-")
         spark.conf.set("spark.checkpoint.dir", shared)

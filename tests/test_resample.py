@@ -91,3 +91,15 @@ def test_balanced_bags(spark):
     bags = RS.balanced_bags(df, "id", bags=7)
     sums = {(r["bag"], r["label"]): r["s"] for r in bags.groupBy("bag", "label").agg(F.sum("multiplicity").alias("s")).collect()}
     assert len(sums) == 14 and len(set(sums.values())) == 1
+
+
+def test_draws_reach_beyond_32_bits(spark):
+    """The draw modulo a class of more than 2^32 rows takes ranks of its upper part too."""
+    from pyspark.sql import functions as F
+
+    from cohortsmith.functions.hashing import hash_int
+
+    size = 3 * 2**33
+    at = spark.range(2_000).select((hash_int(42, F.col("id")) % size + 1).alias("rank"))
+    assert at.filter(F.col("rank") > 2**34).count() > 500
+    assert at.filter(F.col("rank") < 2**32).count() > 200
