@@ -31,10 +31,16 @@ def count_tokens(text: str = "text") -> Column:
     return F.when(t.isNull() | (t == ""), F.lit(0)).otherwise(gaps + 1).cast("long")
 
 
-def draw_key(seed, block: Column) -> Column:
-    """Place of a document in one pass over its source."""
-    parts = [F.lit(str(seed)), F.col("source_key"), block.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))]
-    return F.md5(F.concat_ws(":", *parts))
+def source_key() -> Column:
+    """A row's source; a null one counts as ''."""
+    return F.coalesce(F.col("source").cast("string"), F.lit(""))
+
+
+def draw_key(seed, source: Column, block: Column, tokens: Column) -> Column:
+    """Place of a document in one pass over its source; rows with one id are told apart by
+    their tokens."""
+    parts = [F.lit(str(seed)), source, block.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))]
+    return F.concat(F.md5(F.concat_ws(":", *parts)), F.lit(":"), F.lpad(tokens.cast("string"), 12, "0"))
 
 
 class Target(NamedTuple):
@@ -79,10 +85,7 @@ def plan_mixture(docs: DataFrame, target: Target, budget_share: float | None = 1
     The budget is `budget_share` times all tokens; with None it is the least at which no
     source loses a document. A source without tokens gets one whole pass and no weight.
     """
-    rows = docs.select(
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_key"), F.col("doc_id"), count_tokens().alias("tokens")
-    )
-    rows = durable(rows)
+    rows = durable(docs.select(source_key().alias("source_key"), F.col("doc_id"), count_tokens().alias("tokens")))
     by_source = durable(rows.groupBy("source_key").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")))
     sizes = by_source.filter("tokens > 0")
     total, most = sizes.agg(F.sum("tokens"), F.max("rows")).first()
@@ -102,7 +105,7 @@ def plan_mixture(docs: DataFrame, target: Target, budget_share: float | None = 1
     plan = durable(plan.withColumn("rest", F.col("target_tokens") - F.col("blocks") * F.col("tokens")))
     digits = max(1, math.ceil(math.log(max(1, most / SLICE_ROWS), 16)))
     last = rows.join(plan.select("source_key", "blocks", "rest"), "source_key")
-    last = last.select("source_key", "rest", "tokens", F.concat(draw_key(seed, F.col("blocks")), tie()).alias("key"))
+    last = last.select("source_key", "rest", "tokens", draw_key(seed, F.col("source_key"), F.col("blocks"), F.col("tokens")).alias("key"))
     last = durable(last.withColumn("slice", F.substring("key", 1, digits)))
     # Sums of slices first: only the slice that holds the end of the budget is put in order.
     slices = last.groupBy("source_key", "rest", "slice").agg(F.sum("tokens").alias("n"))
@@ -120,25 +123,19 @@ def plan_mixture(docs: DataFrame, target: Target, budget_share: float | None = 1
     return durable(plan.drop("rest").unionByName(empty))
 
 
-def tie() -> Column:
-    """Ends a draw key: rows with one id are told apart by their tokens."""
-    return F.concat(F.lit(":"), F.lpad(F.col("tokens").cast("string"), 12, "0"))
-
-
 def realise(docs: DataFrame, plan: DataFrame, seed=0) -> DataFrame:
     """The documents with all their columns, once for each pass that takes them, and in
     __block and __key the pass and their place in it. No text is shuffled for it: a
     document's passes follow from its source's row in the plan."""
     own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(
-        *own, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_key"), count_tokens().alias("tokens__n")
-    )
-    rules = plan.select("source_key", F.col("tokens").alias("tokens__s"), "blocks", "cut_slice", "cut_key")
-    passes = rows.join(rules, "source_key").withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))))
-    key = F.concat(draw_key(seed, F.col("__block")), F.lit(":"), F.lpad(F.col("tokens__n").cast("string"), 12, "0"))
-    before = F.expr("substring(__key, 1, length(cut_slice))")
-    in_last = (before < F.col("cut_slice")) | ((before == F.col("cut_slice")) & (F.col("__key") <= F.coalesce("cut_key", F.lit(""))))
-    kept = passes.withColumn("__key", key).filter((F.col("__block") < F.col("blocks")) | F.coalesce(in_last, F.lit(False)))
+    rows = docs.select(*own, source_key().alias("__source"), count_tokens().alias("__tokens"))
+    rules = plan.select(F.col("source_key").alias("__source"), F.struct("blocks", "cut_slice", "cut_key").alias("__rule"))
+    blocks, cut_slice = F.col("__rule.blocks"), F.col("__rule.cut_slice")
+    passes = rows.join(rules, "__source").withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), blocks)))
+    keyed = passes.withColumn("__key", draw_key(seed, F.col("__source"), F.col("__block"), F.col("__tokens")))
+    before = F.expr("substring(__key, 1, length(__rule.cut_slice))")
+    in_last = (before < cut_slice) | ((before == cut_slice) & (F.col("__key") <= F.coalesce("__rule.cut_key", F.lit(""))))
+    kept = keyed.filter((F.col("__block") < blocks) | F.coalesce(in_last, F.lit(False)))
     return kept.select(*own, "__block", "__key")
 
 
