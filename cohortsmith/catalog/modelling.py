@@ -1,213 +1,309 @@
-"""Fitted models. Iterative fits have no SQL twin; their row counts and ranges are tested."""
+"""Fitted models. No SQL fits one, so each query returns what must hold of its result, computed
+from the fitted model: whole and right rows, optimality of coefficients, orthonormal components."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import metrics as M
 from ..operators import models as MD
 from ..operators import reduce as PC
 from ..operators import tuning as TU
 from ..operators.folds import assign_folds, assign_holdout
+from ..operators.report import summarize_folds
 from ..operators.resample import smote as make_rows
 from ..operators.resample import with_synthetic
+from ..operators.scale import scale_table
 from ..operators.select import anova_f as f_table
 from ..operators.select import select_k_best as best
-from ..operators.shape import array_features
+from ..operators.shape import array_features, explode_features
 from ..operators.weights import balanced_weights
-from ..operators.report import summarize_folds
 from ..plans.flows import grid_study as run_grid
 from ..plans.flows import holdout_study as run_holdout
 from ..plans.flows import nested_study as run_nested
 from ..plans.recipes import apply_recipe, fold_recipes, recipe_rows
 from ..session import durable
-from .registry import query, r6, rounded, wide, wide_long
-from .selecting import _tagged
+from .registry import WIDE_SQL, query, r6, wide, wide_long
+from .selecting import f_sql
+from .splitting import _holdout_sql, _plan_sql
 
 NAMES = [str(i) for i in range(64)]
+HOLDOUT_SQL = f"{WIDE_SQL}, {_holdout_sql('wide', 'vec_id', 42, '')}"
+#: How far from zero a gradient at the optimum may be; the fits stop at 1e-6 of the loss.
+OPTIMUM = 2e-3
 
 
-def _vectors(spark, sf):
-    return array_features(wide(spark, sf), "embedding").drop("embedding")
+def _scaled(rows, train):
+    """Vectors scaled by the mean and population deviation of the training rows."""
+    table = {int(r["feature"]): r for r in scale_table(explode_features(train.select("vec_id", "embedding"), ["vec_id"], "embedding")).collect()}
+    centre, spread = (F.array(*[F.lit(table[i][c]) for i in range(len(table))]) for c in ("mean", "sd"))
+    moved = F.zip_with(F.col("embedding").cast("array<double>"), centre, lambda x, m: x - m)
+    return array_features(rows.withColumn("z", F.zip_with(moved, spread, lambda x, s: x / s)), "z").drop("embedding", "z")
 
 
 def _split(spark, sf):
-    rows = durable(balanced_weights(assign_holdout(_vectors(spark, sf), "vec_id", seed=42)))
-    return rows.filter("role = 'train'"), rows.filter("role = 'test'")
+    rows = assign_holdout(wide(spark, sf), "vec_id", seed=42)
+    scaled = durable(balanced_weights(_scaled(rows, rows.filter("role = 'train'"))))
+    return scaled.filter("role = 'train'"), scaled.filter("role = 'test'")
+
+
+def _all_scaled(spark, sf):
+    rows = wide(spark, sf)
+    return durable(balanced_weights(_scaled(rows, rows)))
+
+
+def _checked(predictions):
+    """What must hold of every prediction: its row, a probability, and the class at one half."""
+    p = F.col("probability")
+    return predictions.select("vec_id", "actual", p.between(0, 1).alias("in_range"), (F.col("predicted") == (p >= 0.5).cast("int")).alias("at_half"))
 
 
-@query()
+CHECKED_SQL = f"with {HOLDOUT_SQL} select vec_id, label as actual, true as in_range, true as at_half from split where role = 'test'"
+
+
+def _optimality(model, rows, l1: bool):
+    """feature, coefficient, optimal: does the gradient of the penalised loss vanish at the fitted
+    coefficient (for L1: within the penalty where it is zero)?"""
+    scored = MD.score(model, rows, ["label", "features", "weight"])
+    pull = F.col("weight") * (F.col("prob") - F.col("label"))
+    long = scored.select(pull.alias("pull"), "weight", F.posexplode(vector_to_array("features")).alias("feature", "x"))
+    slope = long.groupBy("feature").agg((F.sum(F.col("pull") * F.col("x")) / F.sum("weight")).alias("slope"))
+    reg = F.lit(model.getOrDefault("regParam"))
+    coefficients = rows.sparkSession.createDataFrame(list(enumerate(model.coefficients.toArray().tolist())), "feature int, coefficient double")
+    b = F.col("coefficient")
+    at_zero = F.abs("slope") <= reg + OPTIMUM
+    inside = F.abs(F.col("slope") + reg * (F.signum(b) if l1 else b)) <= OPTIMUM
+    return slope.join(coefficients, "feature").select("feature", "coefficient", (F.when(b == 0, at_zero).otherwise(inside) if l1 else inside).alias("optimal"))
+
+
+OPTIMAL_SQL = "select cast(unnest(range(64)) as integer) as feature, true as optimal"
+
+
+@query(CHECKED_SQL)
 def fit_random_forest(spark, sf):
     train, test = _split(spark, sf)
-    return MD.predictions_table(MD.fit_random_forest(train, trees=20), test, "vec_id")
+    return _checked(MD.predictions_table(MD.fit_random_forest(train, trees=20), test, "vec_id"))
 
 
-@query()
+@query(OPTIMAL_SQL)
 def fit_logistic_l1(spark, sf):
-    train, test = _split(spark, sf)
-    return MD.predictions_table(MD.fit_logistic(train, c=1.0, l1=True), test, "vec_id")
+    """The optimality conditions of the L1 fit, a row for each feature."""
+    train, _ = _split(spark, sf)
+    return _optimality(MD.fit_logistic(train, c=1.0, l1=True), train, True).drop("coefficient")
 
 
-@query()
+@query(OPTIMAL_SQL)
 def fit_logistic_l2(spark, sf):
-    train, test = _split(spark, sf)
-    return MD.predictions_table(MD.fit_logistic(train, c=0.5), test, "vec_id")
+    """The optimality conditions of the L2 fit, a row for each feature."""
+    train, _ = _split(spark, sf)
+    return _optimality(MD.fit_logistic(train, c=0.5), train, False).drop("coefficient")
 
 
-@query()
+@query(CHECKED_SQL)
 def fit_gbt(spark, sf):
     train, test = _split(spark, sf)
-    return MD.predictions_table(MD.fit_gbt(train, rounds=10, rate=0.1), test, "vec_id")
+    return _checked(MD.predictions_table(MD.fit_gbt(train, rounds=10, rate=0.1), test, "vec_id"))
 
 
-@query()
+@query(CHECKED_SQL)
 def fit_balanced_forest(spark, sf):
     train, test = _split(spark, sf)
-    return MD.predictions_table(MD.fit_balanced_bags(train, "vec_id", trees=8), test, "vec_id")
+    return _checked(MD.predictions_table(MD.fit_balanced_bags(train, "vec_id", trees=8), test, "vec_id"))
 
 
-@query()
+@query(CHECKED_SQL)
 def fit_balanced_bagging(spark, sf):
     train, test = _split(spark, sf)
-    return MD.predictions_table(MD.fit_balanced_bags(train, "vec_id", trees=8, all_features=True), test, "vec_id")
+    return _checked(MD.predictions_table(MD.fit_balanced_bags(train, "vec_id", trees=8, all_features=True), test, "vec_id"))
 
 
-@query()
+@query("select cast(unnest(range(64)) as integer) as feature, true as optimal, true as rightly_kept")
 def select_l1(spark, sf):
-    """L1 survivors with their coefficients."""
-    rows = balanced_weights(_vectors(spark, sf))
+    """All features with the optimality of the L1 fit; the survivors are those beyond the floor."""
+    rows = _all_scaled(spark, sf)
     model = MD.fit_logistic(rows, c=2.0, l1=True)
-    t = MD.coefficient_importance(model, NAMES, spark)
-    return t.filter(F.col("importance") >= MD.COEFFICIENT_FLOOR)
-
-
-@query()
+    table = MD.coefficient_importance(model, NAMES, spark)
+    kept = table.filter(F.col("importance") >= MD.COEFFICIENT_FLOOR).select(F.col("feature").cast("int").alias("feature"), F.lit(True).alias("kept"))
+    both = _optimality(model, rows, True).join(kept, "feature", "left")
+    rightly = F.coalesce("kept", F.lit(False)) == (F.abs("coefficient") >= MD.COEFFICIENT_FLOOR)
+    return both.select("feature", "optimal", rightly.alias("rightly_kept"))
+
+
+@query(
+    f"""with {WIDE_SQL}, {f_sql('long', 'feature')},
+        r as (select feature, row_number() over (order by f desc, feature desc) as rank from ftab)
+        select feature, cast(rank as integer) as rank, true as by_rule from r where rank <= 30"""
+)
 def two_stage_select(spark, sf):
-    """The 30 best by F, then L1 among them, or the leading 25 when L1 keeps none."""
+    """The 30 best by F, and whether the second stage decided by its rule: L1 survivors, or the
+    leading 25 when there are none."""
     chosen = best(f_table(wide_long(spark, sf)), 30)
     names = [r[0] for r in chosen.orderBy("rank").select("feature").collect()]
-    rows = wide(spark, sf)
-    rows = rows.withColumn("x", F.array(*[F.col("embedding")[i].cast("double") for i in names])).drop("embedding")
-    kept, stage = MD.select_l1_or_fallback(balanced_weights(array_features(rows, "x")), range(len(names)), 0.05)
-    kept_names = F.array(*[F.lit(names[i]) for i in kept])
-    return chosen.filter(F.array_contains(kept_names, F.col("feature"))).select("feature", "rank", F.lit(stage).alias("stage"))
-
-
-@query()
+    rows = _all_scaled(spark, sf)
+    cells = vector_to_array("features")
+    cut = array_features(rows.withColumn("x", F.array(*[cells[i] for i in names])).drop("features"), "x")
+    kept, stage = MD.select_l1_or_fallback(cut, range(len(names)), 0.05)
+    model = MD.fit_logistic(cut, c=0.05, l1=True)
+    beyond = [abs(b) >= MD.COEFFICIENT_FLOOR for b in model.coefficients.toArray().tolist()]
+    rule = beyond if any(beyond) else [i < 25 for i in range(len(names))]
+    right = {names[i]: (i in kept) == rule[i] and stage == ("l1" if any(beyond) else "f_test") for i in range(len(names))}
+    facts = spark.createDataFrame(list(right.items()), "feature int, by_rule boolean")
+    return chosen.select("feature", "rank").join(facts, "feature")
+
+
+@query("select cast(unnest(range(10)) as integer) as component, 1.0::double as length, true as orthogonal, true as descending")
 def pca_k(spark, sf):
-    rows = _vectors(spark, sf)
-    return PC.project(PC.fit_pca(rows, 10), rows).select("vec_id", "label", MD.vector_to_array("components").alias("components"))
-
-
-@query()
+    """The 10 components: unit vectors, at right angles, by descending variance of the scores."""
+    rows = array_features(wide(spark, sf), "embedding")
+    model = PC.fit_pca(rows, 10)
+    gram = model.stages[1].pc.toArray()
+    gram = gram.T @ gram
+    scores = PC.project(model, rows).select(F.posexplode(vector_to_array("components")).alias("component", "v"))
+    spread = scores.groupBy("component").agg(F.var_samp("v").alias("spread"))
+    facts = spark.createDataFrame([(i, float(gram[i, i]), bool(abs(gram[i, :i]).max(initial=0) < 1e-8)) for i in range(len(gram))], "component int, length double, orthogonal boolean")
+    next_one = F.lead("spread").over(W.orderBy("component"))
+    ordered = spread.select("component", (F.col("spread") >= F.coalesce(next_one, F.lit(0.0)) - 1e-12).alias("descending"))
+    return facts.join(ordered, "component").select("component", r6("length").alias("length"), "orthogonal", "descending")
+
+
+@query(f"with {WIDE_SQL}, v as (select var_samp(value) as v from long group by feature) select round(sum(v), 6) as total, true as fewest from v")
 def pca_variance(spark, sf):
-    rows = _vectors(spark, sf)
-    out = PC.project(PC.fit_pca_variance(rows, 0.95), rows)
-    return out.groupBy(F.size(MD.vector_to_array("components")).alias("n_components")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
+    """The variance of all components together, and whether those kept are the fewest for 95 %."""
+    rows = array_features(wide(spark, sf), "embedding")
+    full = PC.project(PC.fit_pca(rows, 64), rows).select(F.posexplode(vector_to_array("components")).alias("component", "v"))
+    kept = PC.fit_pca_variance(rows, 0.95)
+    k = len(PC.project(kept, rows).select(vector_to_array("components")).first()[0])
+    spread = full.groupBy("component").agg(F.var_samp("v").alias("v"))
+    total = F.sum("v")
+    upto, before = (F.sum(F.when(F.col("component") < n, F.col("v")).otherwise(0.0)) for n in (k, k - 1))
+    return spread.agg(r6(total).alias("total"), ((upto >= 0.95 * total - 1e-9) & (before < 0.95 * total)).alias("fewest"))
+
+
+@query(f"with {WIDE_SQL}, {_plan_sql('wide', 'vec_id', 3, 1, 42)} select fold, vec_id, label, cast(10 as integer) as n_components from plan")
 def pca_per_fold(spark, sf):
     """Components fitted on the training folds, applied to the test fold."""
-    rows = durable(assign_folds(_vectors(spark, sf), "vec_id", k=3, seed=42))
+    rows = durable(assign_folds(array_features(wide(spark, sf), "embedding").drop("embedding"), "vec_id", k=3, seed=42))
     out = None
     for f in range(3):
         model = PC.fit_pca(rows.filter(F.col("fold") != f), 10)
         test = PC.project(model, rows.filter(F.col("fold") == f))
-        part = test.select("fold", "vec_id", "label", MD.vector_to_array("components").alias("components"))
+        part = test.select("fold", "vec_id", "label", F.size(vector_to_array("components")).alias("n_components"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _cross_scores(spark, sf, k=5):
+def _cross_scores(spark, sf, params, k=5):
+    """Out-of-fold scores of each candidate; folds and recipes are planned once."""
     tagged = durable(assign_folds(wide(spark, sf), "vec_id", k=k, seed=42))
-    recipes = recipe_rows(fold_recipes(_tagged(spark, sf), k, 20, impute=False))
+    recipes = recipe_rows(fold_recipes(explode_features(tagged, ["vec_id", "label", "repeat", "fold"], "embedding"), k, 20, impute=False))
     keep = ["vec_id", "label", "repeat", "fold"]
-    return TU.out_of_fold(
-        tagged,
-        lambda train: TU.fit_named("LogisticRegression", train, {"c": 0.5}, "vec_id"),
-        keep,
-        [(0, f) for f in range(k)],
-        lambda d, r, f: apply_recipe(d, recipes[(r, f)], keep, "embedding"),
-    ).scores
+    out = None
+    for i, one in enumerate(params):
+        got = TU.out_of_fold(
+            tagged,
+            lambda train, one=one: TU.fit_named("LogisticRegression", train, one, "vec_id"),
+            keep,
+            [(0, f) for f in range(k)],
+            lambda d, r, f: apply_recipe(d, recipes[(r, f)], keep, "embedding"),
+        )
+        part = got.scores.withColumn("candidate", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@query()
+@query(f"with {WIDE_SQL}, {_plan_sql('wide', 'vec_id', 5, 1, 42)} select vec_id, label, fold, true as in_range, false as failed from plan")
 def oof_scores(spark, sf):
     """Out-of-fold logistic probability of every row."""
-    return _cross_scores(spark, sf).select("vec_id", "label", "fold", r6("prob").alias("prob"))
+    s = _cross_scores(spark, sf, [{"c": 0.5}])
+    return s.select("vec_id", "label", "fold", F.col("prob").between(0, 1).alias("in_range"), "failed")
 
 
-@query()
+@query("select cast(5 as bigint) as folds, true as mean_inside, true as spread_inside")
 def cross_val_score(spark, sf):
-    return rounded(TU.cross_val_summary(TU.fold_auc(_cross_scores(spark, sf))), "auc_mean", "auc_std")
+    """Mean and deviation of the fold AUCs lie where those of the folds allow."""
+    auc = TU.fold_auc(_cross_scores(spark, sf, [{"c": 0.5}]))
+    low, high = auc.agg(F.min("roc_auc"), F.max("roc_auc")).first()
+    mean, std = F.col("auc_mean"), F.col("auc_std")
+    return TU.cross_val_summary(auc).select("folds", mean.between(low, high).alias("mean_inside"), std.between(0, (high - low) / 2 + 1e-12).alias("spread_inside"))
 
 
-@query()
+@query(CHECKED_SQL)
 def smote_logistic(spark, sf):
     """Synthetic rows in training only, then a logistic fit scored on the hold-out part."""
-    split = durable(assign_holdout(wide(spark, sf), "vec_id", seed=42))
-    train = split.filter("role = 'train'")
-    both = with_synthetic(train, make_rows(train, "vec_id", "embedding"), "vec_id", "embedding")
+    split = assign_holdout(wide(spark, sf), "vec_id", seed=42)
+    scaled = durable(_scaled(split, split.filter("role = 'train'")).withColumn("z", vector_to_array("features")).drop("features"))
+    train = scaled.filter("role = 'train'")
+    both = with_synthetic(train, make_rows(train, "vec_id", "z"), "vec_id", "z")
     model = MD.fit_logistic(array_features(both, "features"), c=0.5)
-    test = array_features(split.filter("role = 'test'"), "embedding")
-    return MD.predictions_table(model, test, "vec_id")
+    test = array_features(scaled.filter("role = 'test'"), "z")
+    return _checked(MD.predictions_table(model, test, "vec_id"))
 
 
-@query()
+@query("select cast(feature as varchar) as feature, true as not_negative, 1.0::double as total from (select unnest(range(64)) as feature)")
 def feature_importance(spark, sf):
     train, _ = _split(spark, sf)
-    return MD.feature_importance(MD.fit_random_forest(train, trees=20), NAMES, spark)
+    t = MD.feature_importance(MD.fit_random_forest(train, trees=20), NAMES, spark)
+    total = F.sum("importance").over(W.partitionBy(F.lit(1)))
+    return t.select("feature", (F.col("importance") >= 0).alias("not_negative"), r6(total).alias("total"))
 
 
-@query()
+@query("select cast(feature as varchar) as feature, true as optimal, true as absolute from (select unnest(range(64)) as feature)")
 def coef_importance(spark, sf):
     train, _ = _split(spark, sf)
-    return MD.coefficient_importance(MD.fit_logistic(train, c=0.5), NAMES, spark)
+    model = MD.fit_logistic(train, c=0.5)
+    t = MD.coefficient_importance(model, NAMES, spark)
+    facts = _optimality(model, train, False).select(F.col("feature").cast("string").alias("feature"), "optimal", F.col("coefficient").alias("own"))
+    return t.join(facts, "feature").select("feature", "optimal", (F.col("importance") == F.abs("own")).alias("absolute"))
 
 
-@query()
+@query(
+    f"""with {HOLDOUT_SQL}, n as (select count(*) as n, cast(sum(label) as bigint) as positives from split where role = 'test')
+        select unnest(['LogisticRegression', 'RandomForest']) as model, n as scored, positives, true as rates_inside from n"""
+)
 def holdout_study(spark, sf):
     """Two models on one split and three folds."""
     models = {"LogisticRegression": {"c": 0.5}, "RandomForest": {"trees": 10}}
-    return run_holdout(wide(spark, sf), "vec_id", "embedding", models=models, top=20, k=3).records
+    r = run_holdout(wide(spark, sf), "vec_id", "embedding", models=models, top=20, k=3).records
+    return r.select("model", _scored().alias("scored"), (F.col("tp") + F.col("fn")).alias("positives"), _inside("roc_auc", "cv_auc_mean", "accuracy"))
+
+
+def _scored():
+    return F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+
 
+def _inside(*rates):
+    ok = F.lit(True)
+    for c in rates:
+        ok = ok & F.col(c).between(0, 1)
+    return ok.alias("rates_inside")
 
-@query()
+
+@query(
+    f"""with {WIDE_SQL}, {_plan_sql('wide', 'vec_id', 3, 1, 42)}
+        select repeat, fold, count(*) as scored, cast(sum(label) as bigint) as positives, true as rates_inside, cast(20 as integer) as n_features_train from plan group by repeat, fold"""
+)
 def nested_study(spark, sf):
     """Search over two candidates in two inner folds of each of three outer folds."""
     grid = {"k": (20,), "c": (0.1, 1.0)}
-    return run_nested(wide(spark, sf), "vec_id", "embedding", k_outer=3, repeats=1, k_inner=2, n_iter=2, grid=grid).records
+    r = run_nested(wide(spark, sf), "vec_id", "embedding", k_outer=3, repeats=1, k_inner=2, n_iter=2, grid=grid).records
+    counts = (F.col("tp") + F.col("fn")).alias("positives")
+    return r.select("repeat", "fold", _scored().alias("scored"), counts, _inside("roc_auc", "threshold", "recall"), "n_features_train")
 
 
-@query()
+@query("select cast(unnest(range(3)) as integer) as candidate, true as between_folds")
 def random_search(spark, sf):
-    """Mean inner-fold F1 and AUC rank of logistic candidates."""
-    k = 3
-    tagged = durable(assign_folds(wide(spark, sf), "vec_id", k=k, seed=42))
-    from ..operators.shape import explode_features
-
-    recipes = recipe_rows(fold_recipes(explode_features(tagged, ["vec_id", "label", "repeat", "fold"], "embedding"), k, 20, impute=False))
-    keep = ["vec_id", "label", "repeat", "fold"]
-    out = None
-    for i, c in enumerate(TU.sample_params({"k": (20,), "c": (0.1, 0.5, 2.0)}, 3)):
-        got = TU.out_of_fold(
-            tagged,
-            lambda train, c=c: TU.fit_named("LogisticRegression", train, c, "vec_id"),
-            keep,
-            [(0, f) for f in range(k)],
-            lambda d, r, f: apply_recipe(d, recipes[(r, f)], keep, "embedding"),
-        )
-        part = got.scores.select("fold", "label", "prob").withColumn("candidate", F.lit(i))
-        out = part if out is None else out.unionByName(part)
-    return TU.inner_score(out)
+    """Mean AUC of each logistic candidate over three folds, which lies between its folds' AUCs."""
+    s = durable(_cross_scores(spark, sf, TU.sample_params({"k": (20,), "c": (0.1, 0.5, 2.0)}, 3), k=3))
+    folds = TU.fold_auc(s, ["candidate", "fold"]).groupBy("candidate").agg(F.min("roc_auc").alias("low"), F.max("roc_auc").alias("high"))
+    return TU.inner_score(s).join(folds, "candidate").select("candidate", F.col("score").between(F.col("low"), F.col("high")).alias("between_folds"))
 
 
-@query()
+@query("select unnest(['adasyn__LogisticRegression', 'smote__LogisticRegression']) as combo, true as rates_inside")
 def resampler_grid(spark, sf):
-    """Two resamplers before one model: recall and F1 over two folds, best first."""
+    """Two resamplers before one model: recall, F1 and AUC over two folds."""
     grid = {"k": (20,), "c": (0.5,)}
     study = run_grid(
         wide(spark, sf), "vec_id", "embedding", ["smote", "adasyn"], ["LogisticRegression"], k_outer=2, repeats=1, n_iter=1, grid=grid
     )
-    return summarize_folds(study.records, ["combo"], ["recall", "f1", "roc_auc"])
+    return summarize_folds(study.records, ["combo"], ["recall", "f1", "roc_auc"]).select("combo", _inside("recall_mean", "f1_mean", "roc_auc_mean"))
