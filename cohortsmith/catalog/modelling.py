@@ -19,6 +19,7 @@ from ..operators.select import anova_f as f_table
 from ..operators.select import select_k_best as best
 from ..operators.shape import array_features, explode_features
 from ..operators.weights import balanced_weights
+from ..plans.flows import final_fit, interval_summary
 from ..plans.flows import grid_study as run_grid
 from ..plans.flows import holdout_study as run_holdout
 from ..plans.flows import nested_study as run_nested
@@ -307,3 +308,26 @@ def resampler_grid(spark, sf):
         wide(spark, sf), "vec_id", "embedding", ["smote", "adasyn"], ["LogisticRegression"], k_outer=2, repeats=1, n_iter=1, grid=grid
     )
     return summarize_folds(study.records, ["combo"], ["recall", "f1", "roc_auc"]).select("combo", _inside("recall_mean", "f1_mean", "roc_auc_mean"))
+
+
+@query(
+    f"""with {WIDE_SQL}, {f_sql('long', 'feature')},
+        r as (select feature, row_number() over (order by f desc, feature desc) as rank from ftab)
+        select cast(feature as varchar) as feature, 1.0::double as total, true as not_negative from r where rank <= 50"""
+)
+def final_importance(spark, sf):
+    """The last fit on all rows: importance of the 50 best features by F."""
+    _, t = final_fit(wide(spark, sf), "vec_id", "embedding", "RandomForest", params={"trees": 100})
+    total = F.sum("importance").over(W.partitionBy(F.lit(1)))
+    return t.select("feature", r6(total).alias("total"), (F.col("importance") >= 0).alias("not_negative"))
+
+
+@query("select 'LogisticRegression' as model, cast(5 as bigint) as folds, true as inside")
+def models_summary(spark, sf):
+    """Five outer folds: each mean lies in its bootstrap interval."""
+    r = run_nested(wide(spark, sf), "vec_id", "embedding", k_outer=5, repeats=1, n_iter=1, grid={"k": (20,), "c": (0.5,)}).records
+    s = interval_summary(r, ["model"])
+    inside = F.lit(True)
+    for m in ("accuracy", "roc_auc", "f1"):
+        inside = inside & F.col(f"{m}_mean").between(F.col(f"{m}_ci_low"), F.col(f"{m}_ci_high"))
+    return s.select("model", "folds", inside.alias("inside"))

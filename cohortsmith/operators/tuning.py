@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from . import metrics as M
-from .models import fit_balanced_bags, fit_gbt, fit_logistic, fit_random_forest, run_parallel, score
-from .weights import weigh_for_fit
+from .models import fit_balanced_bags, fit_gbt, fit_logistic, fit_random_forest, run_parallel, score, with_unit_weight
+from .weights import cost_weights, weigh_for_fit
 
 # Candidate lists per model.
 KBEST_CANDIDATES = (20, 30, 50, 75, 100)
@@ -39,6 +39,24 @@ def param_grid(model: str, n_features: int) -> dict[str, tuple]:
     return {**grid, **GRIDS[model]}
 
 
+def search_lists(name: str, model: str, n_features: int) -> dict[str, tuple]:
+    """Candidate lists of three further searches, with the neighbour count of a resampler.
+    A training set that has fewer rare rows caps smote_k where it is used."""
+    p = n_features
+    # Fixed values.
+    lists = {
+        "robust": {"smote_k": (1, 2, 3), "k": (50, 100, 200), "l1_c": (0.02, 0.05, 0.1, 0.2)},
+        "resampling": {"smote_k": (1, 2, 3), "k": (50, 100, min(200, max(50, p // 10)))},
+        "focused": {"smote_k": (1, 2), "k": (100, 200, min(500, max(100, p // 10))), "l1_c": (0.1, 0.5, 1.0)},
+    }
+    trees = {
+        "robust": {"RandomForest": {"trees": (100, 200), "depth": (3, 5, None)}, "GradientBoosting": {"rounds": (100, 200), "depth": (3, 5)}},
+        "resampling": {"BalancedRF": {"trees": (100, 200)}, "BalancedBagging": {"trees": (100, 200)}},
+        "focused": {"BalancedRF": {"trees": (100, 200)}},
+    }
+    return {**lists[name], **trees[name].get(model, {})}
+
+
 def grid_table(spark: SparkSession, grid: dict[str, Sequence]) -> DataFrame:
     """All combinations as rows of (candidate, params)."""
     names = sorted(grid)
@@ -61,13 +79,16 @@ def model_grid(spark: SparkSession, resamplers: Sequence[str], models: Sequence[
 
 
 def fit_named(model: str, train: DataFrame, params: dict, id_col: str, seed: int = 42, parallelism: int = 4):
-    """Fit by name. Class weights are balanced for every model but boosting and balanced bags."""
-    own = {k: v for k, v in params.items() if k not in ("k", "l1_c")}
+    """Fit by name. `weights` is 'balanced' (the rule for forests and logistic models), None
+    (the rule for boosting) or the cost of a positive row; balanced bags need none."""
+    own = {k: v for k, v in params.items() if k not in ("k", "l1_c", "smote_k")}
+    weights = own.pop("weights", None if model == "GradientBoosting" else "balanced")
+    if model not in ("BalancedRF", "BalancedBagging") and weights is not None:
+        train = weigh_for_fit(train)[0] if weights == "balanced" else cost_weights(train, weights)
     if model == "RandomForest":
-        return fit_random_forest(weigh_for_fit(train)[0], seed=seed, **own)
+        return fit_random_forest(train, seed=seed, **own)
     if model == "LogisticRegression":
-        weighted, total = weigh_for_fit(train)
-        return fit_logistic(weighted, reg=1.0 / (own.get("c", 1.0) * total), **own)
+        return fit_logistic(with_unit_weight(train), **own)
     if model == "GradientBoosting":
         return fit_gbt(train, seed=seed, **own)
     if model == "BalancedRF":

@@ -20,10 +20,10 @@ from ..operators import metrics as M
 from ..operators import resample as RS
 from ..operators.folds import assign_folds, assign_holdout, fold_audit, fold_validity
 from ..operators.labels import require_two_classes
-from ..operators.models import run_parallel, score, select_l1_or_fallback
+from ..operators.models import coefficient_importance, feature_importance, run_parallel, score, select_l1_or_fallback
 from ..operators.ranking import hash_rank
 from ..operators.reduce import fit_pca, project, width
-from ..operators.report import best_model, stack_folds
+from ..operators.report import best_model, stack_folds, summarize_folds
 from ..operators.shape import explode_features
 from ..operators.tuning import (
     FoldScores,
@@ -208,21 +208,21 @@ def _components(pca, df: DataFrame) -> DataFrame:
 
 
 def _fit_candidate(
-    name: str, train: DataFrame, params: dict, seed: int, parallelism: int, resampler: str | None = None, pre_pca: int | None = None
+    name: str, train: DataFrame, params: dict, seed: int, parallelism: int, resampler: str | None = None, pre_pca: int | None = None, l1_c: float | None = None
 ):
-    """Project, resample, choose by L1 where the candidate says so, and fit. Returns the
-    model and the positions in use; components come from all of them."""
+    """Project, resample, choose by L1 at the candidate's C or else at `l1_c` (None: no such
+    stage), and fit. Returns the model and the positions in use; components come from all of them."""
     chosen = list(range(params["k"]))
     if pre_pca is not None:
         pca = fit_pca(train, pre_pca)
         train = durable(_components(pca, train))
         inner = {**params, "k": pca.stages[1].getK()}
-        model, _ = _fit_candidate(name, train, inner, seed, parallelism, resampler)
+        model, _ = _fit_candidate(name, train, inner, seed, parallelism, resampler, l1_c=l1_c)
         return _Projected(model, pca), chosen
-    train = resampled(train, resampler, seed=seed)
-    kept = None
-    if "l1_c" in params:
-        kept, _ = select_l1_or_fallback(weigh_for_fit(train)[0], range(width(train)), params["l1_c"])
+    train = resampled(train, resampler, k=params.get("smote_k", 5), seed=seed)
+    kept, c = None, params.get("l1_c", l1_c)
+    if c is not None:
+        kept, _ = select_l1_or_fallback(weigh_for_fit(train)[0], range(width(train)), c)
         train = _keep_positions(train, kept)
     model = fit_named(name, train, params, ID, seed, parallelism)
     return (_Narrowed(model, kept) if kept is not None else model), (kept if kept is not None else chosen)
@@ -243,12 +243,14 @@ def nested_study(
     tune_on: str = "train",
     resampler: str | None = None,
     pre_pca: int | None = None,
+    l1_c: float | None = 0.1,
     seed: int = 42,
     parallelism: int = 4,
 ) -> Study:
     """Repeated outer folds; inside each a random search over inner folds; the threshold
     with the best F1 on the outer training scores ('test' tunes on the test fold, which
-    is optimistic).
+    is optimistic). Every model has an L1 stage after the choice by F; a grid that names l1_c
+    tunes it, otherwise it stays at the argument.
 
     Every fitted number, selection included, comes from the training rows of its fold.
     """
@@ -275,7 +277,7 @@ def nested_study(
             for i, params in enumerate(candidates):
                 got: FoldScores = out_of_fold(
                     inner,
-                    lambda train, params=params: _fit_candidate(model, train, params, seed, 1, resampler, pre_pca)[0],
+                    lambda train, params=params: _fit_candidate(model, train, params, seed, 1, resampler, pre_pca, l1_c)[0],
                     keep,
                     [(0, g) for g in range(k_inner)],
                     lambda d, rr, g, params=params: apply_recipe(d, recipes[(rr, g)][: params["k"]], keep, "x"),
@@ -289,7 +291,7 @@ def nested_study(
         recipe = outer[(r, f)][: params["k"]]
         ready = apply_recipe(here, recipe, keep, "x").persist()
         try:
-            fitted, positions = _fit_candidate(model, ready.filter(F.col("fold") != f), params, seed, 1, resampler, pre_pca)
+            fitted, positions = _fit_candidate(model, ready.filter(F.col("fold") != f), params, seed, 1, resampler, pre_pca, l1_c)
             scored = score(fitted, ready, keep)
             done = durable(scored.withColumn("role", F.when(F.col("fold") == f, "test").otherwise("train")).withColumn("fold", F.lit(f)))
         finally:
@@ -312,6 +314,39 @@ def nested_study(
     return Study(test, durable(records.withColumn("model", F.lit(model))), selected, errors=errors)
 
 
+def final_fit(
+    df: DataFrame,
+    id_col: str,
+    array_col: str,
+    model: str = "RandomForest",
+    label: str = "label",
+    params: dict | None = None,
+    top: int = 50,
+    seed: int = 42,
+) -> tuple[object, DataFrame]:
+    """A last fit on all rows with the best `top` features by F: the model, and feature and
+    importance (for a logistic model the absolute coefficient), highest first."""
+    rows = _standard(df, id_col, array_col, label)
+    # All rows are the training part of a plan of two folds whose first is empty.
+    tagged = durable(rows.select("*", F.lit(0).alias("repeat"), F.lit(1).alias("fold")))
+    recipe = recipe_rows(fold_recipes(_long(tagged), 2, top))[(0, 0)]
+    fitted = fit_named(model, apply_recipe(tagged, recipe, [ID, "label"], "x"), params or {}, ID, seed)
+    names = [str(r["feature"]) for r in recipe]
+    if model == "LogisticRegression":
+        return fitted, coefficient_importance(fitted, names, df.sparkSession).select("feature", "importance")
+    return fitted, feature_importance(fitted, names, df.sparkSession)
+
+
+def interval_summary(records: DataFrame, by: Sequence[str], metrics: Sequence[str] = ("accuracy", "roc_auc", "f1"), draws: int = 2_000) -> DataFrame:
+    """Fold means and deviations per group, and the bootstrap interval of each metric's mean."""
+    keyed = durable(records.withColumn("_row", F.concat_ws("-", *by, *FOLD)))
+    out = summarize_folds(keyed, by, metrics)
+    for m in metrics:
+        ci = M.bootstrap_ci(keyed, "_row", m, by, draws).select(*by, F.col("ci_low").alias(f"{m}_ci_low"), F.col("ci_high").alias(f"{m}_ci_high"))
+        out = join_on(out, ci, by, "left")
+    return out
+
+
 def grid_study(
     df: DataFrame,
     id_col: str,

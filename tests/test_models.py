@@ -170,7 +170,7 @@ def test_nested_study(cohort, model, grid, resampler):
     for r in rows:
         assert r["test_size"] == 60 and r["note"] == "ok" and r["roc_auc"] > 0.75
         assert 0.0 <= r["threshold"] <= 1.0
-        assert s.selected.filter((F.col("fold") == r["fold"])).count() == r["n_features_train"]
+        assert s.selected.filter((F.col("fold") == r["fold"])).count() == r["n_selected"] <= r["n_features_train"]
     assert s.selected.filter("feature in ('0', '1')").count() >= 2
 
 
