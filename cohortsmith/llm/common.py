@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
@@ -18,7 +19,7 @@ from pyspark.sql.types import StructType
 from ..session import durable
 
 #: Bytes of text that one vectorised step works on.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -26,9 +27,17 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _shipped: set[str] = set()
 
 
+#: Rows and bytes of a batch that goes to a Python worker, where the session leaves Spark's defaults.
+BATCH = {"maxRecordsPerBatch": ("10000", "1000"), "maxBytesPerBatch": ("2147483647", str(16 << 20))}
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the workers, once a Spark application."""
+    """Sends this package to the workers, once a Spark application, and bounds their batches."""
     sc = spark.sparkContext
+    for name, (default, bound) in BATCH.items():
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, default).rstrip("b") == default:
+            spark.conf.set(key, bound)
     if sc.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parents[1]
@@ -41,6 +50,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def _settle() -> None:
+    """Gives what a finished task has freed back to the system: workers live on for other steps."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """mapInPandas whose function may use this package's modules on the workers, and that keeps
     whole numbers whole where a column has nulls."""
@@ -59,6 +77,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[p
         for out in fn(pandas_of(batches)):
             if len(out):
                 yield pa.RecordBatch.from_pandas(out, schema=kind, preserve_index=False)
+        _settle()
 
     return df.mapInArrow(run, schema)
 
@@ -71,6 +90,7 @@ def keep_rows(df: DataFrame, decide: Callable[[list], np.ndarray], column: str)
         for b in batches:
             if b.num_rows:
                 yield b.filter(pa.array(decide(b.column(column).to_pylist())))
+        _settle()
 
     return df.mapInArrow(run, df.schema)
 

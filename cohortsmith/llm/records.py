@@ -30,8 +30,8 @@ HEAD = struct.Struct("<QI")
 START = struct.Struct("<qB")
 TAIL = struct.Struct("<I")
 MASK = 0xA282EAD8
-#: Pieces a worker remembers before it starts afresh.
-REMEMBERED = 2_000_000
+#: Pieces a worker remembers before it forgets the longer half, which come up least.
+REMEMBERED = 1_000_000
 
 _two_spaces = re.compile(r"\s\s").search
 _workers: dict[str, "PieceEncoder"] = {}
@@ -110,8 +110,9 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.first) + len(self.later) > REMEMBERED:
+            middle = sorted(map(len, self.later))[len(self.later) // 2] if self.later else 0
             self.first.clear()
-            self.later.clear()
+            self.later = {p: b for p, b in self.later.items() if len(p) < middle}
         cut, firsts, laters = [], set(), set()
         for t in texts:
             if not self.simple or _two_spaces(t):
