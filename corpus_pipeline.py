@@ -3,22 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortsmith.llm import catalog
 from cohortsmith.llm.contamination import contamination, find_overlap
 from cohortsmith.llm.mixing import Target, plan_mixture, realise
-from cohortsmith.llm.ngram_join import jaccard_components
+from cohortsmith.llm.ngram_join import copies_of_others
 from cohortsmith.llm.records import build_index, fresh_folder, write_records
 from cohortsmith.llm.toxicity import drop_toxic
 from cohortsmith.session import durable
 
 #: Most passes over any source; every document is taken once at least.
 REPEATS = 2.0
+#: Column of row numbers inside a stage.
+ROW = "__row_number"
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is not among `ids`; a null id is never among them."""
-    return docs.join(durable(ids.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+def keyed(docs: DataFrame) -> DataFrame:
+    """A copy of the rows with a number each: ids may be null or repeated."""
+    return durable(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def without(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The keyed rows whose number is not among `numbers`, without it."""
+    return rows.join(durable(numbers.select(ROW)), ROW, "left_anti").drop(ROW)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +35,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one with the smallest id. Rows that repeat
-    an id are one document and stay or go together; rows without an id stay."""
-    return without(docs, jaccard_components(docs).filter("doc_id <> component_id"))
+    """Keeps of each group of linked rows the one with the smallest id. Each row is judged by its
+    own text: rows that repeat an id may part, and one without an id stays if no other of its
+    group has one."""
+    rows = keyed(docs)
+    linked = rows.select(F.col(ROW).alias("node"), F.col("doc_id").cast("long"), "text")
+    return without(rows, copies_of_others(linked).select(F.col("node").alias(ROW)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of whose words one in twenty is in a benchmark window."""
-    found = contamination(find_overlap(docs, catalog.table(spark, sf_dir, "benchmark")))
-    return without(docs, found.filter("contaminated"))
+    """Drops rows of whose words one in twenty is in a benchmark window."""
+    rows = keyed(docs)
+    found = contamination(find_overlap(rows, catalog.table(spark, sf_dir, "benchmark"), id_col=ROW))
+    return without(rows, found.filter("contaminated").select(F.col("doc_id").alias(ROW)))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

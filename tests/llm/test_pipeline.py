@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import corpus_pipeline as P
@@ -5,7 +6,7 @@ from cohortsmith.llm import catalog
 from cohortsmith.llm.contamination import WINDOW
 from cohortsmith.session import durable
 
-from .edges import docs, edge_rows, empty
+from .edges import docs, edge_rows, empty, sentence
 from .test_contamination import brute as contaminated
 from .test_ngram_join import brute as linked
 
@@ -40,6 +41,20 @@ def test_each_stage_takes_effect(spark, sf):
     assert sum(r["n_tokens"] for r in out) == ordered[-1]["start"] + ordered[-1]["n_tokens"]
 
 
+def test_rows_are_judged_by_their_own_text(spark, sf):
+    """With ids that are null or repeated."""
+    rng = random.Random(3)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    rows = [(7, a), (None, a), (9, a), (None, b), (None, b), (7, c), (None, None), (None, None), (9, "alone")]
+    got = P.near_duplicates(spark, docs(spark, [(i, t, "en", "a") for i, t in rows]), sf).collect()
+    want = [(7, a), (None, b), (7, c), (None, None), (None, None), (9, "alone")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
+    bad = max((r["text"] for r in catalog.table(spark, sf, "benchmark").collect() if r["text"]), key=len)
+    rows = [(1, bad), (1, a), (None, bad), (None, b), (2, bad)]
+    got = P.decontamination(spark, docs(spark, [(i, t, "en", "a") for i, t in rows]), sf).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(1, a), (None, b)], key=str)
+
+
 def test_edge_rows_and_empty_tables(spark, sf):
     for d in (docs(spark, edge_rows()), empty(spark)):
         for _, stage in P.STAGES[:-1]:
