@@ -24,8 +24,9 @@ from .common import byte_chunks, encoded, map_batches
 WINDOW = 13
 #: Words of a shingle; a window of fewer words is one shingle.
 SHINGLE = 3
-#: Items that are matched in one pass over the documents.
+#: Items, and bytes of their texts, that are matched in one pass over the documents.
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 64 << 20
 
 # A-Z in lower case, digits, a-z and all bytes of non-ASCII signs as they are, the rest blank.
 _WORD_BYTES = bytes(
@@ -39,14 +40,15 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def shingle_codes(ids: np.ndarray, n: int) -> np.ndarray:
-    """One integer per n consecutive word ids (21 bits each); 0 where a word is unknown (0)."""
+    """One positive integer per n consecutive word ids; 0 where a word is unknown (0). Below 2^21
+    words the codes of three are distinct; beyond, some share one, which costs comparisons only."""
     if len(ids) < n:
         return np.zeros(0, np.int64)
     parts = [ids[i : len(ids) - n + 1 + i] for i in range(n)]
     code, known = parts[0].astype(np.int64), parts[0] > 0
     for p in parts[1:]:
-        code, known = code << 21 | p, known & (p > 0)
-    return np.where(known, code, 0)
+        code, known = (code << 21) + p, known & (p > 0)
+    return np.where(known, np.maximum(code & ((1 << 63) - 1), 1), 0)
 
 
 class Windows(NamedTuple):
@@ -62,7 +64,8 @@ class Windows(NamedTuple):
         return (self.flat[a:b] for a, b in zip(self.first[:-1], self.first[1:]))
 
 
-def item_windows(rows: list[tuple[object, str | None]], window: int = WINDOW) -> Windows:
+def item_windows(rows: list[tuple[object, str | None]], window: int = WINDOW, nameless: bool = False) -> Windows:
+    """With `nameless`, items without an id have windows too, which name no item."""
     vocabulary: dict[bytes, int] = {}
     found: dict[bytes, int] = {}
     words: list[np.ndarray] = []
@@ -70,16 +73,16 @@ def item_windows(rows: list[tuple[object, str | None]], window: int = WINDOW) ->
     names: dict[str, int] = {}
     for item_id, text in rows:
         ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of((text or "").encode())], np.int32)
-        if item_id is None or not len(ids):
+        if not len(ids) or item_id is None and not nameless:
             continue
-        item = names.setdefault(str(item_id), len(names))
+        item = None if item_id is None else names.setdefault(str(item_id), len(names))
         for i in range(max(1, len(ids) - window + 1)):
             w = ids[i : i + window]
             k = found.setdefault(w.tobytes(), len(words))
             if k == len(words):
                 words.append(w)
                 items.append([])
-            if item not in items[k][-1:]:
+            if item is not None and item not in items[k][-1:]:
                 items[k].append(item)
     flat = np.concatenate(words) if words else np.zeros(0, np.int32)
     return Windows(vocabulary, flat, np.cumsum([0, *map(len, words)]), items, list(names))
@@ -207,12 +210,15 @@ def find_overlap(
     item_id: str = "item_id",
     item_text: str = "text",
     block_items: int = BLOCK_ITEMS,
+    block_bytes: int = BLOCK_BYTES,
+    nameless: bool = False,
 ) -> DataFrame:
     """doc_id, n_words, hit_starts, hit_ends (runs of hit words), items (ids as text) of every row.
 
-    The documents are matched against all items, a block of `block_items` at a time, so what
-    goes to a task is bounded however large the benchmark is; a row's blocks are then put
-    together. A null or empty text has no words, a null or empty item no windows. Repeated
+    The documents are matched against all items, a block of about `block_items` or `block_bytes`
+    at a time, so what goes to a task is bounded however large the benchmark is; a row's blocks
+    are then put together. A null or empty text has no words, a null or empty item no windows;
+    an item without an id has some if `nameless`, but is not listed. Repeated
     rows each get their row, an item id that occurs twice counts once. Other columns are not
     read.
     """
@@ -221,8 +227,8 @@ def find_overlap(
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("text"))
-    n_items = items.count()
-    blocks = max(1, -(-n_items // block_items))
+    n_items, n_bytes = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n_items // block_items), min(n_items, -(-n_bytes // block_bytes)))
     if blocks > 1:
         items = durable(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))))
         texts = durable(texts.withColumn("row", F.monotonically_increasing_id()))
@@ -232,7 +238,7 @@ def find_overlap(
     out = None
     for b in range(blocks):
         part = items.filter(F.col("block") == b) if blocks > 1 else items
-        windows = item_windows([(r["item_id"], r["text"]) for r in part.select("item_id", "text").collect()], window)
+        windows = item_windows([(r["item_id"], r["text"]) for r in part.select("item_id", "text").collect()], window, nameless)
         shared = spark.sparkContext.broadcast(windows)
         prefix = prefixes(windows, shingle_frequency(texts, windows, shared)) if windows.items else {}
 

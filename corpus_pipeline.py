@@ -46,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows of whose words one in twenty is in a benchmark window."""
     rows = keyed(docs)
-    found = contamination(find_overlap(rows, catalog.table(spark, sf_dir, "benchmark"), id_col=ROW))
+    found = contamination(find_overlap(rows, catalog.table(spark, sf_dir, "benchmark"), id_col=ROW, nameless=True))
     return without(rows, found.filter("contaminated").select(F.col("doc_id").alias(ROW)))
 
 

@@ -2,10 +2,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from cohortsmith.llm import catalog
-from cohortsmith.llm.contamination import contamination, find_overlap
+from cohortsmith.llm.contamination import _own_codes, contamination, find_overlap, item_windows, match_texts, prefixes, shingle_codes
 
 from .edges import docs, edge_rows, empty
 
@@ -47,6 +48,32 @@ def test_against_brute_force(spark, window, block_items):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, items, window)
 
 
+def test_codes_of_a_large_vocabulary():
+    ids = np.array([(1 << 21) + 5, 3, 1 << 21, 1 << 22, 7, 0, 1 << 30], np.int32)
+    assert (shingle_codes(ids, 3) > 0).tolist() == [True, True, True, False, False]
+    assert (shingle_codes(np.array([1 << 21, 1 << 21, 1 << 21], np.int32), 3) > 0).all()
+
+
+def test_large_vocabulary_keeps_its_windows():
+    many = (1 << 21) + 9
+    last = " ".join(f"w{i}" for i in range(many - 13, many))
+    windows = item_windows([(1, " ".join(f"w{i}" for i in range(many - 13))), (2, last)], window=many)
+    codes = {3: {c: 1 for c in _own_codes(list(windows.each())[1]).tolist()}}
+    assert 0 not in codes[3] and min(codes[3]) > 0
+    short = windows._replace(flat=windows.flat[windows.first[1] :], first=np.array([0, 13]), items=[[0]], names=["2"])
+    ((n, at, found),) = match_texts([f"x {last} y".encode()], short, prefixes(short, codes))
+    assert (n, at.tolist(), found) == (15, list(range(1, 14)), [0])
+
+
+def test_items_without_an_id_and_blocks_of_bytes(spark):
+    d = docs(spark, [(1, "a b c d e", None, None), (2, "k l m", None, None)])
+    bench = spark.createDataFrame([(None, "b c d"), (4, "k l m"), (5, "q r s")], "item_id long, text string")
+    for size in (1 << 20, 6):
+        got = find_overlap(d, bench, 3, block_bytes=size, nameless=True)
+        rows = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in contamination(got).collect()}
+        assert rows == {1: (3, 0, True), 2: (3, 1, True)}
+
+
 def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert contamination(find_overlap(empty(spark), bench)).count() == 0
