@@ -73,7 +73,9 @@ def op6_feistel_shards(spark, sf):
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf: str) -> TO.Classifier:
     learn = docs.filter(~held_out(F.col("doc_id")))
-    return TO.fit_classifier(TO.training_sample(learn, table(spark, sf, "labels")))
+    labels = table(spark, sf, "labels")
+    sample = TO.training_sample(learn, labels)
+    return TO.fit_classifier(sample, TO.calibration_scores(learn, labels, sample))
 
 
 @query()
