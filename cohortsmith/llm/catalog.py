@@ -15,6 +15,7 @@ from . import mixing as MI
 from . import ngram_join as NG
 from . import records as RE
 from . import repeats as RP
+from . import secrets as SE
 from . import shards as SH
 from . import toxicity as TO
 from .common import held_out
@@ -128,3 +129,9 @@ def op4_rarity_digest(spark, sf):
 def op5_run_length_repeats(spark, sf):
     """All documents without the bytes of strings of 400 bytes that start twice."""
     return RP.remove_repeats(table(spark, sf, "documents")).drop("kept")
+
+
+@query(SE.secrets_sql())
+def op13_ownership_secrets(spark, sf):
+    """Secrets of all documents; unannounced ones by the owners of their hash over the corpus."""
+    return SE.scan_secrets(table(spark, sf, "documents"))
