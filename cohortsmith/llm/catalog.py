@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from . import chat as CH
 from . import contamination as CO
 from . import digest as DI
+from . import divergence as DV
 from . import language as LA
 from . import mixing as MI
 from . import ngram_join as NG
 from . import records as RE
+from . import repair as RR
 from . import repeats as RP
 from . import secrets as SE
 from . import shards as SH
@@ -135,3 +137,15 @@ def op5_run_length_repeats(spark, sf):
 def op13_ownership_secrets(spark, sf):
     """Secrets of all documents; unannounced ones by the owners of their hash over the corpus."""
     return SE.scan_secrets(table(spark, sf, "documents"))
+
+
+@query(DV.divergence_sql())
+def op12_source_divergence(spark, sf):
+    """Distances between the sources of each language, and the words each source favours."""
+    return DV.audit_sources(table(spark, sf, "documents"))
+
+
+@query()
+def op11_dialogue_repair(spark, sf):
+    """The cheapest repair of every conversation after planted damage."""
+    return RR.audit_damaged(table(spark, sf, "conversations"))
