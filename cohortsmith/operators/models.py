@@ -1,29 +1,31 @@
 """Classifiers on the vector form, fitted by Spark ML.
 
-A model here is anything with transform(df) that adds `probability`, so a bagged
-ensemble and a single estimator are used alike. Training frames carry label, features
-and weight.
+A model here is a Spark ML model whose transform(df) adds `probability`, so a bagged
+ensemble, a pipeline and a single estimator are used and saved alike. Training frames
+carry label, features and weight.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
 )
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import join_on
+from ..session import fresh_folder, join_on, task_count
+from .ensemble import TreeEnsembleModel, ensemble_of
 from .resample import balanced_bags
 
 # Spark's deepest tree; stands for "no limit".
@@ -81,50 +83,68 @@ def fit_gbt(train: DataFrame, rounds: int = 100, rate: float = 0.05, depth: int
     ).fit(with_unit_weight(train))
 
 
-@dataclass
-class BaggedModel:
-    """Mean probability of trees that were each fitted on a balanced bag."""
-
-    trees: list
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = df
-        for i, tree in enumerate(self.trees):
-            scored = tree.copy({tree.probabilityCol: f"_p{i}", tree.rawPredictionCol: "", tree.predictionCol: ""})
-            out = scored.transform(out)
-        n = len(self.trees)
-        mean = sum((vector_to_array(F.col(f"_p{i}"))[1] for i in range(n)), F.lit(0.0)) / n
-        out = out.withColumn("_pos", mean).drop(*[f"_p{i}" for i in range(n)])
-        return out.withColumn("probability", F.array(1 - F.col("_pos"), F.col("_pos"))).drop("_pos")
-
-    @property
-    def importances(self) -> list[float]:
-        vectors = [t.featureImportances.toArray() for t in self.trees]
-        return [float(x) for x in sum(vectors) / len(vectors)]
-
-
 def fit_balanced_bags(
     train: DataFrame, id_col: str, trees: int = 100, depth: int | None = 5, all_features: bool = False, seed: int = 42, parallelism: int = 4
-) -> BaggedModel:
-    """A tree per balanced bag. With all_features False each tree sees a random
-    sqrt-sized choice per split (forest), else every feature (bagging)."""
-    rows = train.select(id_col, "label", "features").persist()
-    bags = balanced_bags(rows, id_col, bags=trees, seed=seed).persist()
-    try:
-
-        def job(b: int):
-            bag = join_on(rows, bags.filter(F.col("bag") == b).select(id_col, F.col("multiplicity").cast("double").alias("weight")), [id_col])
-            if all_features:
-                return DecisionTreeClassifier(maxDepth=depth or UNLIMITED_DEPTH, weightCol="weight", seed=seed + b).fit(bag)
-            one = RandomForestClassifier(
-                numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt", maxDepth=depth or UNLIMITED_DEPTH, weightCol="weight", seed=seed + b
-            )
-            return one.fit(bag)
-
-        return BaggedModel(run_parallel([lambda b=b: job(b) for b in range(trees)], parallelism))
-    finally:
-        rows.unpersist()
-        bags.unpersist()
+) -> TreeEnsembleModel:
+    """A tree per balanced bag, as one model. With all_features False each tree sees a random
+    sqrt-sized choice per split (forest), else every feature (bagging).
+
+    The rows of all bags are joined once and written by bag, so a tree reads its own bag alone; a
+    bag is dealt over several tasks where there are more tasks than bags. The copy holds two rows
+    of the rare class's number a bag, at most.
+    """
+    spark = train.sparkSession
+    rows = train.select(id_col, "label", "features")
+    bags = balanced_bags(rows, id_col, bags=trees, seed=seed)
+    plan = join_on(bags.select("bag", id_col, F.col("multiplicity").cast("double").alias("weight")), rows, [id_col])
+    tasks = task_count(spark)
+    part = F.pmod(F.xxhash64(id_col), F.lit(max(1, tasks // trees)))
+    folder = fresh_folder(spark)
+    kept = plan.select("bag", "label", "features", "weight")
+    plan.repartition(tasks, "bag", part).select(*kept.columns).write.partitionBy("bag").parquet(f"{folder}/bags")
+    schema = kept.drop("bag").schema
+    column = {"maxDepth": depth or UNLIMITED_DEPTH, "weightCol": "weight"}
+
+    def job(b: int) -> list[float]:
+        bag = spark.read.schema(schema).parquet(f"{folder}/bags/bag={b}")
+        if all_features:
+            tree = DecisionTreeClassifier(seed=seed + b, **column).fit(bag)
+        else:
+            one = RandomForestClassifier(numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt", seed=seed + b, **column)
+            tree = one.fit(bag).trees[0]
+        tree.write().save(f"{folder}/trees/{b}")
+        return tree.featureImportances.toArray().tolist()
+
+    weights = run_parallel([lambda b=b: job(b) for b in range(trees)], parallelism)
+    return ensemble_of(spark, f"{folder}/trees", weights)
+
+
+def on_column(model, column: str):
+    """The fitted model made to read its features from another column."""
+    if isinstance(model, PipelineModel):
+        first = model.stages[0]
+        first._set(**{"inputCol" if first.hasParam("inputCol") else "featuresCol": column})
+        return model
+    return model.setFeaturesCol(column)
+
+
+def _unused(models: Sequence, stem: str) -> str:
+    """A column name that no stage of the models writes."""
+    taken = {s.getOrDefault(s.outputCol) for m in models if isinstance(m, PipelineModel) for s in m.stages if s.hasParam("outputCol")}
+    return next(f"{stem}{i}" for i in range(len(taken) + 1) if f"{stem}{i}" not in taken)
+
+
+def narrowed(model, positions: Sequence[int]) -> PipelineModel:
+    """A model fitted on some positions of the feature vector, as stages that read the whole one."""
+    column = _unused([model], "_chosen")
+    slicer = VectorSlicer(inputCol="features", outputCol=column, indices=list(positions))
+    return PipelineModel(stages=[slicer, on_column(model, column)])
+
+
+def projected(model, pca: PipelineModel) -> PipelineModel:
+    """A model fitted on principal components, with the stages that make them."""
+    column = pca.stages[-1].getOrDefault("outputCol")
+    return PipelineModel(stages=[*pca.stages, on_column(model, column)])
 
 
 def positive_probability(scored: DataFrame) -> Column:
@@ -147,7 +167,7 @@ def predictions_table(model, df: DataFrame, id_col: str, label: str = "label") -
 
 def feature_importance(model, names: Sequence[str], spark) -> DataFrame:
     """Importance of a tree model per feature, highest first. One row per feature of a fit."""
-    values = model.importances if isinstance(model, BaggedModel) else model.featureImportances.toArray().tolist()
+    values = model.importances if isinstance(model, TreeEnsembleModel) else model.featureImportances.toArray().tolist()
     rows = [(str(n), float(v)) for n, v in zip(names, values, strict=True)]
     df = spark.createDataFrame(rows, "feature string, importance double")
     return df.orderBy(F.desc("importance"), F.asc("feature"))

@@ -20,7 +20,7 @@ from ..operators import metrics as M
 from ..operators import resample as RS
 from ..operators.folds import assign_folds, assign_holdout, fold_audit, fold_validity
 from ..operators.labels import require_two_classes
-from ..operators.models import coefficient_importance, feature_importance, run_parallel, score, select_l1_or_fallback
+from ..operators.models import coefficient_importance, feature_importance, narrowed, projected, run_parallel, score, select_l1_or_fallback
 from ..operators.ranking import hash_rank
 from ..operators.reduce import fit_pca, project, width
 from ..operators.report import best_model, stack_folds, summarize_folds
@@ -172,7 +172,7 @@ def leave_one_out_study(
             kept = select_l1_or_fallback(weigh_for_fit(train)[0], range(width(train)), l1_c, fallback_k)[0] if l1_c else None
             sub = _keep_positions(train, kept) if kept else train
             model = fit_named(name, sub, params, ID, seed, 1)
-            return _Narrowed(model, kept) if kept else model
+            return narrowed(model, kept) if kept else model
 
         got = out_of_fold(tagged, fit, keep, [(0, f) for f in range(n)], lambda d, r, f: apply_recipe(d, recipes[(r, f)], keep, "x"), parallelism)
         errors.update({(name, *x): e for x, e in got.errors.items()})
@@ -181,28 +181,6 @@ def leave_one_out_study(
     return Study(scores, _records(scores, None, ["model"]), errors=errors)
 
 
-@dataclass
-class _Narrowed:
-    """A model that looks at some positions of the feature vector."""
-
-    model: object
-    positions: Sequence[int]
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(_keep_positions(df, self.positions))
-
-
-@dataclass
-class _Projected:
-    """A model on principal components."""
-
-    model: object
-    pca: object
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(_components(self.pca, df))
-
-
 def _components(pca, df: DataFrame) -> DataFrame:
     return project(pca, df).drop("features").withColumnRenamed("components", "features")
 
@@ -218,14 +196,14 @@ def _fit_candidate(
         train = durable(_components(pca, train))
         inner = {**params, "k": pca.stages[1].getK()}
         model, _ = _fit_candidate(name, train, inner, seed, parallelism, resampler, l1_c=l1_c)
-        return _Projected(model, pca), chosen
+        return projected(model, pca), chosen
     train = resampled(train, resampler, k=params.get("smote_k", 5), seed=seed)
     kept, c = None, params.get("l1_c", l1_c)
     if c is not None:
         kept, _ = select_l1_or_fallback(weigh_for_fit(train)[0], range(width(train)), c)
         train = _keep_positions(train, kept)
     model = fit_named(name, train, params, ID, seed, parallelism)
-    return (_Narrowed(model, kept) if kept is not None else model), (kept if kept is not None else chosen)
+    return (narrowed(model, kept) if kept is not None else model), (kept if kept is not None else chosen)
 
 
 def nested_study(

@@ -37,13 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
     return shared
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A name for a new folder inside the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/cohortsmith/{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write the table once to the shared folder and go on from the copy.
 
     Unlike checkpoint() this computes the plan a single time, and the copy's size is
     known to the planner. A lost executor costs no recompute.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/cohortsmith/{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
