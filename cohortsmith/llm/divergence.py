@@ -1,8 +1,8 @@
 """Source divergence audit: in which words each source of a language departs from the others.
 
 One bytes.translate lowers letters and blanks every separator, bytes.split yields the words, and a
-Counter per document gives counts and document frequencies. What is shuffled is sparse: one row a
-task for each language, source and word. Shares are whole billionths, so all sums are exact.
+Counter per document gives counts and document frequencies. What is shuffled is sparse: a row
+for each language, source and word that a task has seen. Shares are whole billionths, so all sums are exact.
 """
 
 from __future__ import annotations
@@ -12,17 +12,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import durable
-from .common import byte_chunks, encoded, map_batches
+from ..session import durable, task_count
+from .common import map_batches, ship
 
 UNIT = 1_000_000_000
 LEAST_DOCUMENTS, TOP_TERMS = 10, 10
 #: Counts a task holds before it hands them on, and cells of the tables that it compares at once.
-HELD, CELLS = 200_000, 1 << 21
+HELD, CELLS = 500_000, 1 << 21
+A_DOCUMENT = 1 << 40
 #: Sources compared with as many at once.
 TILE = 64
 
@@ -35,34 +39,47 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n, docs: occurrences and documents of each word of each group."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        size = 0
-
-        def flush() -> Iterator[pd.DataFrame]:
-            for (lang, source), (n, d) in held.items():
-                terms = [t.decode() for t in n]
-                yield pd.DataFrame({"lang": lang, "source": source, "term": terms, "n": list(n.values()), "docs": [d[t] for t in n]})
+    """lang, source, term, n, docs: occurrences and documents of each word of each group, as the
+    tasks counted them: a word of a group may have several rows. docs: lang, source, text."""
+    schema = T.StructType.fromDDL("lang string, source string, term string, n long, docs long")
+    kind = to_arrow_schema(schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], dict[bytes, int]] = {}  # a document counts as A_DOCUMENT
+        size = seen = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (lang, source), own in held.items():
+                if own:
+                    both = np.fromiter(own.values(), np.int64, len(own))
+                    terms = pa.array(list(own), pa.binary()).cast(pa.string())
+                    names = [pa.repeat(pa.scalar(x, pa.string()), len(own)) for x in (lang, source)]
+                    yield pa.RecordBatch.from_arrays([*names, terms, pa.array(both & A_DOCUMENT - 1), pa.array(both >> 40)], schema=kind)
             held.clear()
 
         for b in batches:
-            raw = encoded(b["text"])
-            for lang, source, text in zip(b["lang"], b["source"], raw):
-                own = Counter(words_of(text))
-                n, d = held.setdefault((lang, source), (Counter(), Counter()))
-                before = len(n)
-                n.update(own)
-                d.update(own.keys())
-                size += len(n) - before
-                if size > HELD:
+            for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
+                own = held.setdefault((lang, source), {})
+                before, get = len(own), own.get
+                for term, n in Counter(words_of(text)).items():
+                    own[term] = get(term, 0) + (A_DOCUMENT | n)
+                size, seen = size + len(own) - before, seen + 1
+                if size > HELD or seen == HELD:
                     yield from flush()
-                    size = 0
+                    size = seen = 0
         yield from flush()
 
-    counted = map_batches(docs.select("lang", "source", "text"), count, "lang string, source string, term string, n long, docs long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    ship(docs.sparkSession)
+    return docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(count, schema)
+
+
+def kept_words(counted: DataFrame, least_documents: int) -> DataFrame:
+    """lang, term, n, own: the words of enough documents, with the count of each source that has
+    them. Dealt out once by language and word; sums run before anything is collected."""
+    dealt = counted.repartition(task_count(counted.sparkSession), "lang", "term")
+    sums = dealt.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    words = sums.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("own"))
+    return words.filter(F.col("docs") >= least_documents).drop("docs")
 
 
 def _share(count: Column) -> Column:
@@ -125,12 +142,10 @@ def audit_sources(
     """
     rows = docs.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
     groups = rows.select("lang", "source").distinct()
-    counts = durable(term_counts(rows))
-    by_word = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"))
-    kept = durable(by_word.filter(F.col("docs") >= least_documents).select("lang", "term", "lang_n"))
-    own = counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n")
+    words = durable(kept_words(term_counts(rows), least_documents))
+    own = words.select("lang", "term", F.col("n").alias("lang_n"), F.explode("own").alias("x")).select("lang", "x.source", "term", "x.n", "lang_n")
 
-    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total"))
+    langs = words.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("lang_total"))
     totals = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     place = F.row_number().over(W.partitionBy("lang").orderBy("source")) - 1
     sources = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["total", "kept", "lang_total"])
