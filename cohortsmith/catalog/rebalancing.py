@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import resample as R
 from ..operators.folds import assign_holdout
+from ..operators.neighbors import nearest_rows, recall
 from ..session import durable
 from .registry import WIDE_SQL, query, r6, wide
 from .splitting import _holdout_sql
@@ -108,3 +109,11 @@ def resample_train_only(spark, sf):
 )
 def balanced_bootstrap(spark, sf):
     return R.balanced_bags(wide(spark, sf), "vec_id", bags=20)
+
+
+@query(f"with {WIDE_SQL} select 5 * count(*) as wanted, true as recall_is_high from wide")
+def lsh_recall(spark, sf):
+    """The 5 nearest rows of every row by random projections, measured against the exact search."""
+    rows = _cohort(spark, sf)
+    exact, found = (nearest_rows(rows, rows, 5, "vec_id", "x", method=m) for m in ("exact", "lsh"))
+    return recall(found, exact).select("wanted", (F.col("recall") >= 0.9).alias("recall_is_high"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import fill_zero, nan_to_null
 from ..session import join_on
-from .ranking import exact_median
+from .median import exact_median
 
 
 def missing_report(long: DataFrame) -> DataFrame:
@@ -58,10 +58,7 @@ def median_fill(
 def train_medians(tagged: DataFrame, k: int) -> DataFrame:
     """Median per (repeat, fold, feature) over that fold's training rows.
 
-    `tagged` is the long form with the row's own test fold per repeat. A row trains the
-    k-1 other folds; explode makes those copies right before the map-side aggregate.
+    `tagged` is the long form with the row's own test fold per repeat. Folds are counted once and
+    the counts of the other folds are added up; no row is copied.
     """
-    folds = F.array(*[F.lit(i) for i in range(k)])
-    others = F.array_except(folds, F.array(F.col("fold").cast("int")))
-    train = tagged.select("repeat", "feature", "value", F.explode(others).alias("fold"))
-    return exact_median(train, "value", ["repeat", "fold", "feature"])
+    return exact_median(tagged, "value", ["repeat", "feature"], leave_out="fold", parts=k).select("repeat", "fold", "feature", "median")

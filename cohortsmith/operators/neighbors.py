@@ -1,17 +1,24 @@
-"""Exact k nearest rows by squared Euclidean distance, without a cross join.
-
-Points are split into cells around pivots, and cells into chunks. A row first searches
-the cell it lies in; the distance found there and the triangle inequality tell which
-other cells can still hold a nearer row, and only those are searched. Distances are
-computed in numpy blocks and only the best k of a chunk leave the task. Identical rows
-are collapsed first, so a large group of copies costs what k+1 of them cost.
+"""k nearest rows by squared Euclidean distance, exact or by random projections, without a cross join.
+
+Both methods put points into cells, decide which cells a query row must look into, and compare the
+pairs of a cell in numpy blocks inside cogrouped tasks. What decides travels as (query, cell) alone;
+vectors are joined to the blocks that compare them, and only ids and distances of the k best of a
+block leave a task. Identical rows are collapsed first, so a large group of copies costs what k+1 of
+them cost.
+
+exact: cells lie around pivots. A row first searches its own cell; the distance found there and the
+triangle inequality tell which other cells can still hold a nearer row. In many dimensions without
+clusters few cells can be ruled out, and the cost nears that of all pairs.
+lsh: cells are the sides of random hyperplanes through the middle of the data, in several tables; a
+query also looks across the planes that it lies closest to. Near rows can be missed: `recall` says
+how many. A query that finds too few rows is answered exactly.
 """
 
 from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,9 +34,10 @@ from .ranking import top_k
 # Tasks receive these functions by value: executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_PIVOTS = 4_096
-LEAST_QUERIES = 64
-BLOCK_CELLS = 4_000_000  # distances held at once inside a task
+#: Points and queries of a block, distances held at once inside a task.
+POINTS, QUERIES, BLOCK_CELLS = 8_192, 1_024, 4_000_000
+#: Vectors by which the hyperplanes are laid through the middle of the data.
+SAMPLE = 10_000
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -44,132 +52,175 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.array(col.tolist(), dtype="float64").reshape(len(col), -1)
 
 
-def _best_of_chunk(k: int):
-    """Cogroup function: the k best points of one chunk for each query row, ties by id."""
+def _slices(rows: int, width: int) -> Iterator[slice]:
+    """Parts of the rows whose distances to `width` others fit a block."""
+    step = max(1, BLOCK_CELLS // max(1, width))
+    return (slice(lo, lo + step) for lo in range(0, rows, step))
+
+
+def _best_of_block(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Cogroup function: the k best points of a block for each of its queries, ties by id."""
 
     def run(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        out = {"qid": [], "dist2": [], "id": [], "row": []}
+        out = []
         if len(q) and len(s):
             s = s.sort_values("id", kind="stable")
             ids, sv, qv = s["id"].to_numpy(), _matrix(s["vec"]), _matrix(q["qvec"])
-            step = max(1, BLOCK_CELLS // len(s))
-            for lo in range(0, len(q), step):
-                d = squared_distances(qv[lo : lo + step], sv)
+            for part in _slices(len(q), len(s)):
+                d = squared_distances(qv[part], sv)
                 # A stable sort of id-ordered points keeps ties in id order.
                 best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                out["qid"].append(np.repeat(q["qid"].to_numpy()[lo : lo + step], best.shape[1]))
-                out["dist2"].append(np.take_along_axis(d, best, 1).ravel())
-                out["row"].append(best.ravel())
-                out["id"].append(ids[best.ravel()])
-            rows = np.concatenate(out["row"])
-            return pd.DataFrame(
-                {
-                    "qid": np.concatenate(out["qid"]),
-                    "dist2": np.concatenate(out["dist2"]),
-                    "id": np.concatenate(out["id"]),
-                    "vec": s["vec"].to_numpy()[rows],
-                    "tag": s["tag"].to_numpy()[rows],
-                }
-            )
-        return pd.DataFrame({"qid": [], "dist2": [], "id": [], "vec": [], "tag": []})
+                qid = np.repeat(q["qid"].to_numpy()[part], best.shape[1])
+                out.append(pd.DataFrame({"qid": qid, "dist2": np.take_along_axis(d, best, 1).ravel(), "id": ids[best.ravel()]}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": [], "dist2": [], "id": []})
 
     return run
 
 
-def _chunks(count: int, size: int) -> int:
-    return max(1, math.ceil(count / size))
+def _search(requests: DataFrame, queries: DataFrame, members: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """qid, dist2, id: the k best points of the cells that each query asks for.
 
-
-def _search(requests: DataFrame, points: DataFrame, k: int, sizes: dict[int, int], chunk_rows: int, id_type) -> DataFrame:
-    """Best k per (query, chunk). requests: qid, qvec, cell. points: id, vec, tag, cell.
-
-    Every cell is cut on both sides, so no task holds more than about one chunk of each.
+    requests: qid, cell. members: id, cell. queries: qid, qvec. points: id, vec. A cell is cut on
+    both sides by a table of its sizes, so no task holds more than one block of each.
     """
-    asked = {r["cell"]: r["count"] for r in requests.groupBy("cell").count().collect()}
-    cells = sorted(asked)
-    if not cells:
-        cells = [-1]
-    n_s = {c: _chunks(sizes.get(c, 0), chunk_rows) for c in cells}
-    n_q = {c: _chunks(asked.get(c, 0), chunk_rows) for c in cells}
-    tasks = task_count(points.sparkSession)
-    groups = sum(n_s[c] * n_q[c] for c in cells)
-    if groups < tasks:
-        # Few large groups: cut the queries finer, so that every core has work.
-        more = math.ceil(tasks / groups)
-        n_q = {c: min(n_q[c] * more, _chunks(asked.get(c, 0), LEAST_QUERIES)) for c in cells}
-        groups = sum(n_s[c] * n_q[c] for c in cells)
-    tasks = min(groups, 4 * tasks)
-
-    def lookup(table: dict[int, int]):
-        return F.element_at(F.create_map(*[F.lit(x) for c in cells for x in (c, table[c])]), F.col("cell"))
-
-    def spread(n):
-        return F.explode(F.sequence(F.lit(0), n - 1))
-
-    q = (
-        requests.withColumn("qc", (hash_int("q", F.col("qid")) % lookup(n_q)).cast("int"))
-        .withColumn("sc", spread(lookup(n_s)))
-        .select("cell", "sc", "qc", "qid", "qvec")
-        .repartition(tasks, "cell", "sc", "qc")
-    )
-    s = (
-        points.filter(F.col("cell").isin(cells))
-        .withColumn("sc", (hash_int("s", F.col("id")) % lookup(n_s)).cast("int"))
-        .withColumn("qc", spread(lookup(n_q)))
-        .select("cell", "sc", "qc", "id", "vec", "tag")
-        .repartition(tasks, "cell", "sc", "qc")
-    )
-    keys = ["cell", "sc", "qc"]
+    spark = points.sparkSession
+    asked = requests.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("n_q"))
+    held = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / POINTS).cast("int").alias("n_s"))
+    cuts = durable(asked.join(held, "cell"))
+    keys, tasks = ["cell", "sc", "qc"], 2 * task_count(spark)
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def one_of(n: str, salt: str, col: str):
+        return (hash_int(salt, F.col(col)) % F.col(n)).cast("int")
+
+    q = requests.join(cuts, "cell").withColumn("qc", one_of("n_q", "q", "qid")).withColumn("sc", every("n_s")).select(*keys, "qid")
+    s = members.join(cuts, "cell").withColumn("sc", one_of("n_s", "s", "id")).withColumn("qc", every("n_q")).select(*keys, "id")
+    q = join_on(q, queries, ["qid"]).repartition(tasks, *keys)
+    s = join_on(s, points.select("id", "vec"), ["id"]).repartition(tasks, *keys)
     schema = T.StructType(
-        [
-            T.StructField("qid", id_type),
-            T.StructField("dist2", T.DoubleType()),
-            T.StructField("id", id_type),
-            T.StructField("vec", T.ArrayType(T.DoubleType())),
-            T.StructField("tag", T.IntegerType()),
-        ]
+        [T.StructField("qid", queries.schema["qid"].dataType), T.StructField("dist2", T.DoubleType()), T.StructField("id", points.schema["id"].dataType)]
     )
-    found = q.groupBy(*keys).cogroup(s.groupBy(*keys)).applyInPandas(_best_of_chunk(k), schema)
+    return q.groupBy(*keys).cogroup(s.groupBy(*keys)).applyInPandas(_best_of_block(k), schema)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     return top_k(found, k, [F.asc("dist2"), F.asc("id")], ["qid"]).drop("rank")
 
 
-def _with_cell(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds the nearest pivot and the distance to it."""
+def _placed(rows: DataFrame, id_col: str, vec_col: str, pivots: np.ndarray) -> DataFrame:
+    """id, cell, radius: the nearest pivot of each row and the distance to it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            d = squared_distances(_matrix(b["vec"]), pivots)
-            cell = d.argmin(axis=1)
-            yield b.assign(cell=cell.astype("int32"), radius=np.sqrt(d[np.arange(len(b)), cell]))
+            x = _matrix(b["v"])
+            for part in _slices(len(b), len(pivots)):
+                d = squared_distances(x[part], pivots)
+                cell = d.argmin(axis=1)
+                yield pd.DataFrame({id_col: b[id_col].to_numpy()[part], "cell": cell, "radius": np.sqrt(d[np.arange(len(d)), cell])})
 
-    schema = T.StructType([*points.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())])
-    return points.mapInPandas(run, schema)
+    fields = [rows.schema[id_col], T.StructField("cell", T.LongType()), T.StructField("radius", T.DoubleType())]
+    return rows.select(id_col, F.col(vec_col).alias("v")).mapInPandas(run, T.StructType(fields))
 
 
-def _other_cells(queries: DataFrame, pivots: np.ndarray, stats: pd.DataFrame) -> DataFrame:
-    """Cells that may still hold a row within `reach` of the query, its own left out."""
+def _open_cells(queries: DataFrame, pivots: np.ndarray, stats: pd.DataFrame) -> DataFrame:
+    """qid, cell: cells that may still hold a row within `reach` of the query, its own left out."""
     cells = stats["cell"].to_numpy()
     far, near = stats["far"].to_numpy(), stats["near"].to_numpy()
-    between = np.sqrt(squared_distances(pivots, pivots[cells]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            d = np.sqrt(squared_distances(_matrix(b["qvec"]), pivots))
-            own = b["cell"].to_numpy()
-            at = d[:, cells]
-            low = np.maximum(at - far, near - at)
-            # Points of a cell lie on its side of the plane between the two pivots.
-            gap = between[own]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (at**2 - d[np.arange(len(b)), own][:, None] ** 2) / (2 * gap)
-            low = np.maximum(low, np.where(gap > 0, plane, 0.0))
-            reach = b["reach"].to_numpy()[:, None]
-            ok = (low <= reach * (1 + 1e-9) + 1e-12) & (cells[None, :] != own[:, None])
-            i, j = np.nonzero(ok)
-            yield pd.DataFrame({"qid": b["qid"].to_numpy()[i], "qvec": b["qvec"].to_numpy()[i], "cell": cells[j].astype("int32")})
-
-    fields = [queries.schema["qid"], queries.schema["qvec"], T.StructField("cell", T.IntegerType())]
-    return queries.mapInPandas(run, T.StructType(fields))
+            x, ids = _matrix(b["qvec"]), b["qid"].to_numpy()
+            own_cell, reaches = b["cell"].to_numpy(), b["reach"].to_numpy()
+            for part in _slices(len(b), 4 * len(pivots)):
+                own = own_cell[part]
+                d = np.sqrt(squared_distances(x[part], pivots))
+                at = d[:, cells]
+                low = np.maximum(at - far, near - at)
+                # Points of a cell lie on its side of the plane between the two pivots.
+                gap = np.sqrt(squared_distances(pivots[own], pivots[cells]))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    plane = (at**2 - d[np.arange(len(d)), own][:, None] ** 2) / (2 * gap)
+                low = np.maximum(low, np.where(gap > 0, plane, 0.0))
+                reach = reaches[part][:, None]
+                ok = (low <= reach * (1 + 1e-9) + 1e-12) & (cells[None, :] != own[:, None])
+                i, j = np.nonzero(ok)
+                yield pd.DataFrame({"qid": ids[part][i], "cell": cells[j]})
+
+    return queries.mapInPandas(run, T.StructType([queries.schema["qid"], T.StructField("cell", T.LongType())]))
+
+
+def pivot_requests(queries: DataFrame, points: DataFrame, k: int, pivots: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, found, requests) of the exact search: the cell of each point, the k best of each
+    query's own cell, and the other cells that each query must still look into.
+
+    As many pivots as the square root of the points, a quarter of it: that many vectors are on the
+    driver and in every task.
+    """
+    n = points.count()
+    wanted = pivots or max(1, math.isqrt(n) // 4)
+    picked = points.orderBy(digest("pivot", F.col("id"))).select("vec").limit(wanted).collect()
+    centre = np.unique(np.array([r[0] for r in picked], dtype="float64").reshape(len(picked), -1), axis=0)
+    placed = durable(_placed(points, "id", "vec", centre))
+    stats = placed.groupBy("cell").agg(F.min("radius").alias("near"), F.max("radius").alias("far")).toPandas()  # one row per pivot
+    home = durable(_placed(queries, "qid", "qvec", centre))
+    members = placed.select("id", "cell")
+    found = durable(_best(_search(home.select("qid", "cell"), queries, members, points, k), k))
+    # A cell with too few rows bounds nothing: every cell stays open for those queries.
+    far = found.groupBy("qid").agg(F.when(F.count(F.lit(1)) == k, F.sqrt(F.max("dist2"))).otherwise(F.lit(float("inf"))).alias("reach"))
+    bounded = join_on(home, far, ["qid"], "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+    requests = durable(_open_cells(join_on(bounded, queries, ["qid"]), centre, stats))
+    return members, found, requests
+
+
+def _exact(queries: DataFrame, points: DataFrame, k: int, pivots: int | None) -> DataFrame:
+    if points.isEmpty():
+        return queries.limit(0).select("qid", F.lit(0.0).alias("dist2"), F.col("qid").alias("id"))
+    members, found, requests = pivot_requests(queries, points, k, pivots)
+    return _best(found.unionByName(_search(requests, queries, members, points, k)), k)
+
+
+def _projected_cells(rows: DataFrame, id_col: str, vec_col: str, planes: np.ndarray, middle: np.ndarray, probes: int) -> DataFrame:
+    """id, cell: the side of each table's planes a row lies on, and the sides across the `probes`
+    planes nearest to it. planes: tables x bits x dimensions."""
+    tables, bits, _ = planes.shape
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = _matrix(b["v"])
+            ids, cells = [], []
+            for t in range(tables):
+                margin = x @ planes[t].T - middle[t]
+                code = ((margin > 0) << np.arange(bits)).sum(axis=1).astype(np.int64) | t << 40
+                ids.append(b[id_col].to_numpy())
+                cells.append(code)
+                for flip in np.argsort(np.abs(margin), axis=1)[:, :probes].T:
+                    ids.append(b[id_col].to_numpy())
+                    cells.append(code ^ (1 << flip.astype(np.int64)))
+            yield pd.DataFrame({id_col: np.concatenate(ids), "cell": np.concatenate(cells)})
+
+    return rows.select(id_col, F.col(vec_col).alias("v")).mapInPandas(run, T.StructType([rows.schema[id_col], T.StructField("cell", T.LongType())]))
+
+
+def _lsh(queries: DataFrame, points: DataFrame, k: int, tables: int, bucket_rows: int, probes: int, seed: int) -> DataFrame:
+    n = points.count()
+    if not n:
+        return _exact(queries, points, k, None)
+    bits = max(0, math.ceil(math.log2(max(1, n / bucket_rows))))
+    # A bounded sample lays the planes; every point is in a cell of each table.
+    sample = np.array([r[0] for r in points.orderBy(digest("plane", F.col("id"))).select("vec").limit(SAMPLE).collect()], dtype="float64")
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, sample.shape[1]))
+    middle = np.median(np.einsum("nd,tbd->tbn", sample, planes), axis=2)
+    members = durable(_projected_cells(points, "id", "vec", planes, middle, 0))
+    requests = durable(_projected_cells(queries, "qid", "qvec", planes, middle, probes).distinct())
+    found = _search(requests, queries, members, points, k).groupBy("qid", "id").agg(F.min("dist2").alias("dist2"))
+    best = durable(_best(found, k))
+    enough = best.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(k, n)).select("qid")
+    short = durable(join_on(queries, enough, ["qid"], "left_anti"))
+    if short.isEmpty():
+        return best
+    return join_on(best, enough, ["qid"], "left_semi").unionByName(_exact(short, points, k, None).select("qid", "dist2", "id").select(*best.columns))
 
 
 def nearest_rows(
@@ -179,12 +230,18 @@ def nearest_rows(
     id_col: str,
     vec_col: str,
     tag_col: str | None = None,
-    chunk_rows: int = 20_000,
+    method: str = "exact",
     pivots: int | None = None,
+    tables: int = 10,
+    bucket_rows: int = 1_000,
+    probes: int = 2,
+    seed: int = 7,
 ) -> DataFrame:
     """The k nearest points of every query row, itself left out: id, nb_id, nb_rank,
-    dist2, nb_vec and the point's tag. Ties go to the lower id."""
-    id_type = points.schema[id_col].dataType
+    dist2, nb_vec and the point's tag. Ties go to the lower id. `method` is 'exact', or
+    'lsh' for random projections (tables, bucket_rows, probes, seed)."""
+    if method not in ("exact", "lsh"):
+        raise ValueError("method must be 'exact' or 'lsh'")
     vec = F.col(vec_col).cast("array<double>")
     tag = (F.col(tag_col) if tag_col else F.lit(0)).cast("int")
     base = points.select(F.col(id_col).alias("id"), vec.alias("vec"), tag.alias("tag"))
@@ -192,16 +249,13 @@ def nearest_rows(
     kept = durable(top_k(base, k + 1, [F.asc("id")], ["vec"]).drop("rank"))
     asked = queries.select(F.col(id_col).alias("qid"), vec.alias("qvec"))
     distinct = durable(top_k(asked, 1, [F.asc("qid")], ["qvec"]).drop("rank"))
-    n = kept.count()
-    if pivots is None:
-        pivots = 1 if n <= chunk_rows else min(MAX_PIVOTS, int(math.sqrt(n)))
-    if pivots == 1:
-        one = F.lit(0)
-        best = _search(distinct.withColumn("cell", one), kept.withColumn("cell", one), k + 1, {0: n}, chunk_rows, id_type)
+    if method == "exact":
+        best = _exact(distinct, kept, k + 1, pivots)
     else:
-        best = _search_cells(distinct, kept, k, pivots, chunk_rows, id_type)
+        best = _lsh(distinct, kept, k + 1, tables, bucket_rows, probes, seed)
     best = durable(best)  # the search is the costly part, and its result is small
-    near = best.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("dist2", "id", "tag", "vec"))).alias("_near"))
+    named = join_on(best, kept, ["id"])
+    near = named.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("dist2", "id", "tag", "vec"))).alias("_near"))
     per_vec = join_on(distinct, near, ["qid"]).select("qvec", "_near")
     rows = join_on(asked, per_vec, ["qvec"])
     others = F.slice(F.filter("_near", lambda x: x["id"] != F.col("qid")), 1, k)
@@ -215,25 +269,12 @@ def nearest_rows(
     )
 
 
-def _search_cells(distinct: DataFrame, kept: DataFrame, k: int, pivots: int, chunk_rows: int, id_type) -> DataFrame:
-    picked = kept.orderBy(digest("pivot", F.col("id"))).select("vec").limit(min(pivots, MAX_PIVOTS)).collect()
-    centre = np.unique(np.array([r[0] for r in picked], dtype="float64"), axis=0)
-    placed = durable(_with_cell(kept, centre))
-    stats = (
-        placed.groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("near"), F.max("radius").alias("far"))
-        .toPandas()  # one row per pivot
-    )
-    sizes = dict(zip(stats["cell"].tolist(), stats["n"].tolist()))
-    at_home = _with_cell(distinct.withColumnRenamed("qvec", "vec"), centre).withColumnRenamed("vec", "qvec").drop("radius")
-    at_home = durable(at_home)
-    first = durable(_search(at_home, placed, k + 1, sizes, chunk_rows, id_type))
-    # A cell with too few rows bounds nothing: every cell stays open for those queries.
-    reach = first.groupBy("qid").agg(
-        F.when(F.count(F.lit(1)) == k + 1, F.sqrt(F.max("dist2"))).otherwise(F.lit(float("inf"))).alias("reach")
-    )
-    bounded = join_on(at_home, reach, ["qid"], "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
-    requests = durable(_other_cells(bounded, centre, stats))
-    second = _search(requests, placed, k + 1, sizes, chunk_rows, id_type)
-    both = first.unionByName(second)
-    return top_k(both, k + 1, [F.asc("dist2"), F.asc("id")], ["qid"]).drop("rank")
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """wanted, hit, recall: how many of the exact neighbours an approximate search found. A row at
+    the distance of the last neighbour counts, whichever of equals it is."""
+    last = exact.groupBy("id").agg(F.max("dist2").alias("reach"), F.count(F.lit(1)).alias("wanted"))
+    within = join_on(found.select("id", "dist2"), last.select("id", "reach"), ["id"]).filter(F.col("dist2") <= F.col("reach"))
+    hits = within.groupBy("id").agg(F.count(F.lit(1)).alias("hit"))
+    every = join_on(last, hits, ["id"], "left")
+    hit, wanted = F.sum(F.least(F.coalesce("hit", F.lit(0)), F.col("wanted"))), F.sum("wanted")
+    return every.agg(wanted.alias("wanted"), hit.alias("hit"), (hit / wanted).alias("recall"))

@@ -1,4 +1,4 @@
-"""Ranks, running sums and medians that never pull a whole group into one task.
+"""Ranks and running sums that never pull a whole group into one task.
 
 A window partitioned by a class label or a model name puts a third of the table
 into one task. The helpers here split every group into buckets, total the buckets
@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from ..functions.hashing import digest
 from ..session import join_on, task_count
 
-# Groups up to this many rows are ranked whole by exact_median; larger ones are narrowed first.
-WHOLE_GROUP_ROWS = 100_000
-
 
 def _window(by: Sequence[str]):
     return W.partitionBy(*[F.col(f"`{c}`") for c in by]) if by else W.partitionBy(F.lit(1))
@@ -64,9 +61,10 @@ def hash_rank(
 
 
 def bucket_bounds(df: DataFrame, col: str, buckets: int | None = None) -> list[float]:
-    """Approximate quantiles of one column: a bounded list, fixed for the plan that uses it."""
+    """Approximate quantiles of one column, four for each shuffle partition: buckets shrink as the
+    session's partitions grow with the data. Fixed for the plan that uses it."""
     if buckets is None:
-        buckets = min(10_000, max(32, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        buckets = max(32, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = df.approxQuantile(col, probs, 1.0 / (4 * buckets))
     inner = sorted(c for c in set(cuts) if math.isfinite(c))
@@ -117,70 +115,6 @@ def running_totals(
     )
 
 
-def exact_median(
-    df: DataFrame,
-    value: str,
-    by: Sequence[str] = (),
-    out: str = "median",
-    accuracy: int = 10_000,
-) -> DataFrame:
-    """Exact median (mean of the middle two) per group, for groups of any size.
-
-    A mergeable quantile sketch narrows a large group to the 0.1 % of its rows around
-    the middle; the rest is counted map-side as 'below' or 'above'. Should a sketch
-    ever miss its error bound the job fails instead of answering wrong.
-    """
-    valid = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    if not by:
-        single = exact_median(valid.withColumn("_all", F.lit(0)), value, ["_all"], out, accuracy)
-        return single.drop("_all")
-    by = list(by)
-    d = valid.select(*by, F.col(value).alias("_v"))
-    margin = 4.0 / accuracy
-    qs = F.array(F.lit(0.5 - margin), F.lit(0.5 + margin))
-    sketch = d.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", qs, accuracy).alias("_q"),
-    )
-    big = F.col("_n") > WHOLE_GROUP_ROWS
-    band = sketch.select(
-        *by,
-        F.col("_n"),
-        F.when(big, F.col("_q")[0]).otherwise(F.lit(float("-inf"))).alias("_lo"),
-        F.when(big, F.col("_q")[1]).otherwise(F.lit(float("inf"))).alias("_hi"),
-    )
-    near = join_on(d, band, by)
-    key = (
-        F.when(F.col("_v") < F.col("_lo"), F.lit(-1))
-        .when(F.col("_v") > F.col("_hi"), F.lit(1))
-        .otherwise(F.lit(0))
-    )
-    cells = (
-        near.withColumn("_side", key)
-        .withColumn("_v", F.when(F.col("_side") == 0, F.col("_v")))
-        .groupBy(*by, "_n", "_side", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    w = _window(by).orderBy("_side", "_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cum = cells.withColumn("_cum", F.sum("_c").over(w))
-    before = F.col("_cum") - F.col("_c")
-    lower = F.floor((F.col("_n") + 1) / 2)
-    upper = F.ceil((F.col("_n") + 1) / 2)
-
-    def at(rank: Column) -> Column:
-        hit = (before < rank) & (F.col("_cum") >= rank)
-        cell = F.when(
-            F.col("_side") != 0, F.raise_error(F.lit("quantile sketch missed its bound; raise accuracy")).cast("double")
-        ).otherwise(F.col("_v"))
-        return F.max(F.when(hit, cell))
-
-    return (
-        cum.groupBy(*by)
-        .agg(at(lower).alias("_a"), at(upper).alias("_z"))
-        .select(*by, ((F.col("_a") + F.col("_z")) / 2.0).alias(out))
-    )
-
-
 def top_k(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """The first k rows per group. Spark cuts each map task to k rows before the shuffle:
     by a window group limit, or by a top-k sort when there are no groups."""

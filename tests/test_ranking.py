@@ -53,24 +53,6 @@ def test_running_totals_do_not_depend_on_bounds(spark):
     assert len(results) == 1
 
 
-@pytest.mark.parametrize("whole", [100_000, 10])
-def test_exact_median(spark, monkeypatch, whole):
-    """Small groups ranked whole, and the narrowing path forced on the same data."""
-    monkeypatch.setattr(R, "WHOLE_GROUP_ROWS", whole)
-    pdf = skewed()
-    df = spark.createDataFrame(pdf).filter("g is not null")
-    got = {r["g"]: r["median"] for r in R.exact_median(df, "v", ["g"], accuracy=200).collect()}
-    exp = pdf.dropna().groupby("g")["v"].median().to_dict()
-    assert got == exp
-    assert R.exact_median(df, "v").first()[0] == pdf.dropna()["v"].median()
-
-
-@pytest.mark.parametrize("values,median", [([2.0], 2.0), ([1.0, 4.0], 2.5), ([1.0, 1.0, 9.0], 1.0), ([3.0, None, float("nan")], 3.0)])
-def test_exact_median_small(spark, values, median):
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    assert R.exact_median(df, "v").first()[0] == median
-
-
 def test_number_rows(spark):
     df = spark.createDataFrame([(i * i,) for i in range(500)], "k long").repartition(5)
     got = number_rows(df, "k").orderBy("k").toPandas()

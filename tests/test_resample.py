@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortsmith.operators import resample as RS
-from cohortsmith.operators.neighbors import nearest_rows
+from cohortsmith.operators import neighbors as NB
+from cohortsmith.operators.neighbors import nearest_rows, pivot_requests, recall
 
 
 def cloud(n=300, d=3, seed=1, copies=True):
@@ -28,8 +29,11 @@ def brute(q, p, k):
     return out
 
 
-@pytest.mark.parametrize("search", [{}, {"chunk_rows": 40}, {"pivots": 9, "chunk_rows": 15}, {"pivots": 200}])
-def test_nearest_rows_match_brute_force(spark, search):
+@pytest.mark.parametrize("search, block", [({}, 8_192), ({"pivots": 1}, 40), ({"pivots": 9}, 15), ({"pivots": 200}, 8_192)])
+def test_nearest_rows_match_brute_force(spark, monkeypatch, search, block):
+    monkeypatch.setattr(NB, "POINTS", block)
+    monkeypatch.setattr(NB, "QUERIES", block)
+    monkeypatch.setattr(NB, "BLOCK_CELLS", block * 3)
     pdf = cloud()
     df = spark.createDataFrame(pdf)
     q = df.filter("label = 1")
@@ -47,6 +51,48 @@ def test_nearest_rows_with_fewer_points_than_k(spark):
     assert got.groupBy("id").count().select("count").distinct().collect()[0][0] == 2
 
 
+def clustered(spark, n=3_000, d=64, seed=2):
+    """Sixty clusters in 64 dimensions."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(60, d))[rng.integers(0, 60, n)] * 4 + rng.normal(size=(n, d)) * 0.3
+    return spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "x": list(map(list, x))}))
+
+
+def test_exact_search_asks_few_cells_of_clusters(spark):
+    df = clustered(spark)
+    queries, points = df.select(F.col("id").alias("qid"), F.col("x").alias("qvec")), df.select("id", F.col("x").alias("vec"))
+    _, _, requests = pivot_requests(queries, points, 6, pivots=50)
+    assert requests.columns == ["qid", "cell"]
+    assert requests.count() < 0.1 * 3_000 * 50
+
+
+@pytest.mark.parametrize("spread", [0.3, 4.0])
+def test_lsh_recall(spark, spread):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 4_000)] * 4 + rng.normal(size=(4_000, 16)) * spread
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(4_000), "x": list(map(list, np.vstack([x[:3_000], np.tile(x[0], (1_000, 1))])))}))
+    q = df.filter("id % 20 = 0")
+    exact = nearest_rows(q, df, 5, "id", "x")
+    found = nearest_rows(q, df, 5, "id", "x", method="lsh", tables=12, bucket_rows=400)
+    r = recall(found, exact).first()
+    assert r["wanted"] == 5 * 200 and r["recall"] >= 0.9
+    assert found.count() == exact.count()
+
+
+def test_lsh_answers_whole_where_buckets_are_small(spark):
+    df = spark.createDataFrame(cloud())
+    got = nearest_rows(df, df, 5, "id", "x", method="lsh", tables=1, bucket_rows=2, probes=0)
+    assert got.groupBy("id").count().filter("count = 5").count() == 300
+    assert nearest_rows(df.limit(0), df, 5, "id", "x", method="lsh").count() == 0
+    assert nearest_rows(df, df.limit(0), 5, "id", "x").count() == 0
+
+
+def test_unknown_method(spark):
+    df = spark.createDataFrame(cloud())
+    with pytest.raises(ValueError, match="method"):
+        nearest_rows(df, df, 5, "id", "x", method="guess")
+
+
 def test_smote_rows_lie_between_minority_rows(spark):
     pdf = cloud(copies=False)
     df = spark.createDataFrame(pdf)
