@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import durable, task_count
@@ -31,6 +33,9 @@ LEVELS = 1001
 WEAK = 100
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
 
+#: Most parts of the rows of one id; beyond that a part grows.
+PARTS = 1 << 20
+
 _PART = np.array([0, *(round(c * np.log2(c) * 4096) for c in range(1, WINDOW + 1))], np.int32)
 
 
@@ -187,26 +192,43 @@ def likeness(x: str, y: str) -> float:
     return float(np.clip((np.clip(best, 0, 1) * n_a).sum() / n_a.sum(), 0, 1))
 
 
+def _buckets(docs: DataFrame, count: int) -> DataFrame:
+    """The rows with `bucket`: ranges of ids between approximate quantiles, ascending. Rows without an
+    id come first. An id that fills several quantiles has its own range, which is cut again by `tie`."""
+    ids = docs.select(F.col("doc_id").cast("double").alias("i")).dropna()
+    found = ids.approxQuantile("i", [k / count for k in range(1, count)], 1 / (4 * count))
+    cuts = sorted({*found, *(math.nextafter(c, math.inf) for c, d in zip(found, found[1:]) if c == d)})
+    rows = docs.withColumn("i", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
+    cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="i", outputCol="bucket")
+    rows = cut.transform(rows) if cuts else rows.withColumn("bucket", F.lit(0.0))
+    wide = F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("bucket")).cast("long")
+    rows = rows.select(wide.alias("bucket"), "doc_id", "text", F.xxhash64("text").alias("tie"))
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    total = F.sum("n").over(W.partitionBy(F.lit(1)))
+    # A range of one id is in the order of the ties, so it may be cut where ties are.
+    parts = F.when(F.col("least").eqNullSafe(F.col("most")), F.ceil(F.col("n") * count / total)).otherwise(1)
+    parts = durable(sizes.select("bucket", F.least(parts, F.lit(PARTS)).cast("long").alias("parts")))
+    share = (F.col("tie").cast("double") / 2.0**64 + 0.5) * F.col("parts")
+    part = F.least(F.greatest(F.floor(share), F.lit(0)), F.col("parts") - 1)
+    return rows.join(parts, "bucket").select((F.col("bucket") * PARTS + part).alias("bucket"), "doc_id", "text", "tie")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """bucket, last, doc_id, text, dealt and sorted so that in a task each row is followed by the
     next document (descending id, null ids last, ties by a hash of the text); after a bucket's
     rows comes one with last = 1, a copy of the first row of the bucket that follows.
 
-    Buckets are ranges of ids between approximate quantiles. The texts are shuffled once.
+    The texts are shuffled once. What is compared across buckets are ids, never rounded.
     """
     spark = docs.sparkSession
     tasks = task_count(spark)
-    ids = docs.select(F.col("doc_id").cast("double").alias("i")).dropna()
-    cuts = sorted(set(ids.approxQuantile("i", [k / (4 * tasks) for k in range(1, 4 * tasks)], 1 / (16 * tasks))))
-    rows = docs.withColumn("i", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
-    cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="i", outputCol="bucket")
-    rows = cut.transform(rows) if cuts else rows.withColumn("bucket", F.lit(0.0))
-    rows = rows.select(F.col("bucket").cast("int").alias("bucket"), "i", "doc_id", "text")
-    tops = durable(rows.groupBy("bucket").agg(F.max("i").alias("i")))
-    firsts = rows.join(tops, ["bucket", "i"]).withColumn("tie", F.xxhash64("text"))
-    firsts = durable(firsts.groupBy("bucket").agg(F.max_by("text", "tie").alias("text")))
+    rows = _buckets(docs, 4 * tasks)
+    tops = durable(rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("top")))
+    named = tops.select("bucket", F.col("top.doc_id").alias("top_id"), F.col("top.tie").alias("tie"))
+    firsts = rows.join(named, ["bucket", "tie"]).filter(F.col("doc_id").eqNullSafe(F.col("top_id")))
+    firsts = durable(firsts.groupBy("bucket").agg(F.min("text").alias("text")))
     filled = sorted((r["bucket"] for r in tops.select("bucket").collect()), reverse=True)
-    above = spark.createDataFrame([(x, filled[k - 1]) for k, x in enumerate(filled)], "bucket int, above int")
+    above = spark.createDataFrame([(x, filled[k - 1]) for k, x in enumerate(filled)], "bucket long, above long")
     tails = firsts.join(above, "bucket").select(F.col("above").alias("bucket"), F.lit(1).alias("last"), F.lit(None).cast("long").alias("doc_id"), "text")
     both = rows.select("bucket", F.lit(0).alias("last"), "doc_id", "text").unionByName(tails).withColumn("tie", F.xxhash64("text"))
     order = ["bucket", "last", F.desc_nulls_last("doc_id"), F.desc("tie"), "text"]

@@ -16,6 +16,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,11 @@ MASK = 0xA282EAD8
 #: Pieces a worker remembers before it forgets the longer half, which come up least.
 REMEMBERED = 1_000_000
 
+#: Text bytes that go to one file; its records have about half as many.
+FILE_BYTES = 128 << 20
+
 _two_spaces = re.compile(r"\s\s").search
-_workers: dict[str, "PieceEncoder"] = {}
+_workers: dict[tuple[str, bool], "PieceEncoder"] = {}
 
 
 def masked(data: bytes) -> int:
@@ -67,77 +71,70 @@ def unframe(data: bytes) -> Iterator[tuple[int, int, bytes]]:
 
 
 class PieceEncoder:
-    """Ids of whole texts from a byte-level BPE file, each distinct piece encoded once.
+    """Ids of whole texts from a byte-level BPE file, as the library's own call gives them, each
+    distinct piece encoded once.
 
-    The pre-tokenizer never joins a character to white space that follows it. Cut before
-    single blanks and around single line ends, a text therefore encodes piece by piece to
-    the same ids. A text with adjoining white space goes to the tokenizer in one piece.
+    The pre-tokenizer never joins a character to white space that follows it. Cut before single
+    blanks and single line ends, a text therefore encodes piece by piece to the same ids. A text with
+    adjoining white space, or with the string of an added token, goes to the library in one piece.
+    With `literal`, the strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = literal
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.simple = len(line_end) == 1
         self.line_id = line_end[0] if self.simple else -1
-        self.line_end = np.array(line_end, self.dtype).tobytes()
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.skip = self.dtype.itemsize
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bool:
+        return bool(_two_spaces(text)) or any(a in text for a in self.added)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, pieces: list[str], blank: str, into: dict[str, bytes]) -> None:
-        """Encode pieces in rows joined by line ends: no piece holds one, none is joined to one."""
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces in one row: each begins with a line end, its own or one put before its
+        blank, and no id spans one."""
         for i in range(0, len(pieces), 512):
-            row = pieces[i : i + 512]
-            text = "".join(f"\n{blank}{p}" for p in row)
-            if _two_spaces(text):  # an empty piece or odd white space
-                into.update((p, self._whole(blank + p)) for p in row)
-                continue
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-            data, cuts = ids.tobytes(), np.flatnonzero(ids == self.line_id) * self.dtype.itemsize
-            if len(cuts) != len(row):
-                into.update((p, self._whole(blank + p)) for p in row)
-                continue
-            ends = [*cuts[1:].tolist(), len(data)]
-            into.update((p, data[a + self.dtype.itemsize : b]) for p, a, b in zip(row, cuts.tolist(), ends))
+            part = pieces[i : i + 512]
+            row = "".join(p if p[:1] == "\n" else f"\n {p}" for p in part)
+            if not self.whole(row):  # else an empty piece or odd white space
+                ids = np.array(self.tokenizer.encode_batch_fast([row], add_special_tokens=False)[0].ids, self.dtype)
+                data, cuts = ids.tobytes(), np.flatnonzero(ids == self.line_id) * self.skip
+                if len(cuts) == len(part):
+                    ends = [*cuts[1:].tolist(), len(data)]
+                    own = (data[a if p[:1] == "\n" else a + self.skip : b] for p, a, b in zip(part, cuts.tolist(), ends))
+                    self.known.update(zip(part, own))
+                    continue
+            self.known.update((p, self._whole(p if p[:1] == "\n" else f" {p}")) for p in part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > REMEMBERED:
-            middle = sorted(map(len, self.later))[len(self.later) // 2] if self.later else 0
-            self.first.clear()
-            self.later = {p: b for p, b in self.later.items() if len(p) < middle}
-        cut, firsts, laters = [], set(), set()
+        if len(self.known) > REMEMBERED:
+            middle = sorted(map(len, self.known))[len(self.known) // 2]
+            self.known = {p: b for p, b in self.known.items() if len(p) < middle}
+        cut: list[list[str] | None] = []
         for t in texts:
-            if not self.simple or _two_spaces(t):
-                cut.append(None)
-                continue
-            lines = [line.split(" ") for line in t.split("\n")]
-            for line in lines:
-                firsts.add(line[0])
-                laters.update(line[1:])
-            cut.append(lines)
-        self._learn([p for p in firsts if p not in self.first], "", self.first)
-        self._learn([p for p in laters if p not in self.later], " ", self.later)
-        get, out = self.later.__getitem__, []
-        for t, lines in zip(texts, cut):
-            if lines is None:
-                out.append(self._whole(t))
-            else:
-                out.append(self.line_end.join([self.first[p[0]] + b"".join(map(get, p[1:])) for p in lines]))
-        return out
-
-
-def _encoder(path: str) -> PieceEncoder:
-    if path not in _workers:
-        _workers[path] = PieceEncoder(path)
-    return _workers[path]
+            # A line end is put before the text, and taken from its ids again.
+            cut.append(None if not self.simple or self.whole(t) else f"\n{t}".replace("\n", " \n").split(" ")[1:])
+        new = dict.fromkeys(filterfalse(self.known.__contains__, chain.from_iterable(filter(None, cut))))
+        self._learn(list(new))
+        get = self.known.__getitem__
+        return [self._whole(t) if p is None else b"".join(map(get, p))[self.skip :] for t, p in zip(texts, cut)]
+
+
+def _encoder(path: str, literal: bool) -> PieceEncoder:
+    if (path, literal) not in _workers:
+        _workers[path, literal] = PieceEncoder(path, literal)
+    return _workers[path, literal]
 
 
 def write_records(
@@ -148,8 +145,11 @@ def write_records(
     id_col: str = "doc_id",
     text_col: str = "text",
     files: int | None = None,
+    literal: bool = False,
 ) -> None:
     """Writes `path`/data: the framed ids of every whole text, in ascending id order over all files.
+    There are files enough that one holds the records of about FILE_BYTES of text, and one for each
+    task at least.
 
     A null text counts as empty and gives one record with the end id alone; null ids come
     first; rows with equal ids are ordered by their text. Repeated rows give repeated
@@ -159,10 +159,13 @@ def write_records(
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     ).withColumn("tie", F.xxhash64("text"))
-    placed = rows.repartitionByRange(files or task_count(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    if files is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(task_count(spark), -(-size // FILE_BYTES))
+    placed = rows.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
 
     def to_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoder(tokenizer)
+        enc = _encoder(tokenizer, literal)
         end = np.array([end_id], enc.dtype).tobytes()
         wide = 2 * enc.wide
         for d in batches:
@@ -186,7 +189,7 @@ def _tokens(payload: bytes) -> tuple[int | None, np.ndarray]:
 def build_index(spark: SparkSession, path: str) -> DataFrame:
     """Reads every file of `path`/data, checks all frames, and writes `path`/index: one row a
     record with file, offset, length, doc_id, n_tokens, ids_crc32, and in start the ids of all
-    records before it. Files are bounded by how many the writer was given."""
+    records before it. A task holds one file at a time, whose size the writer bounds."""
     files = spark.read.format("binaryFile").load(f"{path}/data").select("path", "content")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -75,3 +75,37 @@ def test_query(spark, sf):
     assert (by_text == 1).all()
     assert (got["near_edited"] > got["near_next"]).mean() > 0.97
     assert 0.6 < got["near_edited"].mean() < 0.8
+
+
+def in_order(rows):
+    """Descending ids, those without one last, equal ones by descending hash."""
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2]), reverse=True)
+
+
+def hashed(spark, rows):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.xxhash64("text"))
+    return [tuple(r) for r in df.collect()]
+
+
+def test_ids_beyond_doubles(spark):
+    rows = hashed(spark, [(2**60 + k, f"text {k} of {k % 7}") for k in range(4_000)])
+    got = D.digests(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    check([r[:2] for r in in_order(rows)], got)
+
+
+def test_rows_without_or_with_one_id_are_spread(spark):
+    rows = hashed(spark, [(None, f"text {k}") for k in range(600)] + [(5, f"other {k}") for k in range(600)] + [(6, "six"), (4, "four"), (2**62, "big")])
+    docs_ = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    check([r[:2] for r in in_order(rows)], D.digests(docs_).collect())
+    sizes = [r["count"] for r in D.with_next(docs_).groupBy("bucket").count().collect()]
+    assert max(sizes) < 120
+    alone = hashed(spark, [(None, f"text {k}") for k in range(300)])
+    check([r[:2] for r in in_order(alone)], D.digests(spark.createDataFrame([r[:2] for r in alone], "doc_id long, text string")).collect())
+
+
+def test_a_text_over_one_megabyte(spark):
+    rows = [(1, "many words " * 110_000), (2, "é" * 700_000), (3, None)]
+    got = D.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check(rows[::-1], got)

@@ -18,11 +18,10 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(catalog.tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
-TEXTS = ["", " ", "\n", "a b", " a b ", "a  b", "a\n\nb", "a\nb", "\na", "a \nb", "a\tb c", "it's we'll 'tis", "x y z", "<|endoftext|> z", "é\nß ü", "1 23\r\n4"]
+TEXTS = ["", " ", "\n", "a b", " a b ", "a  b", "a\n\nb", "a\nb", "\na", "a \nb", "a\tb c", "it's we'll 'tis", "x y z", "<|endoftext|> z", "a <|endoftext|> b", "x<|endoftext|>y  z\n<|endoftext|>", "<|endoftext|", "é\nß ü", "1 23\r\n4"]
 
 
 def test_pieces_encode_as_the_whole(plain):
@@ -32,6 +31,37 @@ def test_pieces_encode_as_the_whole(plain):
         assert got == [plain(t)[:-1] for t in TEXTS]
 
 
+def test_added_tokens_as_the_library_reads_them(plain):
+    ids = np.frombuffer(R.PieceEncoder(catalog.tokenizer_path()).encode(["a <|endoftext|> b"])[0], "<u2").tolist()
+    assert ids == [64, 220, 50256, 275] == plain("a <|endoftext|> b")[:-1]
+    ids = np.frombuffer(R.PieceEncoder(catalog.tokenizer_path(), literal=True).encode(["a <|endoftext|> b"])[0], "<u2").tolist()
+    assert 50256 not in ids
+
+
+def test_forgetting_changes_nothing(plain, monkeypatch):
+    monkeypatch.setattr(R, "REMEMBERED", 20)
+    enc = R.PieceEncoder(catalog.tokenizer_path())
+    texts = [" ".join(f"word{i * j}" for j in range(9)) + f"\nline{i} end\n" for i in range(40)]
+    for t in texts * 2:
+        assert np.frombuffer(enc.encode([t])[0], enc.dtype).tolist() == plain(t)[:-1]
+
+
+def test_files_hold_a_bounded_part_of_the_text(spark, tmp_path, monkeypatch, plain):
+    monkeypatch.setattr(R, "FILE_BYTES", 2_000)
+    rows = [(i, f"text {i} " + "word " * 200, "en", "a") for i in range(60)]
+    R.write_records(docs(spark, rows), str(tmp_path), catalog.tokenizer_path(), 2)
+    index = R.build_index(spark, str(tmp_path))
+    assert index.select("file").distinct().count() > 20
+    assert [r["doc_id"] for r in index.orderBy("start").collect()] == list(range(60))
+
+
+def test_a_text_over_one_megabyte(spark, tmp_path, plain):
+    text = "long words of a text " * 60_000
+    R.write_records(docs(spark, [(1, text, "en", "a"), (2, None, "en", "a")]), str(tmp_path), catalog.tokenizer_path(), 2)
+    got = R.build_index(spark, str(tmp_path)).orderBy("start").collect()
+    assert [r["n_tokens"] for r in got] == [len(plain(text)), 1]
+
+
 def test_frames():
     payloads = [b"", b"abc", b"\n" * 9, bytes(range(256))]
     data = b"".join(map(R.frame, payloads))
