@@ -5,7 +5,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,19 +40,75 @@ def shared_dir(spark: SparkSession) -> str:
     return shared
 
 
+#: Makes Spark delete the shuffle files of a job when it ends; a written table needs them no more.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_lock = threading.Lock()
+_writers = 0
+_found: str | None = None
+_notes: list[list[str]] = []
+
+
+@contextmanager
+def _clean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """CLEAN holds as long as any thread is inside."""
+    global _writers, _found
+    with _lock:
+        if not _writers:
+            _found = spark.conf.get(CLEAN, "false")
+            spark.conf.set(CLEAN, "true")
+        _writers += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers -= 1
+            if not _writers:
+                spark.conf.set(CLEAN, _found)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders that are made inside, so that they can be released when nobody reads them any more."""
+    mine: list[str] = []
+    _notes.append(mine)
+    try:
+        yield mine
+    finally:
+        _notes.remove(mine)
+
+
+def release(spark: SparkSession, folders: Sequence[str], in_use: DataFrame | None = None) -> list[str]:
+    """Deletes folders of the shared one, but for those that `in_use` still reads; returns these."""
+    reads = in_use.inputFiles() if in_use is not None else []
+    kept = []
+    for folder in folders:
+        if any(folder.rsplit("/", 1)[-1] in f for f in reads):
+            kept.append(folder)
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return kept
+
+
 def fresh_folder(spark: SparkSession) -> str:
     """A name for a new folder inside the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/cohortsmith/{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/cohortsmith/{uuid.uuid4().hex}"
+    for notes in _notes:
+        notes.append(folder)
+    return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Write the table once to the shared folder and go on from the copy.
 
     Unlike checkpoint() this computes the plan a single time, and the copy's size is
-    known to the planner. A lost executor costs no recompute.
+    known to the planner. A lost executor costs no recompute. Shuffle files of the job
+    go when it ends.
     """
     path = fresh_folder(df.sparkSession)
-    df.write.mode("errorifexists").parquet(path)
+    with _clean_shuffles(df.sparkSession):
+        df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
