@@ -158,8 +158,7 @@ def pca_k(spark, sf):
     """The 10 components: unit vectors, at right angles, by descending variance of the scores."""
     rows = array_features(wide(spark, sf), "embedding")
     model = PC.fit_pca(rows, 10)
-    gram = model.stages[1].pc.toArray()
-    gram = gram.T @ gram
+    gram = model.pc.T @ model.pc
     scores = PC.project(model, rows).select(F.posexplode(vector_to_array("components")).alias("component", "v"))
     spread = scores.groupBy("component").agg(F.var_samp("v").alias("spread"))
     facts = spark.createDataFrame([(i, float(gram[i, i]), bool(abs(gram[i, :i]).max(initial=0) < 1e-8)) for i in range(len(gram))], "component int, length double, orthogonal boolean")

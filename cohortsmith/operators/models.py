@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from ..session import fresh_folder, join_on, task_count
 from .ensemble import TreeEnsembleModel, ensemble_of
+from .reduce import ComponentsModel
 from .resample import balanced_bags
 
 # Spark's deepest tree; stands for "no limit".
@@ -141,10 +142,9 @@ def narrowed(model, positions: Sequence[int]) -> PipelineModel:
     return PipelineModel(stages=[slicer, on_column(model, column)])
 
 
-def projected(model, pca: PipelineModel) -> PipelineModel:
-    """A model fitted on principal components, with the stages that make them."""
-    column = pca.stages[-1].getOrDefault("outputCol")
-    return PipelineModel(stages=[*pca.stages, on_column(model, column)])
+def projected(model, pca: ComponentsModel) -> PipelineModel:
+    """A model fitted on principal components, with the stage that makes them."""
+    return PipelineModel(stages=[pca, on_column(model, pca.getOutputCol())])
 
 
 def positive_probability(scored: DataFrame) -> Column:

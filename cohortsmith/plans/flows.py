@@ -194,7 +194,7 @@ def _fit_candidate(
     if pre_pca is not None:
         pca = fit_pca(train, pre_pca)
         train = durable(_components(pca, train))
-        inner = {**params, "k": pca.stages[1].getK()}
+        inner = {**params, "k": pca.k}
         model, _ = _fit_candidate(name, train, inner, seed, parallelism, resampler, l1_c=l1_c)
         return projected(model, pca), chosen
     train = resampled(train, resampler, k=params.get("smote_k", 5), seed=seed)

@@ -78,16 +78,16 @@ def test_l1_selection_and_fallback(vectors):
 def test_pca_is_centred_and_orthonormal(vectors):
     shifted = vectors.withColumn("features", F.col("features"))
     model = PC.fit_pca(shifted, 4)
-    pc = model.stages[1].pc.toArray()
+    pc = model.pc
     assert np.allclose(pc.T @ pc, np.eye(4), atol=1e-9)
     out = PC.project(model, shifted).select(vector_to_array("components").alias("c"))
-    assert "_centred" not in PC.project(model, shifted).columns
+    assert PC.project(model, shifted).columns == [*shifted.columns, "components"]
     m = np.array([r["c"] for r in out.collect()])
     assert np.allclose(m.mean(axis=0), 0, atol=1e-9)
     assert (np.diff(m.var(axis=0)) <= 1e-12).all()
     share = PC.fit_pca_variance(shifted, 0.6)
     k = len(PC.project(share, shifted).select("components").first()[0])
-    total = np.cumsum(PC.fit_pca(shifted, 6).stages[1].explainedVariance.toArray())
+    total = np.cumsum(PC.fit_pca(shifted, 6).explained)
     assert total[k - 1] >= 0.6 and (k == 1 or total[k - 2] < 0.6)
     assert len(PC.project(PC.fit_pca(shifted, 100), shifted).select("components").first()[0]) == 6
 
