@@ -171,9 +171,9 @@ def pick_best(table: list[tuple[int, float | None]]) -> int:
     return -max(usable)[1] if usable else table[0][0]
 
 
-def inner_score(scores: DataFrame, scorer: str = "roc_auc") -> DataFrame:
-    """Mean score per candidate over the inner folds, by AUC or by F1 of class 1 at 0.5."""
-    by = ["candidate", "fold"]
+def inner_score(scores: DataFrame, scorer: str = "roc_auc", of: Sequence[str] = ()) -> DataFrame:
+    """Mean score per candidate (and `of`) over the inner folds, by AUC or by F1 of class 1 at 0.5."""
+    by = [*of, "candidate", "fold"]
     if scorer == "roc_auc":
         per = fold_auc(scores, by).withColumnRenamed("roc_auc", "s")
     elif scorer == "f1":
@@ -181,4 +181,4 @@ def inner_score(scores: DataFrame, scorer: str = "roc_auc") -> DataFrame:
         per = M.with_rates(M.confusion(pred, by)).select(*by, F.col("f1").alias("s"))
     else:
         raise ValueError("scorer must be 'roc_auc' or 'f1'")
-    return per.groupBy("candidate").agg(F.avg("s").alias("score"))
+    return per.groupBy(*of, "candidate").agg(F.avg("s").alias("score"))

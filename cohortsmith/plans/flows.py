@@ -20,13 +20,14 @@ from ..operators import metrics as M
 from ..operators import resample as RS
 from ..operators.folds import assign_folds, assign_holdout, fold_audit, fold_validity
 from ..operators.labels import require_two_classes
-from ..operators.models import coefficient_importance, feature_importance, narrowed, projected, run_parallel, score, select_l1_or_fallback
+from ..operators.models import COEFFICIENT_FLOOR, coefficient_importance, feature_importance, narrowed, projected, run_parallel, score, select_l1_or_fallback
+from ..operators.multifit import Fit, Fitted, fit_many, leave_one_out, recipe_of, score_many, weigh
 from ..operators.ranking import hash_rank
 from ..operators.reduce import fit_pca, project, width
 from ..operators.report import best_model, stack_folds, summarize_folds
+from ..operators.select import anova_f, select_k_best
 from ..operators.shape import explode_features
 from ..operators.tuning import (
-    FoldScores,
     fit_named,
     fold_auc,
     inner_score,
@@ -40,6 +41,8 @@ from ..session import durable, join_on
 from .recipes import FOLD, apply_recipe, fold_recipes, recipe_rows
 
 ID = "row_id"
+#: Features kept by F where an L1 stage keeps none.
+FALLBACK_K = 25
 
 
 @dataclass
@@ -186,26 +189,103 @@ def _components(pca, df: DataFrame) -> DataFrame:
 
 
 def _fit_candidate(
-    name: str, train: DataFrame, params: dict, seed: int, parallelism: int, resampler: str | None = None, pre_pca: int | None = None, l1_c: float | None = None
+    name: str,
+    train: DataFrame,
+    params: dict,
+    seed: int,
+    parallelism: int,
+    resampler: str | None = None,
+    pre_pca: int | None = None,
+    l1_c: float | None = None,
+    kept: Sequence[int] | None = None,
 ):
-    """Project, resample, choose by L1 at the candidate's C or else at `l1_c` (None: no such
-    stage), and fit. Returns the model and the positions in use; components come from all of them."""
+    """Project, keep the best components, resample, choose by L1 at the candidate's C or else at
+    `l1_c` (None: no such stage), and fit. `kept` are positions that an L1 stage chose already.
+    Returns the model and the positions in use; components come from all of them."""
     chosen = list(range(params["k"]))
     if pre_pca is not None:
         pca = fit_pca(train, pre_pca)
         train = durable(_components(pca, train))
-        inner = {**params, "k": pca.k}
-        model, _ = _fit_candidate(name, train, inner, seed, parallelism, resampler, l1_c=l1_c)
-        return projected(model, pca), chosen
+        best = best_components(train, params["k"])
+        inner = {**params, "k": len(best)}
+        model, _ = _fit_candidate(name, _keep_positions(train, best), inner, seed, parallelism, resampler, l1_c=l1_c)
+        return projected(narrowed(model, best), pca), chosen
     train = resampled(train, resampler, k=params.get("smote_k", 5), seed=seed)
-    kept, c = None, params.get("l1_c", l1_c)
-    if c is not None:
+    c = params.get("l1_c", l1_c)
+    if kept is None and c is not None:
         kept, _ = select_l1_or_fallback(weigh_for_fit(train)[0], range(width(train)), c)
+    if kept is not None:
         train = _keep_positions(train, kept)
     model = fit_named(name, train, params, ID, seed, parallelism)
     return (narrowed(model, kept) if kept is not None else model), (kept if kept is not None else chosen)
 
 
+def best_components(train: DataFrame, k: int) -> list[int]:
+    """Positions of the k components with the largest F on these rows, in the order of F."""
+    long = explode_features(train.select(ID, "label", vector_to_array("features").alias("x")), [ID, "label"], "x")
+    return [r["feature"] for r in select_k_best(anova_f(long), k).orderBy("rank").select("feature").collect()]
+
+
+@dataclass
+class _Plan:
+    """What all fits of a nested search share: rows with their views, and the recipe of each view
+    and inner fold (-1: the whole training part of the view)."""
+
+    rows: DataFrame
+    recipes: dict[tuple[int, int], list[dict]]
+
+
+def _nested_plan(tagged: DataFrame, k_outer: int, repeats: int, k_inner: int, widest: int, search: bool, seed: int) -> _Plan:
+    """Folds of all views, and all recipes, each in one pass. A view is an outer test fold of a repeat."""
+    outer = recipe_rows(fold_recipes(_long(tagged), k_outer, widest))
+    recipes = {(r * k_outer + f, -1): rows for (r, f), rows in outer.items()}
+    own = F.col("repeat") * k_outer
+    narrow = tagged.select(ID, "label", F.explode(F.sequence(own.cast("int"), (own + k_outer - 1).cast("int"))).alias("view"), (own + F.col("fold")).alias("_test"))
+    inner = assign_folds(narrow.filter("view <> _test").drop("_test"), ID, k=k_inner, seed=seed, by=["view"])
+    lists = inner.groupBy(ID).agg(F.map_from_entries(F.collect_list(F.struct("view", "fold"))).alias("_inner"))
+    once = tagged.filter("repeat = 0").select(ID, "label", "x")
+    at = F.transform(F.sequence(F.lit(0), F.lit(repeats * k_outer - 1)), lambda v: F.coalesce(F.try_element_at("_inner", v), F.lit(-1)))
+    rows = durable(join_on(once, lists, [ID]).select(ID, "label", "x", at.alias("views")))
+    if search:
+        views = rows.select(ID, "label", "x", F.posexplode("views").alias("repeat", "fold")).filter("fold >= 0")
+        recipes.update(recipe_rows(fold_recipes(_long(views), k_inner, widest)))
+    return _Plan(rows, recipes)
+
+
+Job = tuple[int, int, int]  # view, inner fold or -1, candidate
+
+
+def _l1_positions(plan: _Plan, jobs: Sequence[Job], candidates: Sequence[dict], l1_c: float | None) -> dict[Job, list[int]]:
+    """Survivors of each job's L1 stage, or the leading FALLBACK_K by F; all jobs in shared passes."""
+    wanted: dict[tuple, list[Job]] = {}
+    for v, g, i in jobs:
+        c = candidates[i].get("l1_c", l1_c)
+        if c is not None:
+            wanted.setdefault((v, g, candidates[i]["k"], c), []).append((v, g, i))
+    fits = [Fit(v, g, recipe_of(plan.recipes[(v, g)]).first(k), c, l1=True) for v, g, k, c in wanted]
+    out: dict[Job, list[int]] = {}
+    for key, done in zip(wanted, fit_many(plan.rows, weigh(plan.rows, fits)) if fits else []):
+        kept = [j for j, w in enumerate(done.coefficients[:-1]) if abs(w) >= COEFFICIENT_FLOOR]
+        kept = kept or list(range(min(FALLBACK_K, len(done.coefficients) - 1)))
+        out.update({job: kept for job in wanted[key]})
+    return out
+
+
+def _joint(plan: _Plan, jobs: Sequence[Job], candidates: Sequence[dict], kept: dict[Job, list[int]]) -> list[Fitted]:
+    """The logistic models of all jobs in shared passes."""
+    fits = []
+    for v, g, i in jobs:
+        recipe = recipe_of(plan.recipes[(v, g)]).first(candidates[i]["k"])
+        fits.append(Fit(v, g, recipe.only(kept[(v, g, i)]) if (v, g, i) in kept else recipe, candidates[i].get("c", 1.0)))
+    return fit_many(plan.rows, weigh(plan.rows, fits))
+
+
+def _job_scores(scored: DataFrame, jobs: Sequence[Job]) -> DataFrame:
+    """Scores of fits with the view, inner fold and candidate of each; one row a job on the driver."""
+    table = scored.sparkSession.createDataFrame([(n, *job) for n, job in enumerate(jobs)], "fit int, view int, fold int, candidate int")
+    return scored.join(table, "fit").drop("fit")
+
+
 def nested_study(
     df: DataFrame,
     id_col: str,
@@ -230,7 +310,10 @@ def nested_study(
     is optimistic). Every model has an L1 stage after the choice by F; a grid that names l1_c
     tunes it, otherwise it stays at the argument.
 
-    Every fitted number, selection included, comes from the training rows of its fold.
+    Every fitted number, selection included, comes from the training rows of its fold. Folds, recipes,
+    L1 stages and logistic models of all folds and candidates are made in shared passes over the
+    rows; other models are fitted one by one, on what those passes prepared. A fold whose search fails
+    is fitted with the model's defaults: its row in `records` says so in `status`.
     """
     if tune_on not in ("train", "test"):
         raise ValueError("tune_on must be 'train' or 'test'")
@@ -240,58 +323,118 @@ def nested_study(
     candidates = sample_params(grid or param_grid(model, p), n_iter, seed)
     widest = max(c["k"] for c in candidates)
     tagged = durable(assign_folds(rows, ID, k=k_outer, repeats=repeats, seed=seed))
-    outer = recipe_rows(fold_recipes(_long(tagged), k_outer, widest))
-    keep = [ID, "label", *FOLD]
+    search = len(candidates) > 1
+    plan = _nested_plan(tagged, k_outer, repeats, k_inner, widest, search, seed)
+    views = range(repeats * k_outer)
+    shared = resampler is None and pre_pca is None
+    joint = shared and model == "LogisticRegression" and all(set(c) <= {"k", "c", "l1_c"} for c in candidates)
+    keep = [ID, "label"]
     errors: dict = {}
 
-    def one(r: int, f: int):
-        here = tagged.filter(F.col("repeat") == r)
-        chosen = 0
-        if len(candidates) > 1:
-            inner_rows = here.filter(F.col("fold") != f).select(ID, "label", "x")
-            inner = durable(assign_folds(inner_rows, ID, k=k_inner, seed=seed))
-            recipes = recipe_rows(fold_recipes(_long(inner), k_inner, widest))
-            parts = []
-            for i, params in enumerate(candidates):
-                got: FoldScores = out_of_fold(
-                    inner,
-                    lambda train, params=params: _fit_candidate(model, train, params, seed, 1, resampler, pre_pca, l1_c)[0],
-                    keep,
-                    [(0, g) for g in range(k_inner)],
-                    lambda d, rr, g, params=params: apply_recipe(d, recipes[(rr, g)][: params["k"]], keep, "x"),
-                    1,
-                )
-                errors.update({(r, f, i, *x): e for x, e in got.errors.items()})
-                parts.append(got.scores.select("fold", "label", "prob").withColumn("candidate", F.lit(i)))
-            table = inner_score(reduce(DataFrame.unionByName, parts), scorer).collect()
-            chosen = pick_best([(t["candidate"], t["score"]) for t in table])
-        params = candidates[chosen]
-        recipe = outer[(r, f)][: params["k"]]
-        ready = apply_recipe(here, recipe, keep, "x").persist()
+    def ready(v: int, g: int, k: int) -> DataFrame:
+        """Rows of a view with prepared features: `seen` for training, the others for scoring."""
+        fold = F.col("views")[v]
+        here = plan.rows if g == -1 else plan.rows.filter(fold != -1)
+        return apply_recipe(here.withColumn("seen", (fold != -1) & (fold != g)), plan.recipes[(v, g)][:k], [ID, "label", "seen"], "x")
+
+    def single(job: Job, params: dict, kept: Sequence[int] | None) -> tuple[DataFrame, list[int]]:
+        v, g, _ = job
+        d = ready(v, g, params["k"])
+        fitted, used = _fit_candidate(model, d.filter("seen").drop("seen"), params, seed, 1, resampler, pre_pca, l1_c, kept)
+        todo = d if g == -1 else d.filter("not seen")
+        return score(fitted, todo, [*keep, "seen"]), used
+
+    def tables(jobs: Sequence[Job]) -> tuple[DataFrame | None, set[Job]]:
+        """Scores of the rows that each job's model left out, and the jobs that failed."""
+        if joint:
+            return _job_scores(score_many(plan.rows, _joint(plan, jobs, candidates, _l1_positions(plan, jobs, candidates, l1_c)), [ID]), jobs), set()
+        kept = _l1_positions(plan, jobs, candidates, l1_c) if shared else {}
+        failed: set[Job] = set()
+
+        def attempt(job: Job) -> DataFrame | None:
+            try:
+                scored, _ = single(job, candidates[job[2]], kept.get(job))
+            except Exception as e:  # recorded for the caller
+                errors[(*divmod(job[0], k_outer), *job[1:])] = str(e)
+                failed.add(job)
+                return None
+            return scored.select("label", "prob", *[F.lit(x).alias(c) for x, c in zip(job, ("view", "fold", "candidate"))])
+
+        parts: list[DataFrame] = []
+        for v in sorted({j[0] for j in jobs}):  # one written table a view
+            done = [d for d in run_parallel([lambda j=j: attempt(j) for j in jobs if j[0] == v], parallelism) if d is not None]
+            if done:
+                parts.append(durable(reduce(DataFrame.unionByName, done)))
+        return (reduce(DataFrame.unionByName, parts) if parts else None), failed
+
+    chosen, status = {v: 0 for v in views}, {v: "single" for v in views}
+    if search:
+        jobs = [(v, g, i) for v in views for g in range(k_inner) for i in range(len(candidates))]
+        found: dict[int, list[tuple[int, float | None]]] = {}
         try:
-            fitted, positions = _fit_candidate(model, ready.filter(F.col("fold") != f), params, seed, 1, resampler, pre_pca, l1_c)
-            scored = score(fitted, ready, keep)
-            done = durable(scored.withColumn("role", F.when(F.col("fold") == f, "test").otherwise("train")).withColumn("fold", F.lit(f)))
-        finally:
-            ready.unpersist()
-        names = [str(recipe[i]["feature"]) for i in positions if i < len(recipe)]
-        return done, (r, f, len(recipe), len(names), json.dumps(params), names)
-
-    outcome = run_parallel([lambda r=r, f=f: one(r, f) for r in range(repeats) for f in range(k_outer)], parallelism)
-    every = reduce(DataFrame.unionByName, [o[0] for o in outcome])
-    test, train = every.filter("role = 'test'").drop("role"), every.filter("role = 'train'")
+            inner, failed = tables(jobs)
+            lost = {(v, i) for v, _, i in failed}  # a candidate is judged on all inner folds or not at all
+            for t in inner_score(inner, scorer, ["view"]).collect() if inner is not None else []:
+                if (t["view"], t["candidate"]) not in lost:
+                    found.setdefault(t["view"], []).append((t["candidate"], t["score"]))
+        except Exception as e:  # recorded; every fold goes on with the defaults
+            errors["search"] = str(e)
+        for v in views:
+            usable = [(i, s) for i, s in sorted(found.get(v, [])) if s is not None]
+            status[v] = "search" if usable else "fallback"
+            chosen[v] = pick_best(usable) if usable else -1
+    # A last candidate stands for the defaults of a failed search.
+    params_of = [*candidates, {"k": widest}]
+    last = [(v, -1, chosen[v] % len(params_of)) for v in views]
+    kept = _l1_positions(plan, last, params_of, l1_c) if shared else {}
+    if joint:
+        scored = score_many(plan.rows, _joint(plan, last, params_of, kept), [ID], trained=True)
+        every = durable(_job_scores(scored, last).select(ID, "label", "view", "role", "prob"))
+        used = [kept.get(job, list(range(params_of[job[2]]["k"]))) for job in last]
+    else:
+
+        def one(job: Job) -> tuple[DataFrame, list[int]]:
+            done, positions = single(job, params_of[job[2]], kept.get(job))
+            role = F.when(F.col("seen"), "train").otherwise("test").alias("role")
+            return durable(done.select(ID, "label", F.lit(job[0]).alias("view"), role, "prob")), positions
+
+        outcome = run_parallel([lambda j=j: one(j) for j in last], parallelism)
+        every, used = reduce(DataFrame.unionByName, [o[0] for o in outcome]), [o[1] for o in outcome]
+    outer = [F.floor(F.col("view") / k_outer).cast("int").alias("repeat"), (F.col("view") % k_outer).cast("int").alias("fold")]
+    every = every.select(ID, "label", *outer, "role", "prob")
+    meta_rows = []
+    for (v, _, i), positions in zip(last, used):
+        recipe = plan.recipes[(v, -1)][: params_of[i]["k"]]
+        names = [str(recipe[j]["feature"]) for j in positions if j < len(recipe)]
+        meta_rows.append((*divmod(v, k_outer), len(recipe), len(names), json.dumps(params_of[i]), status[v], names))
+    test, train = every.filter("role = 'test'").drop("role"), every.filter("role = 'train'").drop("role")
     tuned = M.score_points(M.clip_unit(train if tune_on == "train" else test), FOLD)
     thresholds = M.threshold_max_f1(tuned, FOLD).select(*FOLD, "threshold")
-    spark = df.sparkSession
-    meta = spark.createDataFrame([o[1] for o in outcome], "repeat int, fold int, n_features_train int, n_selected int, best_params string, features array<string>")
-    plan = tagged.select(ID, "label", *FOLD)
+    schema = "repeat int, fold int, n_features_train int, n_selected int, best_params string, status string, features array<string>"
+    meta = df.sparkSession.createDataFrame(meta_rows, schema)
+    named = tagged.select(ID, "label", *FOLD)
     records = _records(test, thresholds, FOLD)
-    for extra in (fold_audit(plan), fold_validity(plan), meta.drop("features")):
+    for extra in (fold_audit(named), fold_validity(named), meta.drop("features")):
         records = join_on(records, extra, FOLD)
     selected = meta.select(*FOLD, F.explode("features").alias("feature"))
     return Study(test, durable(records.withColumn("model", F.lit(model))), selected, errors=errors)
 
 
+def logistic_leave_one_out(
+    df: DataFrame, id_col: str, array_col: str, label: str = "label", c: float = 0.5, top: int = 100, seed: int = 42
+) -> DataFrame:
+    """row_id, label, prob: leave-one-out scores of an L2 logistic model from a single fit, each
+    corrected for its own row; see multifit.leave_one_out for the error. Features are chosen, filled
+    and scaled on all rows, as in final_fit."""
+    rows = durable(_standard(df, id_col, array_col, label))
+    require_two_classes(rows)
+    tagged = durable(rows.select("*", F.lit(0).alias("repeat"), F.lit(1).alias("fold")))
+    recipe = recipe_of(recipe_rows(fold_recipes(_long(tagged), 2, top))[(0, 0)])
+    whole = tagged.select(ID, "label", "x", F.array(F.lit(0)).alias("views"))
+    fitted = fit_many(whole, weigh(whole, [Fit(0, -1, recipe, c)]))[0]
+    return leave_one_out(whole, fitted, [ID])
+
+
 def final_fit(
     df: DataFrame,
     id_col: str,
