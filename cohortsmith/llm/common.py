@@ -59,6 +59,33 @@ def _settle() -> None:
         pass
 
 
+#: What a worker may forget when it goes on to another operator's step.
+FORGET: list[Callable[[], None]] = []
+_owner: str | None = None
+
+
+def _take_over(owner: str) -> None:
+    """Workers live on from step to step: what they remember for one operator goes when another needs the memory."""
+    global _owner
+    if _owner is not None and _owner != owner:
+        for forget in FORGET:
+            forget()
+        _settle()
+    _owner = owner
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow whose function may use this package's modules on the workers."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _take_over(fn.__module__)
+        yield from fn(b for b in batches if b.num_rows)
+        _settle()
+
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """mapInPandas whose function may use this package's modules on the workers, and that keeps
     whole numbers whole where a column has nulls."""
@@ -74,6 +101,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[p
                 yield b.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get if nullable else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _take_over(fn.__module__)
         for out in fn(pandas_of(batches)):
             if len(out):
                 yield pa.RecordBatch.from_pandas(out, schema=kind, preserve_index=False)
@@ -87,6 +115,7 @@ def keep_rows(df: DataFrame, decide: Callable[[list], np.ndarray], column: str)
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _take_over(decide.__module__)
         for b in batches:
             if b.num_rows:
                 yield b.filter(pa.array(decide(b.column(column).to_pylist())))

@@ -10,35 +10,60 @@ that is lost with its executor leaves nothing behind.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, task_count
-from .common import byte_chunks, map_batches
+from .common import FORGET, byte_chunks, map_arrow, map_batches
 
 HEAD = struct.Struct("<QI")
 START = struct.Struct("<qB")
 TAIL = struct.Struct("<I")
 MASK = 0xA282EAD8
 #: Pieces a worker remembers before it forgets the longer half, which come up least.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 #: Text bytes that go to one file; its records have about half as many.
 FILE_BYTES = 128 << 20
+#: Bytes of text that are encoded at once.
+CHUNK = 4 << 20
 
 _two_spaces = re.compile(r"\s\s").search
+#: The same for a column of texts: two characters that count as white space there.
+_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_ODD = _SPACE + _SPACE
 _workers: dict[tuple[str, bool], "PieceEncoder"] = {}
+FORGET.append(_workers.clear)
+
+
+def _byte_signs() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the others in order from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: b if b in plain else next(others) for b in range(256)}
+
+
+_SIGNS = _byte_signs()
+
+
+def _shown(word: str, blank: bool) -> str:
+    """A word of letters, and the blank before it, as the vocabulary writes them."""
+    own = word if word.isascii() else word.encode().decode("latin-1").translate(_SIGNS)
+    return chr(_SIGNS[32]) + own if blank else own
 
 
 def masked(data: bytes) -> int:
@@ -75,7 +100,8 @@ class PieceEncoder:
     distinct piece encoded once.
 
     The pre-tokenizer never joins a character to white space that follows it. Cut before single
-    blanks and single line ends, a text therefore encodes piece by piece to the same ids. A text with
+    blanks and single line ends, a text therefore encodes piece by piece to the same ids, and a word
+    of letters with a sign at its end as the word and the sign. A text with
     adjoining white space, or with the string of an added token, goes to the library in one piece.
     With `literal`, the strings of special tokens in a text are ordinary text.
     """
@@ -93,21 +119,36 @@ class PieceEncoder:
         self.line_id = line_end[0] if self.simple else -1
         self.skip = self.dtype.itemsize
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # The pattern of this pre-tokenizer parts letters from the signs that follow them.
+        pre, normal = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        pattern = json.loads(pre.__getstate__()) if pre is not None else {}
+        parted = pattern.get("type") == "ByteLevel" and pattern.get("use_regex", True) and not pattern.get("add_prefix_space") and normal is None
+        self.model = self.tokenizer.model
+        self.line_end = np.array(line_end, self.dtype).tobytes()
+        self.signs = {c: self._whole(c) for c in (".,!?;:" if parted else "")}
+        self.lead = len(self._whole(" ")) + len(self.line_end)
         self.known: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bool:
-        return bool(_two_spaces(text)) or any(a in text for a in self.added)
-
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces in one row: each begins with a line end, its own or one put before its
-        blank, and no id spans one."""
-        for i in range(0, len(pieces), 512):
-            part = pieces[i : i + 512]
+        """Words of letters go to the library's model as they are; other pieces are encoded in one
+        row, in which each begins with a line end, its own or one put before its blank, and no id
+        spans one."""
+        rest = []
+        for p in pieces:
+            own, word = p[:1] == "\n", p.lstrip("\n")
+            if not self.signs or not word.isalpha():
+                rest.append(p)
+                continue
+            ids = self.model.tokenize(_shown(word, not own))
+            data = array(self.dtype.char, [t.id for t in ids]).tobytes()
+            self.known[p] = self.line_end + data if own else data
+        for i in range(0, len(rest), 512):
+            part = rest[i : i + 512]
             row = "".join(p if p[:1] == "\n" else f"\n {p}" for p in part)
-            if not self.whole(row):  # else an empty piece or odd white space
+            if not _two_spaces(row):  # else an empty piece or odd white space
                 ids = np.array(self.tokenizer.encode_batch_fast([row], add_special_tokens=False)[0].ids, self.dtype)
                 data, cuts = ids.tobytes(), np.flatnonzero(ids == self.line_id) * self.skip
                 if len(cuts) == len(part):
@@ -117,18 +158,57 @@ class PieceEncoder:
                     continue
             self.known.update((p, self._whole(p if p[:1] == "\n" else f" {p}")) for p in part)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _values(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces, those not known learnt first."""
         if len(self.known) > REMEMBERED:
             middle = sorted(map(len, self.known))[len(self.known) // 2]
-            self.known = {p: b for p, b in self.known.items() if len(p) < middle}
-        cut: list[list[str] | None] = []
-        for t in texts:
-            # A line end is put before the text, and taken from its ids again.
-            cut.append(None if not self.simple or self.whole(t) else f"\n{t}".replace("\n", " \n").split(" ")[1:])
-        new = dict.fromkeys(filterfalse(self.known.__contains__, chain.from_iterable(filter(None, cut))))
+            for p in [p for p in self.known if len(p) >= middle]:
+                del self.known[p]
+        values = list(map(self.known.get, pieces))
+        gaps = [i for i, v in enumerate(values) if v is None]
+        new = dict.fromkeys(pieces[i] for i in gaps)
+        ends = [p for p in new if p[-1:] in self.signs and p[:-1].strip("\n").isalpha()]
+        for p in ends:
+            del new[p]
+        new.update(dict.fromkeys(p[:-1] for p in ends if p[:-1] not in self.known))
         self._learn(list(new))
         get = self.known.__getitem__
-        return [self._whole(t) if p is None else b"".join(map(get, p))[self.skip :] for t, p in zip(texts, cut)]
+        self.known.update((p, get(p[:-1]) + self.signs[p[-1]]) for p in ends)
+        for i in gaps:
+            values[i] = get(pieces[i])
+        return values
+
+    def encode(self, texts: pa.StringArray | list[str]) -> list[bytes]:
+        """Ids of each text as bytes. Texts are cut, and their pieces told apart, as whole columns:
+        only different pieces become objects here."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        odd = np.asarray(pc.match_substring_regex(texts, _ODD))
+        for token in self.added:
+            odd = odd | np.asarray(pc.match_substring(texts, token))
+        if not self.simple:
+            odd[:] = True
+        # An empty piece and a line end are put before each text, and taken from its ids again.
+        lines = pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n")
+        pieces = pc.split_pattern(pc.binary_join_element_wise(" \n", lines, ""), " ")
+        words = pieces.flatten().dictionary_encode()
+        values, codes = self._values(words.dictionary.to_pylist()), np.asarray(words.indices)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.skip
+        first, size = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
+        data = np.frombuffer(b"".join(values), self.dtype)[at].tobytes()
+        cuts = (np.append(0, ends)[np.asarray(pieces.offsets) - pieces.offsets[0].as_py()] * self.skip).tolist() if len(pieces) else [0]
+        plain = iter(zip(cuts, cuts[1:]))
+        whole = iter(texts.filter(pa.array(odd)).to_pylist())
+        out = []
+        for o in odd.tolist():
+            if o:
+                out.append(self._whole(next(whole)))
+            else:
+                x, y = next(plain)
+                out.append(data[x + self.lead : y])
+        return out
 
 
 def _encoder(path: str, literal: bool) -> PieceEncoder:
@@ -164,22 +244,28 @@ def write_records(
         files = max(task_count(spark), -(-size // FILE_BYTES))
     placed = rows.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
 
-    def to_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer, literal)
         end = np.array([end_id], enc.dtype).tobytes()
         wide = 2 * enc.wide
-        for d in batches:
-            ids, none, texts = d["doc_id"].fillna(0).astype("int64").tolist(), d["doc_id"].isna().tolist(), d["text"].tolist()
-            for a, b in byte_chunks(texts):
-                got = enc.encode(texts[a:b])
-                heads = (payload_head(i, x + wide) for i, x in zip(ids[a:b], none[a:b]))
-                yield pd.DataFrame({"record": [frame(h + g + end)[:-1] for h, g in zip(heads, got)]})
-
-    frames = map_batches(placed.select("doc_id", "text"), to_frames, "record binary")
+        for b in batches:
+            ids, texts = b.column("doc_id").to_pylist(), b.column("text")
+            for lo, hi in _column_chunks(texts):
+                heads = (payload_head(i or 0, (i is None) + wide) for i in ids[lo:hi])
+                records = [frame(h + g + end)[:-1] for h, g in zip(heads, enc.encode(texts[lo:hi]))]
+                yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["record"])
+
+    frames = map_arrow(placed.select("doc_id", "text"), to_frames, "record binary")
     # The writer closes every row with 0x0A, the last byte of a frame.
     frames.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
 
 
+def _column_chunks(texts: pa.StringArray) -> Iterator[tuple[int, int]]:
+    """Slices that hold about CHUNK bytes; a longer text stands alone."""
+    sizes = np.asarray(pc.binary_length(texts))
+    return byte_chunks([range(n) for n in sizes.tolist()], CHUNK)
+
+
 def _tokens(payload: bytes) -> tuple[int | None, np.ndarray]:
     doc_id, flags = START.unpack_from(payload)
     ids = np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=START.size)

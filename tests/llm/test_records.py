@@ -21,7 +21,7 @@ def plain():
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
-TEXTS = ["", " ", "\n", "a b", " a b ", "a  b", "a\n\nb", "a\nb", "\na", "a \nb", "a\tb c", "it's we'll 'tis", "x y z", "<|endoftext|> z", "a <|endoftext|> b", "x<|endoftext|>y  z\n<|endoftext|>", "<|endoftext|", "é\nß ü", "1 23\r\n4"]
+TEXTS = ["", " ", "\n", "a b", " a b ", "a  b", "a\n\nb", "a\nb", "\na", "a \nb", "a\tb c", "it's we'll 'tis", "x y z", "<|endoftext|> z", "Ünïcödé, ñandú; 漢字. Жуков! ǅ ª", "a\u2003\u2003b \u00a0c", "x\u0085y\u0085", "end. .x ,y can't,", "a <|endoftext|> b", "x<|endoftext|>y  z\n<|endoftext|>", "<|endoftext|", "é\nß ü", "1 23\r\n4"]
 
 
 def test_pieces_encode_as_the_whole(plain):
