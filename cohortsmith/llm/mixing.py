@@ -10,6 +10,7 @@ Everything here is a DataFrame expression; the driver sees a few sums.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -123,20 +124,34 @@ def plan_mixture(docs: DataFrame, target: Target, budget_share: float | None = 1
     return durable(plan.drop("rest").unionByName(empty))
 
 
+def free_name(columns: Sequence[str], wanted: str) -> str:
+    """The name wanted, with as many underscores behind it as make it new in any case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def realise(docs: DataFrame, plan: DataFrame, seed=0) -> DataFrame:
     """The documents with all their columns, once for each pass that takes them, and in
     __block and __key the pass and their place in it. No text is shuffled for it: a
-    document's passes follow from its source's row in the plan."""
+    document's passes follow from its source's row in the plan.
+
+    Null and empty texts have no tokens and come with every whole pass of their source; a null source
+    is ''; repeated rows are drawn each by itself; an empty table gives no rows. Columns of the documents
+    may have any names: if one is called __block or __key, the column added has underscores behind.
+    """
     own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*own, source_key().alias("__source"), count_tokens().alias("__tokens"))
-    rules = plan.select(F.col("source_key").alias("__source"), F.struct("blocks", "cut_slice", "cut_key").alias("__rule"))
-    blocks, cut_slice = F.col("__rule.blocks"), F.col("__rule.cut_slice")
-    passes = rows.join(rules, "__source").withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), blocks)))
-    keyed = passes.withColumn("__key", draw_key(seed, F.col("__source"), F.col("__block"), F.col("__tokens")))
-    before = F.expr("substring(__key, 1, length(__rule.cut_slice))")
-    in_last = (before < cut_slice) | ((before == cut_slice) & (F.col("__key") <= F.coalesce("__rule.cut_key", F.lit(""))))
-    kept = keyed.filter((F.col("__block") < blocks) | F.coalesce(in_last, F.lit(False)))
-    return kept.select(*own, "__block", "__key")
+    rows = docs.select(F.struct(*own).alias("doc"), F.col("doc_id"), source_key().alias("source"), count_tokens().alias("tokens"))
+    rules = plan.select(F.col("source_key").alias("source"), F.struct("blocks", "cut_slice", "cut_key").alias("rule"))
+    blocks, cut_slice = F.col("rule.blocks"), F.col("rule.cut_slice")
+    passes = rows.join(rules, "source").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks)))
+    keyed = passes.withColumn("key", draw_key(seed, F.col("source"), F.col("block"), F.col("tokens")))
+    before = F.expr("substring(key, 1, length(rule.cut_slice))")
+    in_last = (before < cut_slice) | ((before == cut_slice) & (F.col("key") <= F.coalesce("rule.cut_key", F.lit(""))))
+    kept = keyed.filter((F.col("block") < blocks) | F.coalesce(in_last, F.lit(False)))
+    added = [F.col(c).alias(free_name(docs.columns, f"__{c}")) for c in ("block", "key")]
+    return kept.select("doc.*", *added)
 
 
 def mixture_sql(entropy: float, seed: int) -> str:

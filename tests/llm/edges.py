@@ -3,7 +3,7 @@
 import random
 
 #: Columns a table may happen to have, named as operators name theirs inside.
-CLASHING = ["row", "tile", "node", "hash", "tie", "n", "key", "bucket", "last", "toxic", "size", "spans", "blocks", "source_key", "tokens"]
+CLASHING = ["row", "tile", "node", "hash", "tie", "n", "key", "bucket", "last", "toxic", "size", "spans", "blocks", "source_key", "tokens", "__row_number", "row_number", "__tokens", "__source", "__block", "__key", "doc", "block", "rule", "part", "sign"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

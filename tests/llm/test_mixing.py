@@ -58,7 +58,7 @@ def brute(rows, a, budget_share, seed):
 
 
 def drawn(df):
-    return Counter((r["source"] or "", r["doc_id"], tokens(r["text"]), r["__block"]) for r in df.collect())
+    return Counter((r["source"] or "", r["doc_id"], tokens(r["text"]), r[df.columns[-2]]) for r in df.collect())
 
 
 @pytest.mark.parametrize("target,budget", [(M.Target(entropy=0.9), 1.0), (M.Target(entropy=0.8), 2.5), (M.Target(repeats=3.0), None), (M.Target(repeats=2.0), 1.0)])
