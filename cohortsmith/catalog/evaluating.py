@@ -197,6 +197,25 @@ def bootstrap_ci(spark, sf):
     return rounded(M.bootstrap_ci(v, "user_id", "v", ["grp"]), "boot_mean", "ci_low", "ci_high")
 
 
+_STEPS = " + ".join(f"cast(u >= {t} as integer)" for t in M.POISSON_STEPS)
+
+
+@query(
+    f"""with v as (select user_id, round(avg(value), 6) as v, cast(user_id % 3 as integer) as grp from events group by user_id),
+       h as (select grp, v, blk, md5(concat_ws(':', '42', user_id, blk)) as h from v, (select unnest(range(100)) as blk)),
+       x as (select grp, v, blk, i, cast('0x' || substr(h, 8 * i + 1, 8) as bigint) as u from h, (select unnest(range(4)) as i)),
+       w as (select grp, blk, i, v, {_STEPS} as w from x),
+       m as (select grp, blk, i, sum(w * v) / sum(w) as m from w group by grp, blk, i having sum(w) > 0)
+       select grp, round(avg(m), 6) as boot_mean, round(quantile_cont(m, 0.025::double), 6) as ci_low, round(quantile_cont(m, 0.975::double), 6) as ci_high
+       from m group by grp"""
+)
+def poisson_bootstrap(spark, sf):
+    """Intervals of the mean by hashed Poisson weights: no row is numbered or joined."""
+    e = table(spark, sf, "events")
+    v = e.groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("v")).withColumn("grp", (F.col("user_id") % 3).cast("int"))
+    return rounded(M.poisson_bootstrap_ci(v, "user_id", "v", ["grp"], draws=400), "boot_mean", "ci_low", "ci_high")
+
+
 @query(
     f"""with {SCORES_SQL}, f as (select *, case when fold = 0 then null else prob end as p from scores)
         select fold, count(*) as n, count(*) - count(p) as n_failed, round(avg(coalesce(p, 0.5::double)), 6) as mean_prob from f group by fold"""

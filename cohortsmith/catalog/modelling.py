@@ -3,15 +3,19 @@ from the fitted model: whole and right rows, optimality of coefficients, orthono
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash_int
 from ..operators import models as MD
 from ..operators import reduce as PC
 from ..operators import tuning as TU
 from ..operators.folds import assign_folds, assign_holdout
-from ..operators.report import summarize_folds
+from ..operators.multifit import Fit, fit_many, recipe_of, score_many, weigh
+from ..operators.report import stack_folds, summarize_folds
 from ..operators.resample import smote as make_rows
 from ..operators.resample import with_synthetic
 from ..operators.scale import scale_table
@@ -19,7 +23,7 @@ from ..operators.select import anova_f as f_table
 from ..operators.select import select_k_best as best
 from ..operators.shape import array_features, explode_features
 from ..operators.weights import balanced_weights
-from ..plans.flows import final_fit, interval_summary
+from ..plans.flows import final_fit, interval_summary, logistic_leave_one_out
 from ..plans.flows import grid_study as run_grid
 from ..plans.flows import holdout_study as run_holdout
 from ..plans.flows import nested_study as run_nested
@@ -33,6 +37,8 @@ NAMES = [str(i) for i in range(64)]
 HOLDOUT_SQL = f"{WIDE_SQL}, {_holdout_sql('wide', 'vec_id', 42, '')}"
 #: How far from zero a gradient at the optimum may be; the fits stop at 1e-6 of the loss.
 OPTIMUM = 2e-3
+#: Least area under the curve of a fitted model on rows it has not seen; a constant scorer has one half.
+FLOOR = 0.75
 
 
 def _scaled(rows, train):
@@ -54,13 +60,21 @@ def _all_scaled(spark, sf):
     return durable(balanced_weights(_scaled(rows, rows)))
 
 
+def _auc(predictions) -> float:
+    scored = predictions.select(F.lit(0).alias("g"), F.col("actual").alias("label"), F.col("probability").alias("prob"))
+    return TU.fold_auc(scored, ["g"]).first()["roc_auc"]
+
+
 def _checked(predictions):
-    """What must hold of every prediction: its row, a probability, and the class at one half."""
+    """What must hold of every prediction: its row, a probability, the class at one half, and of all
+    of them together an area under the curve that chance does not reach."""
+    done = durable(predictions)
     p = F.col("probability")
-    return predictions.select("vec_id", "actual", p.between(0, 1).alias("in_range"), (F.col("predicted") == (p >= 0.5).cast("int")).alias("at_half"))
+    facts = [p.between(0, 1).alias("in_range"), (F.col("predicted") == (p >= 0.5).cast("int")).alias("at_half"), F.lit(_auc(done) >= FLOOR).alias("better_than_chance")]
+    return done.select("vec_id", "actual", *facts)
 
 
-CHECKED_SQL = f"with {HOLDOUT_SQL} select vec_id, label as actual, true as in_range, true as at_half from split where role = 'test'"
+CHECKED_SQL = f"with {HOLDOUT_SQL} select vec_id, label as actual, true as in_range, true as at_half, true as better_than_chance from split where role = 'test'"
 
 
 def _optimality(model, rows, l1: bool):
@@ -84,7 +98,7 @@ OPTIMAL_SQL = "select cast(unnest(range(64)) as integer) as feature, true as opt
 @query(CHECKED_SQL)
 def fit_random_forest(spark, sf):
     train, test = _split(spark, sf)
-    return _checked(MD.predictions_table(MD.fit_random_forest(train, trees=20), test, "vec_id"))
+    return _checked(MD.predictions_table(MD.fit_random_forest(train), test, "vec_id"))
 
 
 @query(OPTIMAL_SQL)
@@ -104,19 +118,19 @@ def fit_logistic_l2(spark, sf):
 @query(CHECKED_SQL)
 def fit_gbt(spark, sf):
     train, test = _split(spark, sf)
-    return _checked(MD.predictions_table(MD.fit_gbt(train, rounds=10, rate=0.1), test, "vec_id"))
+    return _checked(MD.predictions_table(MD.fit_gbt(train), test, "vec_id"))
 
 
 @query(CHECKED_SQL)
 def fit_balanced_forest(spark, sf):
     train, test = _split(spark, sf)
-    return _checked(MD.predictions_table(MD.fit_balanced_bags(train, "vec_id", trees=8), test, "vec_id"))
+    return _checked(MD.predictions_table(MD.fit_balanced_bags(train, "vec_id"), test, "vec_id"))
 
 
 @query(CHECKED_SQL)
 def fit_balanced_bagging(spark, sf):
     train, test = _split(spark, sf)
-    return _checked(MD.predictions_table(MD.fit_balanced_bags(train, "vec_id", trees=8, all_features=True), test, "vec_id"))
+    return _checked(MD.predictions_table(MD.fit_balanced_bags(train, "vec_id", all_features=True), test, "vec_id"))
 
 
 @query("select cast(unnest(range(64)) as integer) as feature, true as optimal, true as rightly_kept")
@@ -243,7 +257,7 @@ def smote_logistic(spark, sf):
 @query("select cast(feature as varchar) as feature, true as not_negative, 1.0::double as total from (select unnest(range(64)) as feature)")
 def feature_importance(spark, sf):
     train, _ = _split(spark, sf)
-    t = MD.feature_importance(MD.fit_random_forest(train, trees=20), NAMES, spark)
+    t = MD.feature_importance(MD.fit_random_forest(train), NAMES, spark)
     total = F.sum("importance").over(W.partitionBy(F.lit(1)))
     return t.select("feature", (F.col("importance") >= 0).alias("not_negative"), r6(total).alias("total"))
 
@@ -259,13 +273,13 @@ def coef_importance(spark, sf):
 
 @query(
     f"""with {HOLDOUT_SQL}, n as (select count(*) as n, cast(sum(label) as bigint) as positives from split where role = 'test')
-        select unnest(['LogisticRegression', 'RandomForest']) as model, n as scored, positives, true as rates_inside from n"""
+        select unnest(['GradientBoosting', 'LogisticRegression', 'RandomForest']) as model, n as scored, positives, true as rates_inside, true as better_than_chance from n"""
 )
 def holdout_study(spark, sf):
-    """Two models on one split and three folds."""
-    models = {"LogisticRegression": {"c": 0.5}, "RandomForest": {"trees": 10}}
-    r = run_holdout(wide(spark, sf), "vec_id", "embedding", models=models, top=20, k=3).records
-    return r.select("model", _scored().alias("scored"), (F.col("tp") + F.col("fn")).alias("positives"), _inside("roc_auc", "cv_auc_mean", "accuracy"))
+    """Three models at their full sizes on one split and five folds."""
+    r = run_holdout(wide(spark, sf), "vec_id", "embedding").records
+    better = (F.least("roc_auc", "cv_auc_mean") >= FLOOR).alias("better_than_chance")
+    return r.select("model", _scored().alias("scored"), (F.col("tp") + F.col("fn")).alias("positives"), _inside("roc_auc", "cv_auc_mean", "accuracy"), better)
 
 
 def _scored():
@@ -280,15 +294,46 @@ def _inside(*rates):
 
 
 @query(
-    f"""with {WIDE_SQL}, {_plan_sql('wide', 'vec_id', 3, 1, 42)}
-        select repeat, fold, count(*) as scored, cast(sum(label) as bigint) as positives, true as rates_inside, cast(20 as integer) as n_features_train from plan group by repeat, fold"""
+    f"""with {WIDE_SQL}, {_plan_sql('wide', 'vec_id', 5, 3, 42)}
+        select repeat, fold, count(*) as scored, cast(sum(label) as bigint) as positives, true as rates_inside, true as better_than_chance,
+          'search' as status, true as from_lists from plan group by repeat, fold"""
 )
 def nested_study(spark, sf):
-    """Search over two candidates in two inner folds of each of three outer folds."""
-    grid = {"k": (20,), "c": (0.1, 1.0)}
-    r = run_nested(wide(spark, sf), "vec_id", "embedding", k_outer=3, repeats=1, k_inner=2, n_iter=2, grid=grid).records
+    """The whole candidate list in three inner folds of each of 5 x 3 outer folds: 735 fits of the model and as
+    many L1 stages as differ."""
+    r = run_nested(wide(spark, sf), "vec_id", "embedding").records
     counts = (F.col("tp") + F.col("fn")).alias("positives")
-    return r.select("repeat", "fold", _scored().alias("scored"), counts, _inside("roc_auc", "threshold", "recall"), "n_features_train")
+    better = (F.col("roc_auc") >= FLOOR).alias("better_than_chance")
+    listed = F.col("n_features_train").isin(*TU.param_grid("LogisticRegression", 64)["k"]) & (F.col("n_selected") <= F.col("n_features_train"))
+    return r.select("repeat", "fold", _scored().alias("scored"), counts, _inside("roc_auc", "threshold", "recall"), better, "status", listed.alias("from_lists"))
+
+
+@query(
+    f"""with {WIDE_SQL}, {_plan_sql('wide', 'vec_id', 2, 1, 42)}
+        select repeat, fold, count(*) as scored, 'fallback' as status, '{{"k": 20}}' as best_params, true as better_than_chance from plan group by repeat, fold"""
+)
+def search_fallback(spark, sf):
+    """A search all of whose candidates fail: every fold is fitted with the defaults and says so."""
+    r = run_nested(wide(spark, sf), "vec_id", "embedding", k_outer=2, repeats=1, k_inner=2, grid={"k": (20,), "c": (-1.0, -2.0)}).records
+    return r.select("repeat", "fold", _scored().alias("scored"), "status", "best_params", (F.col("roc_auc") >= FLOOR).alias("better_than_chance"))
+
+
+@query(f"with {WIDE_SQL} select vec_id, label, true as in_range, true as near_a_refit, true as better_than_chance from wide")
+def logistic_loo(spark, sf):
+    """Leave-one-out scores of every row from one fit. A refit without the rows of a fold of 1,000
+    folds tells whether the correction goes the right way by the right amount."""
+    got = durable(logistic_leave_one_out(wide(spark, sf), "vec_id", "embedding", top=20).withColumnRenamed("row_id", "vec_id"))
+    auc = _auc(got.select(F.col("label").alias("actual"), F.col("prob").alias("probability")))
+    rows = durable(wide(spark, sf).withColumn("x", F.col("embedding").cast("array<double>")))
+    tagged = rows.select("vec_id", "label", "x", F.lit(0).alias("repeat"), F.lit(1).alias("fold"))
+    recipe = recipe_of(recipe_rows(fold_recipes(explode_features(tagged, ["vec_id", "label", "repeat", "fold"], "x"), 2, 20))[(0, 0)])
+    folds = durable(rows.select("vec_id", "label", "x", F.array((hash_int(5, F.col("vec_id")) % 1_000).cast("int")).alias("views")))
+    whole = weigh(folds, [Fit(0, -1, recipe, 0.5)])[0]
+    refits = fit_many(folds, [replace(whole, held=h) for h in range(8)])
+    true = score_many(folds, refits, ["vec_id"]).select("vec_id", F.col("prob").alias("refit"))
+    both = got.join(true, "vec_id", "left")
+    near = F.coalesce(F.abs(F.col("prob") - F.col("refit")) <= 0.02, F.lit(True)).alias("near_a_refit")
+    return both.select("vec_id", "label", F.col("prob").between(0, 1).alias("in_range"), near, F.lit(auc >= FLOOR).alias("better_than_chance"))
 
 
 @query("select cast(unnest(range(3)) as integer) as candidate, true as between_folds")
@@ -299,14 +344,18 @@ def random_search(spark, sf):
     return TU.inner_score(s).join(folds, "candidate").select("candidate", F.col("score").between(F.col("low"), F.col("high")).alias("between_folds"))
 
 
-@query("select unnest(['adasyn__LogisticRegression', 'smote__LogisticRegression']) as combo, true as rates_inside")
+COMBOS = [f"{r}__{m}" for r in ("none", "smote", "borderline", "adasyn") for m in ("LogisticRegression", "RandomForest")]
+
+
+@query(f"select unnest({COMBOS}) as combo, true as rates_inside, true as better_than_chance")
 def resampler_grid(spark, sf):
-    """Two resamplers before one model: recall, F1 and AUC over two folds."""
-    grid = {"k": (20,), "c": (0.5,)}
-    study = run_grid(
-        wide(spark, sf), "vec_id", "embedding", ["smote", "adasyn"], ["LogisticRegression"], k_outer=2, repeats=1, n_iter=1, grid=grid
-    )
-    return summarize_folds(study.records, ["combo"], ["recall", "f1", "roc_auc"]).select("combo", _inside("recall_mean", "f1_mean", "roc_auc_mean"))
+    """No resampler and three of them before two models: recall, F1 and AUC over two folds."""
+    resamplers = [None, "smote", "borderline", "adasyn"]
+    cohort, outer = wide(spark, sf), {"k_outer": 2, "repeats": 1, "n_iter": 1}
+    logistic = run_grid(cohort, "vec_id", "embedding", resamplers, ["LogisticRegression"], grid={"k": (20,), "c": (0.5,)}, **outer)
+    forest = run_grid(cohort, "vec_id", "embedding", resamplers, ["RandomForest"], grid={"k": (20,), "trees": (100,), "depth": (5,)}, l1_c=None, **outer)
+    s = summarize_folds(logistic.records.unionByName(forest.records), ["combo"], ["recall", "f1", "roc_auc"])
+    return s.select("combo", _inside("recall_mean", "f1_mean", "roc_auc_mean"), (F.col("roc_auc_mean") >= FLOOR).alias("better_than_chance"))
 
 
 @query(
@@ -321,12 +370,21 @@ def final_importance(spark, sf):
     return t.select("feature", r6(total).alias("total"), (F.col("importance") >= 0).alias("not_negative"))
 
 
-@query("select 'LogisticRegression' as model, cast(5 as bigint) as folds, true as inside")
+#: The four models of the final comparison, with the first candidate of each list.
+FINAL = {
+    "BalancedRF": {"k": (50,), "l1_c": (0.5,), "trees": (100,), "depth": (5,)},
+    "GradientBoosting": {"k": (50,), "rounds": (100,), "rate": (0.05,), "depth": (2,)},
+    "LogisticRegression": {"k": (50,), "c": (0.5,)},
+    "RandomForest": {"k": (50,), "l1_c": (0.5,), "trees": (200,), "depth": (5,)},
+}
+
+
+@query(f"select unnest({sorted(FINAL)}) as model, cast(5 as bigint) as folds, true as inside, true as better_than_chance")
 def models_summary(spark, sf):
-    """Five outer folds: each mean lies in its bootstrap interval."""
-    r = run_nested(wide(spark, sf), "vec_id", "embedding", k_outer=5, repeats=1, n_iter=1, grid={"k": (20,), "c": (0.5,)}).records
-    s = interval_summary(r, ["model"])
+    """Four models in five outer folds: each mean lies in its bootstrap interval."""
+    records = [run_nested(wide(spark, sf), "vec_id", "embedding", model=m, repeats=1, n_iter=1, grid=g).records for m, g in FINAL.items()]
+    s = interval_summary(stack_folds(records), ["model"])
     inside = F.lit(True)
     for m in ("accuracy", "roc_auc", "f1"):
         inside = inside & F.col(f"{m}_mean").between(F.col(f"{m}_ci_low"), F.col(f"{m}_ci_high"))
-    return s.select("model", "folds", inside.alias("inside"))
+    return s.select("model", "folds", inside.alias("inside"), (F.col("roc_auc_mean") >= FLOOR).alias("better_than_chance"))

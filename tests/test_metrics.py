@@ -6,6 +6,8 @@ import json
 import math
 import os
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +223,26 @@ def test_published_predictions(spark):
     df = spark.createDataFrame([(int(r["actual"]), int(r["predicted"]), float(r["probability"])) for r in rows], "label int, published int, prob double")
     cut = M.apply_threshold(df, df.sparkSession.createDataFrame([(0.5,)], "threshold double"))
     assert cut.filter("predicted <> published").count() == 0
+
+
+def test_poisson_bootstrap(spark):
+    """Near the plain bootstrap, whatever the partitioning, and with weights of mean one."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"row_id": np.arange(900), "g": np.arange(900) % 2, "v": rng.exponential(size=900)})
+    df = spark.createDataFrame(pdf)
+    got = {r["g"]: r for r in M.poisson_bootstrap_ci(df, "row_id", "v", ["g"], draws=600).collect()}
+    again = {r["g"]: r for r in M.poisson_bootstrap_ci(df.repartition(7), "row_id", "v", ["g"], draws=600).collect()}
+    for g, part in pdf.groupby("g"):
+        v = part["v"].to_numpy()
+        means = rng.choice(v, (4_000, len(v))).mean(axis=1)
+        for c, want in (("boot_mean", means.mean()), ("ci_low", np.quantile(means, 0.025)), ("ci_high", np.quantile(means, 0.975))):
+            assert abs(got[g][c] - want) < 0.03 and abs(got[g][c] - again[g][c]) < 1e-9
+    plan = M.poisson_bootstrap_ci(df, "row_id", "v", ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+
+
+def test_poisson_bootstrap_small(spark):
+    one = spark.createDataFrame([(1, 2.5), (2, None), (3, float("nan"))], "row_id long, v double")
+    r = M.poisson_bootstrap_ci(one, "row_id", "v", draws=10).first()
+    assert r["boot_mean"] == r["ci_low"] == r["ci_high"] == 2.5
+    assert M.poisson_bootstrap_ci(one.limit(0), "row_id", "v", draws=10).count() == 0
