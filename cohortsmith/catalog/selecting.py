@@ -12,7 +12,7 @@ from ..operators.columns import select_columns as take_columns
 from ..operators.folds import assign_folds
 from ..operators.select import anova_f as f_table
 from ..operators.select import double_k_best as two_filters
-from ..operators.select import k_rule
+from ..operators.select import by_rules, k_rule
 from ..operators.select import select_k_best as best
 from ..operators.shape import explode_features, unpivot_features
 
@@ -58,6 +58,19 @@ def select_k_best(spark, sf):
     return rounded(best(f_table(wide_long(spark, sf)), k_rule(64)), "f")
 
 
+@query(
+    f"""with {WIDE_SQL}, {f_sql('long', 'feature')},
+        r as (select feature, f, row_number() over (order by f desc, feature desc) as rank, count(*) over () as p from ftab),
+        k as (select unnest(['default', 'at_most_50', 'at_most_200', 'tenth', 'fifth']) as rule)
+        select rule, feature, round(f, 6) as f, cast(rank as integer) as rank from r join k
+          on rank <= case rule when 'default' then greatest(5, least(greatest(20, p // 20), 100, p)) when 'at_most_50' then least(50, p)
+            when 'at_most_200' then least(200, p) when 'tenth' then greatest(1, p // 10) else greatest(1, p // 5) end"""
+)
+def select_by_rules(spark, sf):
+    """What each rule for the number of features keeps."""
+    return rounded(by_rules(f_table(wide_long(spark, sf)), 64), "f")
+
+
 @query(
     f"""with {WIDE_SQL}, {f_sql('long', 'feature')},
         r as (select feature, f, row_number() over (order by f desc, feature desc) as rank from ftab)

@@ -28,6 +28,7 @@ from ..session import fresh_folder, join_on, task_count
 from .ensemble import TreeEnsembleModel, ensemble_of
 from .reduce import ComponentsModel
 from .resample import balanced_bags
+from .select import FALLBACK_RULES
 
 # Spark's deepest tree; stands for "no limit".
 UNLIMITED_DEPTH = 30
@@ -188,9 +189,15 @@ def select_l1(train: DataFrame, c: float = 0.1, floor: float = COEFFICIENT_FLOOR
     return [i for i, w in enumerate(model.coefficients.toArray().tolist()) if abs(w) >= floor]
 
 
-def select_l1_or_fallback(train: DataFrame, ranked: Sequence[int], c: float = 0.1, fallback_k: int = 25) -> tuple[list[int], str]:
-    """select_l1, or the leading positions by F when nothing survives."""
+def select_l1_or_fallback(
+    train: DataFrame, ranked: Sequence[int], c: float = 0.1, fallback_k: int | str = "at_most_25"
+) -> tuple[list[int], str]:
+    """select_l1, or the leading positions by F when nothing survives. `ranked` are all positions in
+    the order of their F; `fallback_k` is how many, or the name of a rule in FALLBACK_RULES."""
+    if sorted(ranked) != list(range(len(ranked))):
+        raise ValueError("ranked must be an order of all positions")
     kept = select_l1(train, c)
     if kept:
         return kept, "l1"
-    return list(ranked[: min(fallback_k, len(ranked))]), "f_test"
+    k = FALLBACK_RULES[fallback_k](len(ranked)) if isinstance(fallback_k, str) else fallback_k
+    return list(ranked[: min(k, len(ranked))]), "f_test"

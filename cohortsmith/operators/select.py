@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +44,31 @@ def k_rule(p: int, low: int = 5, fallback: int = 20, high: int = 100) -> int:
     return max(low, min(max(fallback, p // 20), high, p))
 
 
+# How many features the studies keep of a width of p, by name of the rule.
+K_RULES: dict[str, Callable[[int], int]] = {
+    "default": k_rule,
+    "at_most_50": lambda p: min(50, p),
+    "at_most_200": lambda p: min(200, p),
+    "tenth": lambda p: max(1, p // 10),
+    "fifth": lambda p: max(1, p // 5),
+}
+# And how many where an L1 stage keeps none.
+FALLBACK_RULES: dict[str, Callable[[int], int]] = {
+    "at_most_25": lambda p: min(25, p),
+    "tenth_at_most_50": lambda p: max(1, min(50, p // 10)),
+    "tenth_at_most_100": lambda p: max(1, min(100, p // 10)),
+    "all": lambda p: p,
+}
+
+
+def by_rules(scores: DataFrame, p: int, rules: Sequence[str] = tuple(K_RULES)) -> DataFrame:
+    """rule, feature, f, rank: what each rule keeps of scores of p features, from one ranking."""
+    sizes = {r: K_RULES[r](p) for r in rules}
+    ranked = select_k_best(scores, max(sizes.values()))
+    kept = F.array(*[F.when(F.col("rank") <= k, F.lit(r)) for r, k in sizes.items()])
+    return ranked.select(F.explode(F.array_compact(kept)).alias("rule"), "feature", "f", "rank")
+
+
 def double_k_best(scores: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     """Two F filters in a row, the second with max(10, k // 5)."""
     first = select_k_best(scores, k, by).drop("rank")

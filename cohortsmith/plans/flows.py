@@ -25,7 +25,7 @@ from ..operators.multifit import Fit, Fitted, fit_many, leave_one_out, recipe_of
 from ..operators.ranking import hash_rank
 from ..operators.reduce import fit_pca, project, width
 from ..operators.report import best_model, stack_folds, summarize_folds
-from ..operators.select import anova_f, select_k_best
+from ..operators.select import FALLBACK_RULES, anova_f, select_k_best
 from ..operators.shape import explode_features
 from ..operators.tuning import (
     fit_named,
@@ -41,8 +41,8 @@ from ..session import durable, join_on
 from .recipes import FOLD, apply_recipe, fold_recipes, recipe_rows
 
 ID = "row_id"
-#: Features kept by F where an L1 stage keeps none.
-FALLBACK_K = 25
+#: Rule for the features kept by F where an L1 stage keeps none.
+FALLBACK = "at_most_25"
 
 
 @dataclass
@@ -198,6 +198,7 @@ def _fit_candidate(
     pre_pca: int | None = None,
     l1_c: float | None = None,
     kept: Sequence[int] | None = None,
+    fallback: str = FALLBACK,
 ):
     """Project, keep the best components, resample, choose by L1 at the candidate's C or else at
     `l1_c` (None: no such stage), and fit. `kept` are positions that an L1 stage chose already.
@@ -208,12 +209,12 @@ def _fit_candidate(
         train = durable(_components(pca, train))
         best = best_components(train, params["k"])
         inner = {**params, "k": len(best)}
-        model, _ = _fit_candidate(name, _keep_positions(train, best), inner, seed, parallelism, resampler, l1_c=l1_c)
+        model, _ = _fit_candidate(name, _keep_positions(train, best), inner, seed, parallelism, resampler, l1_c=l1_c, fallback=fallback)
         return projected(narrowed(model, best), pca), chosen
     train = resampled(train, resampler, k=params.get("smote_k", 5), seed=seed)
     c = params.get("l1_c", l1_c)
     if kept is None and c is not None:
-        kept, _ = select_l1_or_fallback(weigh_for_fit(train)[0], range(width(train)), c)
+        kept, _ = select_l1_or_fallback(weigh_for_fit(train)[0], range(width(train)), c, fallback)
     if kept is not None:
         train = _keep_positions(train, kept)
     model = fit_named(name, train, params, ID, seed, parallelism)
@@ -255,8 +256,10 @@ def _nested_plan(tagged: DataFrame, k_outer: int, repeats: int, k_inner: int, wi
 Job = tuple[int, int, int]  # view, inner fold or -1, candidate
 
 
-def _l1_positions(plan: _Plan, jobs: Sequence[Job], candidates: Sequence[dict], l1_c: float | None) -> dict[Job, list[int]]:
-    """Survivors of each job's L1 stage, or the leading FALLBACK_K by F; all jobs in shared passes."""
+def _l1_positions(
+    plan: _Plan, jobs: Sequence[Job], candidates: Sequence[dict], l1_c: float | None, fallback: str = FALLBACK
+) -> dict[Job, list[int]]:
+    """Survivors of each job's L1 stage, or the leading ones by F; all jobs in shared passes."""
     wanted: dict[tuple, list[Job]] = {}
     for v, g, i in jobs:
         c = candidates[i].get("l1_c", l1_c)
@@ -266,7 +269,7 @@ def _l1_positions(plan: _Plan, jobs: Sequence[Job], candidates: Sequence[dict],
     out: dict[Job, list[int]] = {}
     for key, done in zip(wanted, fit_many(plan.rows, weigh(plan.rows, fits)) if fits else []):
         kept = [j for j, w in enumerate(done.coefficients[:-1]) if abs(w) >= COEFFICIENT_FLOOR]
-        kept = kept or list(range(min(FALLBACK_K, len(done.coefficients) - 1)))
+        kept = kept or list(range(FALLBACK_RULES[fallback](len(done.coefficients) - 1)))
         out.update({job: kept for job in wanted[key]})
     return out
 
@@ -302,13 +305,15 @@ def nested_study(
     resampler: str | None = None,
     pre_pca: int | None = None,
     l1_c: float | None = 0.1,
+    fallback: str = FALLBACK,
     seed: int = 42,
     parallelism: int = 4,
 ) -> Study:
     """Repeated outer folds; inside each a random search over inner folds; the threshold
     with the best F1 on the outer training scores ('test' tunes on the test fold, which
     is optimistic). Every model has an L1 stage after the choice by F; a grid that names l1_c
-    tunes it, otherwise it stays at the argument.
+    tunes it, otherwise it stays at the argument. `fallback` names the rule for how many features
+    stay where that stage keeps none.
 
     Every fitted number, selection included, comes from the training rows of its fold. Folds, recipes,
     L1 stages and logistic models of all folds and candidates are made in shared passes over the
@@ -340,15 +345,15 @@ def nested_study(
     def single(job: Job, params: dict, kept: Sequence[int] | None) -> tuple[DataFrame, list[int]]:
         v, g, _ = job
         d = ready(v, g, params["k"])
-        fitted, used = _fit_candidate(model, d.filter("seen").drop("seen"), params, seed, 1, resampler, pre_pca, l1_c, kept)
+        fitted, used = _fit_candidate(model, d.filter("seen").drop("seen"), params, seed, 1, resampler, pre_pca, l1_c, kept, fallback)
         todo = d if g == -1 else d.filter("not seen")
         return score(fitted, todo, [*keep, "seen"]), used
 
     def tables(jobs: Sequence[Job]) -> tuple[DataFrame | None, set[Job]]:
         """Scores of the rows that each job's model left out, and the jobs that failed."""
         if joint:
-            return _job_scores(score_many(plan.rows, _joint(plan, jobs, candidates, _l1_positions(plan, jobs, candidates, l1_c)), [ID]), jobs), set()
-        kept = _l1_positions(plan, jobs, candidates, l1_c) if shared else {}
+            return _job_scores(score_many(plan.rows, _joint(plan, jobs, candidates, _l1_positions(plan, jobs, candidates, l1_c, fallback)), [ID]), jobs), set()
+        kept = _l1_positions(plan, jobs, candidates, l1_c, fallback) if shared else {}
         failed: set[Job] = set()
 
         def attempt(job: Job) -> DataFrame | None:
@@ -386,7 +391,7 @@ def nested_study(
     # A last candidate stands for the defaults of a failed search.
     params_of = [*candidates, {"k": widest}]
     last = [(v, -1, chosen[v] % len(params_of)) for v in views]
-    kept = _l1_positions(plan, last, params_of, l1_c) if shared else {}
+    kept = _l1_positions(plan, last, params_of, l1_c, fallback) if shared else {}
     if joint:
         scored = score_many(plan.rows, _joint(plan, last, params_of, kept), [ID], trained=True)
         every = durable(_job_scores(scored, last).select(ID, "label", "view", "role", "prob"))

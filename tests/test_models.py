@@ -73,6 +73,9 @@ def test_l1_selection_and_fallback(vectors):
     kept = MD.select_l1(vectors, c=0.1)
     assert set(kept) >= {0, 1} and len(kept) < 6
     assert MD.select_l1_or_fallback(vectors, range(6), c=1e-4, fallback_k=2) == ([0, 1], "f_test")
+    assert MD.select_l1_or_fallback(vectors, [3, 1, 0, 2, 5, 4], c=1e-4, fallback_k="tenth_at_most_50") == ([3], "f_test")
+    with pytest.raises(ValueError, match="order of all positions"):
+        MD.select_l1_or_fallback(vectors, [0, 2, 5])
 
 
 def test_pca_is_centred_and_orthonormal(vectors):
@@ -213,3 +216,13 @@ def test_grid_study_with_components(cohort):
     assert not s.errors
     assert {(r["combo"], r["pre_pca"], r["fold"]) for r in rows} == {(f"{m}__LogisticRegression", 3, f) for m in ("none", "borderline") for f in (0, 1)}
     assert all(r["roc_auc"] > 0.75 for r in rows)
+
+
+def test_rules_for_the_number_of_features(spark):
+    from cohortsmith.operators import select as SE
+
+    rows = spark.createDataFrame([(i, float(i)) for i in range(185)], "feature int, f double")
+    got = {r["rule"]: r["n"] for r in SE.by_rules(rows, 185).groupBy("rule").agg(F.count("*").alias("n")).collect()}
+    assert got == {"default": 20, "at_most_50": 50, "at_most_200": 185, "tenth": 18, "fifth": 37}
+    assert {r: rule(7_431) for r, rule in SE.K_RULES.items()} == {"default": 100, "at_most_50": 50, "at_most_200": 200, "tenth": 743, "fifth": 1486}
+    assert {r: rule(64) for r, rule in SE.FALLBACK_RULES.items()} == {"at_most_25": 25, "tenth_at_most_50": 6, "tenth_at_most_100": 6, "all": 64}
