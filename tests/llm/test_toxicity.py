@@ -63,6 +63,35 @@ def test_rows_beyond_the_sample_calibrate(spark):
     assert 300 < len(T.calibration_scores(d, labels, part, each=200)(model)) < 500
 
 
+def test_all_labelled_texts_are_learnt_from(spark, monkeypatch):
+    """No row is left out for their number or a text's length, and each has one role."""
+    rows = sample(3000)
+    rows.loc[7, "text"] = "ok " * 5_000 + "rarity " + rows.loc[7, "text"]
+    d = docs(spark, list(rows[["doc_id", "text", "lang"]].assign(source="a").itertuples(index=False, name=None)))
+    labels = spark.createDataFrame(rows[["doc_id", "toxic"]])
+    monkeypatch.setattr(T, "SAMPLE", 100)
+    learnt = T.learning_rows(d, labels).toPandas()
+    assert len(learnt) == 3000 and set(learnt["role"]) == {0, 1, 2} and learnt["ids"].map(len).max() > 5_000
+    calls = []
+    count = T.best_thresholds
+    monkeypatch.setattr(T, "best_thresholds", lambda s: calls.append(s.count()) or count(s))
+    model = T.fit_on_all(d, labels, part_texts=500)
+    assert calls == [(learnt["role"] == 0).sum()]
+    test = sample(200, seed=9)
+    got = model.score(*T.hash_words([t.encode() for t in test["text"]]), T._tables(model.network))
+    assert ((got >= T.CUT) == (test["toxic"] == 1)).mean() > 0.9
+
+
+def test_thresholds_are_those_of_all_scores(spark):
+    rng = np.random.default_rng(4)
+    raw = np.round(rng.random(3000), 2)
+    rows = pd.DataFrame({"guessed": rng.integers(0, 3, 3000), "raw": raw, "toxic": (rng.random(3000) < raw**2).astype(np.int32)})
+    rows.loc[rows["guessed"] == 2, "toxic"] = 0
+    got = T.best_thresholds(spark.createDataFrame(rows))
+    for g, d in [(-1, rows), *rows.groupby("guessed")]:
+        assert got[g] == (T.best_threshold(d["raw"].to_numpy(), d["toxic"].to_numpy()), d["toxic"].sum())
+
+
 def test_threshold():
     assert abs(T.best_threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0])) - 0.5) < 1e-9
     assert T.best_threshold(np.array([0.6, 0.5, 0.5, 0.5]), np.array([1, 1, 0, 1])) == 0.25
