@@ -149,3 +149,21 @@ def test_draws_reach_beyond_32_bits(spark):
     at = spark.range(2_000).select((hash_int(42, F.col("id")) % size + 1).alias("rank"))
     assert at.filter(F.col("rank") > 2**34).count() > 500
     assert at.filter(F.col("rank") < 2**32).count() > 200
+
+
+def test_first_of_a_block_and_its_distances(monkeypatch):
+    """Tiles change no distance; the k least are those of a whole stable sort, ties and not-a-numbers included."""
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(37, 5)), rng.normal(size=(91, 5))
+    monkeypatch.setattr(NB, "TILE_ROWS", 8)
+    monkeypatch.setattr(NB, "TILE_COLUMNS", 16)
+    want = np.zeros((37, 91))
+    for j in range(5):
+        want += (a[:, j, None] - b[None, :, j]) ** 2
+    assert (NB.squared_distances(a, b) == want).all()
+    d = np.where(rng.random(want.shape) < 0.1, np.nan, np.round(want))
+    d[3] = np.nan
+    for k in (1, 6, 91, 200):
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        row, column = NB.first_k(d, k)
+        assert (row == np.repeat(np.arange(37), best.shape[1])).all() and (column == best.ravel()).all()
