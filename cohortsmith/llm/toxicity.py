@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import running_totals
-from ..session import durable
+from ..session import durable, noted, release
 from .common import CHUNK, byte_chunks, encoded, keep_rows, map_batches, ship
 from .contamination import words_of
 
@@ -40,6 +40,8 @@ PART_TEXTS = 4_000
 PRIOR = 20
 #: Texts that a bucket needs for an embedding; the others' is zero and stays so.
 LEAST_TEXTS = 5
+#: Cells for each labelled id, and at most, by which documents without a label are left where they are.
+CELLS_EACH, CELLS = 16, 1 << 25
 #: Where the thresholds of all languages lie on the score.
 CUT = 0.3
 #: Positives a language needs in the calibration part for a threshold of its own.
@@ -390,22 +392,49 @@ def fit_classifier(sample: pd.DataFrame, more: Callable[[Classifier], pd.DataFra
     return Classifier(net, np.clip(cuts, 0.01, 1 - 1e-6), words)
 
 
+def _cell(doc_id: Column, cells: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(cells))
+
+
+def _label_cells(labels: DataFrame) -> tuple[int, np.ndarray]:
+    """How many cells there are, and a bit a cell: whether a label's id falls into it. A document whose id falls
+    into none has no label; one in CELLS_EACH of these is not told, or more beyond CELLS / CELLS_EACH labels. The
+    bits are never more than CELLS, and what they let through is joined to the labels."""
+    cells = min(CELLS, max(64, 64 * -(-labels.count() * CELLS_EACH // 64)))
+    at = _cell(F.col("doc_id"), cells)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    found = labels.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(cells // 64, "<i8")
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return cells, bits.view(np.uint8)
+
+
+def _in_cells(place: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """lang, toxic, role, draw, ids of every labelled id with a text: the buckets of all its words, in order.
     Of rows that repeat an id one counts, toxic if any label says so. The role follows from the id: 0
-    calibrates (a fifth), 1 gives the log odds and 2 trains the network (two fifths each)."""
+    calibrates (a fifth), 1 gives the log odds and 2 trains the network (two fifths each).
+
+    Words are hashed where the text is, of hardly more than the labelled rows, and only the buckets are joined to
+    the labels."""
     own = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(own, "doc_id")
+    cells, bits = _label_cells(own)
+    texts = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text", _cell(F.col("doc_id"), cells).alias("place"))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
+            d = d[_in_cells(d["place"].to_numpy().astype(np.int64), shared.value)]
             raw = encoded(d["text"])
             for a, b in byte_chunks(raw):
                 ids, bounds = hash_words(raw[a:b])
-                part = d.iloc[a:b][["doc_id", "lang", "toxic"]].reset_index(drop=True)
+                part = d.iloc[a:b][["doc_id", "lang"]].reset_index(drop=True)
                 yield part.assign(ids=[ids[x:y] for x, y in zip(bounds[:-1], bounds[1:])])
 
-    rows = map_batches(texts.select("doc_id", "lang", "toxic", "text"), hashed, "doc_id long, lang string, toxic int, ids array<int>")
+    rows = map_batches(texts, hashed, "doc_id long, lang string, ids array<int>").join(own, "doc_id")
     one = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("ids", F.coalesce("lang", F.lit("")).alias("lang"))).alias("one"))
     place = F.pmod(F.xxhash64("doc_id", F.lit("role")), F.lit(5))
     role = F.when(place == 0, 0).when(place <= 2, 1).otherwise(2).alias("role")
@@ -424,7 +453,7 @@ def _text_counts(rows: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"bucket": some, **{f"n{i}": seen[i, some] for i in range(4)}})
 
     counted = map_batches(rows.filter("role > 0").select("role", "toxic", "ids"), count, "bucket int, n0 long, n1 long, n2 long, n3 long")
-    d = counted.groupBy("bucket").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]).toPandas()
+    d = counted.groupBy("bucket").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]).toArrow().to_pandas()
     out = np.zeros((4, BUCKETS))
     out[:, d["bucket"].to_numpy()] = d[[f"n{i}" for i in range(4)]].to_numpy().T
     return out.reshape(2, 2, BUCKETS)
@@ -444,7 +473,7 @@ def _language_words(rows: DataFrame, names: list[str]) -> np.ndarray:
         i, bucket = np.nonzero(n)
         yield pd.DataFrame({"i": i, "bucket": bucket, "n": n[i, bucket]})
 
-    d = map_batches(rows.select("lang", "ids"), count, "i int, bucket int, n long").groupBy("i", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    d = map_batches(rows.select("lang", "ids"), count, "i int, bucket int, n long").groupBy("i", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     words = np.ones((BUCKETS, len(names)))
     words[d["bucket"].to_numpy(), d["i"].to_numpy()] += d["n"].to_numpy()
     return np.log(words / words.sum(axis=0)).astype(np.float32)
@@ -452,23 +481,31 @@ def _language_words(rows: DataFrame, names: list[str]) -> np.ndarray:
 
 def _spread_epoch(parts: DataFrame, now: Training, learnable: np.ndarray, turn: int) -> Training:
     """One pass over all training texts: every part descends from the present network by itself, then
-    the layers are the mean of the parts', and a bucket's embedding that of the parts that moved it."""
-    ship(parts.sparkSession)
-    shared = parts.sparkSession.sparkContext.broadcast((now, learnable))
+    the layers are the mean of the parts', and a bucket's embedding that of the parts that moved it. Only
+    the embeddings that may move travel; what was sent and written for the pass goes when it ends."""
+    spark = parts.sparkSession
+    ship(spark)
+    rows, blank = np.flatnonzero(learnable), np.zeros((0, DIM))
+    shared = spark.sparkContext.broadcast((now._replace(p={**now.p, "embedding": blank}), rows, now.p["embedding"][rows]))
 
     def descend(d: pd.DataFrame) -> pd.DataFrame:
-        now, learnable = shared.value
+        now, rows, own = shared.value
+        embedding, learnable = np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS, bool)
+        embedding[rows], learnable[rows] = own, True
         d = d.sort_values("draw", kind="stable")
         order = np.random.default_rng([turn, int(d["part"].iloc[0])]).permutation(len(d))
-        then = epoch(now, d["ids"].tolist(), d["toxic"].to_numpy().astype(np.float64), learnable, order)
-        change = then.p["embedding"] - now.p["embedding"]
+        then = epoch(now._replace(p={**now.p, "embedding": embedding}), d["ids"].tolist(), d["toxic"].to_numpy().astype(np.float64), learnable, order)
+        change = then.p["embedding"] - embedding
         moved = np.flatnonzero(change.any(axis=1))
         layers = pd.DataFrame({"bucket": [-1], "v": [then.packed()], "step": [then.step]})
         return pd.concat([layers, pd.DataFrame({"bucket": moved, "v": list(change[moved]), "step": 0})], ignore_index=True)
 
-    found = durable(parts.groupBy("part").applyInPandas(descend, "bucket int, v array<double>, step int"))
+    with noted() as written:
+        found = durable(parts.groupBy("part").applyInPandas(descend, "bucket int, v array<double>, step int"))
     layers = found.filter("bucket = -1").agg(Summarizer.mean(array_to_vector("v")).alias("v"), F.max("step").alias("step")).first()
-    by_bucket = found.filter("bucket >= 0").groupBy("bucket").agg(*[F.avg(F.col("v")[i]).alias(f"v{i}") for i in range(DIM)]).toPandas()
+    by_bucket = found.filter("bucket >= 0").groupBy("bucket").agg(*[F.avg(F.col("v")[i]).alias(f"v{i}") for i in range(DIM)]).toArrow().to_pandas()
+    release(spark, written)
+    shared.destroy()
     embedding = now.p["embedding"].copy()
     embedding[by_bucket["bucket"].to_numpy()] += by_bucket[[f"v{i}" for i in range(DIM)]].to_numpy()
     return now.unpacked(layers["v"].toArray(), embedding, layers["step"])
@@ -510,7 +547,7 @@ def fit_on_all(docs: DataFrame, labels: DataFrame, part_texts: int = PART_TEXTS,
     here = int(learn.loc[learn["role"] == 2, "n"].sum())
     if here:
         part = F.pmod(F.xxhash64("draw"), F.lit(-(-here // part_texts))).cast("int").alias("part")
-        parts = durable(rows.filter("role = 2").select(part, "draw", "toxic", "ids"))
+        parts = rows.filter("role = 2").select(part, "draw", "toxic", "ids")
         for turn in range(EPOCHS):
             now = _spread_epoch(parts, now, texts_with >= LEAST_TEXTS, turn)
     model = Classifier(_finished(now, _odds(seen.sum(axis=0), share)[0] - odds), np.full(len(names), 0.5), words)

@@ -4,9 +4,11 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cohortsmith.llm import catalog
 from cohortsmith.llm import toxicity as T
+from cohortsmith.session import noted
 
 from .edges import docs, edge_rows, empty, sentence
 
@@ -129,3 +131,36 @@ def test_held_out_documents(spark, sf):
     hit = ((m["predicted"] == 1) & (m["toxic"] == 1)).sum()
     assert hit / (m["predicted"] == 1).sum() > 0.6 and hit / (m["toxic"] == 1).sum() > 0.4
     assert ((got["score"] >= T.CUT) == (got["predicted"] == 1)).all() and got["score"].between(0, 1).all()
+
+
+def test_learning_leaves_texts_and_passes_nowhere(spark, monkeypatch):
+    d = sample(300)
+    texts = spark.createDataFrame(d[["doc_id", "text", "lang"]])
+    labels = spark.createDataFrame([(int(i), int(t)) for i, t in zip(d["doc_id"], d["toxic"]) if i % 3 == 0] + [(None, 1), (0, 0)], "doc_id long, toxic int")
+    plans, write = [], T.durable
+    monkeypatch.setattr(T, "durable", lambda x: plans.append(x._jdf.queryExecution().optimizedPlan().toString()) or write(x))
+    with noted() as folders:
+        rows = T.learning_rows(texts, labels)
+        assert rows.count() == 100
+        now = T.begin(np.zeros(T.BUCKETS), np.full(T.BUCKETS, T.LEAST_TEXTS), 0.5, np.random.default_rng(0))
+        parts = rows.select(F.pmod("draw", F.lit(2)).cast("int").alias("part"), "draw", "toxic", "ids")
+        then = T._spread_epoch(parts, now, np.arange(T.BUCKETS) % 2 == 0, 0)
+    # Words are hashed below the join, so no text is dealt out; a pass leaves only the learning rows.
+    assert 0 <= plans[0].find("Join") < plans[0].find("MapInArrow")
+    assert [os.path.exists(f) for f in folders] == [True, False]
+    moved = (then.p["embedding"] != now.p["embedding"]).any(axis=1)
+    assert moved.any() and not moved[1::2].any()
+
+
+@pytest.mark.parametrize("cells", [64, T.CELLS])
+def test_every_labelled_row_is_found(spark, monkeypatch, cells):
+    monkeypatch.setattr(T, "CELLS", cells)
+    labels = spark.range(-3001, 3001, 7).withColumnRenamed("id", "doc_id")
+    n, bits = T._label_cells(labels)
+    assert n <= cells and len(bits) == n // 8
+    ids = spark.range(-3000, 3000).select("id", T._cell(F.col("id").cast("int"), n).alias("place")).toPandas()
+    got = set(ids["id"][T._in_cells(ids["place"].to_numpy(), bits)])
+    assert got >= set(range(-2994, 3000, 7))
+    assert cells == 64 or len(got) < 1300
+    n, bits = T._label_cells(labels.limit(0))
+    assert not T._in_cells(np.arange(n), bits).any()
