@@ -42,7 +42,8 @@ FILE_BYTES = 128 << 20
 #: Bytes of text that are encoded at once.
 CHUNK = 4 << 20
 
-_two_spaces = re.compile(r"\s\s").search
+#: White space beside other white space, but for a line end and the blank of the piece that follows it.
+_odd_spaces = re.compile(r"[^\S\n]\s|\s\n|\n[^\S ]").search
 #: The same for a column of texts: two characters that count as white space there.
 _SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _ODD = _SPACE + _SPACE
@@ -58,12 +59,13 @@ def _byte_signs() -> dict[int, int]:
 
 
 _SIGNS = _byte_signs()
+_BLANK = chr(_SIGNS[32])
 
 
 def _shown(word: str, blank: bool) -> str:
     """A word of letters, and the blank before it, as the vocabulary writes them."""
     own = word if word.isascii() else word.encode().decode("latin-1").translate(_SIGNS)
-    return chr(_SIGNS[32]) + own if blank else own
+    return _BLANK + own if blank else own
 
 
 def masked(data: bytes) -> int:
@@ -136,19 +138,19 @@ class PieceEncoder:
         """Words of letters go to the library's model as they are; other pieces are encoded in one
         row, in which each begins with a line end, its own or one put before its blank, and no id
         spans one."""
-        rest = []
+        rest, known, kind, tokenize = [], self.known, self.dtype.char, self.model.tokenize
         for p in pieces:
-            own, word = p[:1] == "\n", p.lstrip("\n")
+            own = p[:1] == "\n"
+            word = p.lstrip("\n") if own else p
             if not self.signs or not word.isalpha():
                 rest.append(p)
                 continue
-            ids = self.model.tokenize(_shown(word, not own))
-            data = array(self.dtype.char, [t.id for t in ids]).tobytes()
-            self.known[p] = self.line_end + data if own else data
+            data = array(kind, [t.id for t in tokenize(_shown(word, not own))]).tobytes()
+            known[p] = self.line_end + data if own else data
         for i in range(0, len(rest), 512):
             part = rest[i : i + 512]
             row = "".join(p if p[:1] == "\n" else f"\n {p}" for p in part)
-            if not _two_spaces(row):  # else an empty piece or odd white space
+            if not _odd_spaces(row):  # else an empty piece or odd white space
                 ids = np.array(self.tokenizer.encode_batch_fast([row], add_special_tokens=False)[0].ids, self.dtype)
                 data, cuts = ids.tobytes(), np.flatnonzero(ids == self.line_id) * self.skip
                 if len(cuts) == len(part):
@@ -164,18 +166,27 @@ class PieceEncoder:
             middle = sorted(map(len, self.known))[len(self.known) // 2]
             for p in [p for p in self.known if len(p) >= middle]:
                 del self.known[p]
-        values = list(map(self.known.get, pieces))
-        gaps = [i for i, v in enumerate(values) if v is None]
-        new = dict.fromkeys(pieces[i] for i in gaps)
-        ends = [p for p in new if p[-1:] in self.signs and p[:-1].strip("\n").isalpha()]
-        for p in ends:
-            del new[p]
-        new.update(dict.fromkeys(p[:-1] for p in ends if p[:-1] not in self.known))
+        known, signs = self.known, self.signs
+        values = list(map(known.get, pieces))
+        new, ends, others = {}, [], []
+        for i, v in enumerate(values):
+            if v is not None:
+                continue
+            p = pieces[i]
+            if p[-1:] in signs and p[:-1].strip("\n").isalpha():
+                # Not remembered: it follows from the word.
+                ends.append(i)
+                if p[:-1] not in known:
+                    new[p[:-1]] = None
+            else:
+                others.append(i)
+                new[p] = None
         self._learn(list(new))
-        get = self.known.__getitem__
-        self.known.update((p, get(p[:-1]) + self.signs[p[-1]]) for p in ends)
-        for i in gaps:
-            values[i] = get(pieces[i])
+        for i in ends:
+            p = pieces[i]
+            values[i] = known[p[:-1]] + signs[p[-1]]
+        for i in others:
+            values[i] = known[pieces[i]]
         return values
 
     def encode(self, texts: pa.StringArray | list[str]) -> list[bytes]:

@@ -98,3 +98,15 @@ def test_query(spark, sf, plain):
         ids = plain(t)
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_odd_pieces_are_encoded_in_rows(monkeypatch):
+    """Pieces that are no words of letters share a call of the library, and those beside odd white space stay right."""
+    enc = R.PieceEncoder(catalog.tokenizer_path())
+    lone = []
+    whole = enc._whole
+    monkeypatch.setattr(enc, "_whole", lambda t: lone.append(t) or whole(t))
+    texts = [" ".join(f"x{i}-{j}@q" for j in range(20)) + f"\nl{i}\n7 (a)" for i in range(300)] + ["", " ", "a ", "\n", "k1\tv1 k2\tv2\nk3\tv3 w\t"]
+    got = enc.encode(texts)
+    assert len(lone) < 1000 < len(enc.known)
+    assert got == [whole(t) for t in texts]
