@@ -3,7 +3,7 @@ import time
 import numpy as np
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from cohortsmith.operators import models as MD
@@ -13,7 +13,7 @@ from cohortsmith.operators.ensemble import TreeEnsembleModel, ensemble_of, walk
 from cohortsmith.operators.shape import array_features
 from cohortsmith.plans import scoring
 from cohortsmith.plans.flows import _fit_candidate
-from cohortsmith.session import fresh_folder
+from cohortsmith.session import fresh_folder, task_count
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +98,14 @@ def test_components_then_model_reads_a_vector_column(rows):
     model = MD.fit_logistic(ready, c=1.0)
     before = scores(model, ready)
     assert scores(MD.projected(model, pca), rows) == before
+
+
+def test_as_many_trees_grow_at_once_as_keep_the_cores_busy(spark, monkeypatch):
+    rows = spark.range(200).selectExpr("id", "cast(id % 5 = 0 as int) as label", "array(cast(id % 7 as double), cast(id % 5 as double)) as x")
+    used, run = [], MD.run_parallel
+    monkeypatch.setattr(MD, "run_parallel", lambda jobs, parallelism=4: used.append(parallelism) or run(jobs, parallelism))
+    train = rows.select("id", "label", array_to_vector("x").alias("features"))
+    one, two = (MD.fit_balanced_bags(train, "id", trees=n, parallelism=p) for n, p in ((9, 1), (9, 64)))
+    tasks = max(1, task_count(spark) // 9)
+    assert used == [-(-spark.sparkContext.defaultParallelism // tasks), 64] and used[0] > 1
+    assert all((one.nodes[k] == two.nodes[k]).all() for k in one.nodes)
