@@ -204,12 +204,14 @@ class PieceEncoder:
         pieces = pc.split_pattern(pc.binary_join_element_wise(" \n", lines, ""), " ")
         words = pieces.flatten().dictionary_encode()
         values, codes = self._values(words.dictionary.to_pylist()), np.asarray(words.indices)
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.skip
-        first, size = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
+        # There are no more ids than bytes of a column, whose offsets are of 32 bits.
+        sizes = np.fromiter(map(len, values), np.int32, len(values)) // self.skip
+        first, size = (np.cumsum(sizes, dtype=np.int32) - sizes)[codes], sizes[codes]
+        ends = np.cumsum(size, dtype=np.int32)
+        at = np.repeat(first - (ends - size), size)
+        at += np.arange(len(at), dtype=np.int32)
         data = np.frombuffer(b"".join(values), self.dtype)[at].tobytes()
-        cuts = (np.append(0, ends)[np.asarray(pieces.offsets) - pieces.offsets[0].as_py()] * self.skip).tolist() if len(pieces) else [0]
+        cuts = (np.append(0, ends.astype(np.int64))[np.asarray(pieces.offsets) - pieces.offsets[0].as_py()] * self.skip).tolist() if len(pieces) else [0]
         plain = iter(zip(cuts, cuts[1:]))
         whole = iter(texts.filter(pa.array(odd)).to_pylist())
         out = []

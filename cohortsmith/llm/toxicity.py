@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import running_totals
 from ..session import durable, noted, release
-from .common import CHUNK, byte_chunks, encoded, keep_rows, map_batches, ship
+from .common import CHUNK, FORGET, byte_chunks, encoded, keep_rows, map_batches, ship
 from .contamination import words_of
 
 BUCKETS = 1 << 17
@@ -59,6 +59,7 @@ class _Hashed(dict):
 
 
 _hashed = _Hashed()
+FORGET.append(_hashed.clear)
 
 
 def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
