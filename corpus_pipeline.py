@@ -80,7 +80,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     words and stay; repeated rows are judged each; other columns go through under any name."""
     name = row_name(docs)
     rows = keyed(docs, name)
-    found = contamination(find_overlap(rows, catalog.table(spark, sf_dir, "benchmark"), id_col=name, nameless=True))
+    # Written in between: two Python steps of one task would keep twice as many workers, up to the last stage.
+    overlap = durable(find_overlap(rows, catalog.table(spark, sf_dir, "benchmark"), id_col=name, nameless=True))
+    found = contamination(overlap)
     return without(rows, name, found.filter("contaminated").select(F.col("doc_id").alias(name)))
 
 

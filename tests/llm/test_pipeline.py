@@ -66,3 +66,13 @@ def test_edge_rows_and_empty_tables(spark, sf):
 
 def test_run_gives_the_stages_result(spark, sf):
     assert P.run(spark, sf).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_a_task_has_one_python_worker(spark, sf, monkeypatch):
+    """Overlaps are written before the next Python step reads them."""
+    taken, judge = [], P.contamination
+    monkeypatch.setattr(P, "contamination", lambda overlap: taken.append(overlap) or judge(overlap))
+    rows = [(1, sentence(random.Random(5), 40), "en", "a"), (None, None, "en", "a")]
+    assert P.decontamination(spark, docs(spark, rows), sf).count() == 2
+    plan = taken[0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and len(taken[0].inputFiles()) > 0

@@ -2,6 +2,7 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,12 @@ def test_odd_pieces_are_encoded_in_rows(monkeypatch):
     got = enc.encode(texts)
     assert len(lone) < 1000 < len(enc.known)
     assert got == [whole(t) for t in texts]
+
+
+def test_chunks_of_a_batch_are_small():
+    """A worker's memory follows from the texts that are encoded at once."""
+    texts = pa.array(["x" * 100_000] * 40 + ["y" * 3_000_000, "", "z"])
+    cuts = list(R._column_chunks(texts))
+    sizes = [sum(len(t) for t in texts[a:b].to_pylist()) for a, b in cuts]
+    assert [a for a, _ in cuts[1:]] == [b for _, b in cuts[:-1]] and (cuts[0][0], cuts[-1][1]) == (0, 43)
+    assert max(n for n, (a, b) in zip(sizes, cuts) if b - a > 1) <= 1 << 20
