@@ -158,6 +158,22 @@ def test_holdout_study(cohort):
     assert s.best.first()["model"] in rows
 
 
+@pytest.mark.parametrize("broken", [1, 2])
+def test_a_failed_fit_is_no_result_of_a_holdout_study(cohort, monkeypatch, broken):
+    """The first fit is the hold-out's, the second one a fold's."""
+    calls, whole = [], flows.fit_named
+
+    def fit(*args):
+        calls.append(args)
+        if len(calls) == broken:
+            raise ValueError("no luck")
+        return whole(*args)
+
+    monkeypatch.setattr(flows, "fit_named", fit)
+    with pytest.raises(RuntimeError, match="no model of repeat 0, fold .: no luck"):
+        flows.holdout_study(cohort, "id", "x", models={"LogisticRegression": {"c": 0.5}}, top=4, k=3, parallelism=1)
+
+
 def test_leave_one_out_study(spark, cohort):
     few = cohort.filter("id < 14")
     s = flows.leave_one_out_study(few, "id", "x", l1_c=1.0, top=4)
