@@ -114,6 +114,6 @@ def balanced_bootstrap(spark, sf):
 @query(f"with {WIDE_SQL} select 5 * count(*) as wanted, true as recall_is_high from wide")
 def lsh_recall(spark, sf):
     """The 5 nearest rows of every row by random projections, measured against the exact search."""
-    rows = _cohort(spark, sf)
-    exact, found = (nearest_rows(rows, rows, 5, "vec_id", "x", method=m) for m in ("exact", "lsh"))
+    rows = wide(spark, sf)
+    exact, found = (durable(nearest_rows(rows, rows, 5, "vec_id", "embedding", method=m, vectors=False).select("id", "dist2")) for m in ("exact", "lsh"))
     return recall(found, exact).select("wanted", (F.col("recall") >= 0.9).alias("recall_is_high"))

@@ -45,6 +45,49 @@ def test_nearest_rows_match_brute_force(spark, monkeypatch, search, block):
     assert all(tags[n] == t for n, t in zip(got["nb_id"], got["nb_tag"]))
 
 
+@pytest.mark.parametrize("method", ["exact", "lsh"])
+def test_rounds_bound_what_is_shuffled(spark, monkeypatch, method):
+    """Blocks of 20 rows in rounds of a few hundred vectors find what brute force finds, and each round's best are released."""
+    monkeypatch.setattr(NB, "POINTS", 20)
+    monkeypatch.setattr(NB, "QUERIES", 20)
+    pdf = cloud()
+    df = spark.createDataFrame(pdf)
+    made, gone = [], []
+    fresh, release = NB.fresh_folder, NB.release
+    monkeypatch.setattr(NB, "fresh_folder", lambda s: made.append(fresh(s)) or made[-1])
+    monkeypatch.setattr(NB, "release", lambda s, f: gone.extend(f) or release(s, f))
+    monkeypatch.setattr(NB, "ROUND_ROWS", 600)
+    search = {"tables": 2, "probes": 1} if method == "lsh" else {"pivots": 4}
+    got = nearest_rows(df, df, 5, "id", "x", method=method, vectors=False, **search)
+    assert got.columns == ["id", "nb_id", "nb_rank", "dist2", "nb_tag"]
+    ranked = got.toPandas().sort_values(["id", "nb_rank"]).groupby("id")["nb_id"].apply(list).to_dict()
+    assert ranked == brute(pdf, pdf, 5)
+    assert len(gone) > 2 and set(gone) < set(made)
+
+
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1e-3, 100.0), (1e200, 0.0), (0.0, 7.0)])
+def test_nearest_of_computes_the_near_pairs_exactly(scale, shift):
+    rng = np.random.default_rng(3)
+    a, b = (rng.normal(size=(n, 20)) * scale + shift for n in (60, 900))
+    b[:300], a[:10] = b[5], b[:10]
+    for k, points in ((1, b), (6, b), (6, b[:5]), (6, np.where(b > 2 * scale + shift, np.nan, b))):
+        with np.errstate(over="ignore"):
+            d = NB.squared_distances(a, points)
+            row, column = NB.first_k(d, k)
+            got = [np.concatenate(x) for x in zip(*NB.nearest_of(a, points, k))]
+        assert np.array_equal(row, got[0]) and np.array_equal(column, got[1]) and np.array_equal(d[row, column], got[2], equal_nan=True)
+
+
+def test_single_precision_gives_the_rows_of_double_precision(spark):
+    pdf = cloud(d=5, copies=False)
+    df = spark.createDataFrame(pdf).withColumn("y", F.col("x").cast("array<float>"))
+    wide = df.withColumn("x", F.col("y").cast("array<double>"))
+    one = nearest_rows(wide.drop("x"), wide.drop("x"), 3, "id", "y")
+    two = nearest_rows(wide, wide, 3, "id", "x")
+    assert one.schema["nb_vec"].dataType == two.schema["nb_vec"].dataType
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
 def test_nearest_rows_with_fewer_points_than_k(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, [5.0])], "id long, x array<double>")
     got = nearest_rows(df, df, 10, "id", "x", pivots=2)
